@@ -17,6 +17,7 @@ from medley.session import cut
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 _SLICE = "_slice"
+_TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -30,13 +31,20 @@ class Running:
 
 
 class Ordered:
-    """Rows cut into ordered slices; ``order`` with ``keys`` should be a total order."""
+    """Rows cut into ordered slices; ``order`` with ``keys`` should be a total order.
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list, slices: int | None = None):
+    ``ties=True`` adds a random last sort key, so that even a mass of equal rows
+    is spread over slices; the checkpoint below fixes the draw.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list, slices: int | None = None, ties: bool = False):
         spark = df.sparkSession
         n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.keys = list(keys)
         self.order = [F.col(c) if isinstance(c, str) else c for c in order]
+        if ties:
+            df = df.withColumn(_TIE, F.rand(7))
+            self.order.append(F.col(_TIE))
         ranged = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *self.order)
         # the slice number depends on sampled bounds: fix it before it is used twice
         self.df = cut(ranged.withColumn(_SLICE, F.spark_partition_id()))
@@ -80,7 +88,7 @@ class Ordered:
         return self._with(self.df.withColumn(name, column))
 
     def rows(self) -> DataFrame:
-        return self.df.drop(_SLICE)
+        return self.df.drop(_SLICE, _TIE)
 
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
@@ -90,7 +98,7 @@ class Ordered:
 
 def row_numbers(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)``, cut into slices."""
-    return Ordered(df, keys, order).with_row_number(name).rows()
+    return Ordered(df, keys, order, ties=True).with_row_number(name).rows()
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, extra: dict | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "pooling_queries",
+    "tidy_queries",
     "metric_queries",
     "loss_queries",
 ]
