@@ -70,10 +70,11 @@ def wrap(c: Column | str) -> Column:
 
 
 def pad(c: Column | str, length: int, fill=PADDING) -> Column:
-    """Append ``fill`` up to ``length``, never truncating; NULL becomes all padding."""
-    lst = _col(c)
+    """Append ``fill`` (a value or a column) up to ``length``, never truncating; NULL
+    becomes all padding."""
+    lst, value = _col(c), fill if isinstance(fill, Column) else F.lit(fill)
     missing = F.greatest(F.lit(length) - F.size(lst), F.lit(0))
-    return F.coalesce(F.concat(lst, F.array_repeat(F.lit(fill), missing)), F.array_repeat(F.lit(fill), F.lit(length)))
+    return F.coalesce(F.concat(lst, F.array_repeat(value, missing)), F.array_repeat(value, F.lit(length)))
 
 
 def pad_nested(c: Column | str, length: int, inner: int, fill=PADDING) -> Column:

@@ -1,4 +1,4 @@
-"""Early-stop detection on metric series."""
+"""Early-stop detection on metric series, in one go or batch by batch."""
 
 from __future__ import annotations
 
@@ -9,35 +9,61 @@ from medley.operators.ordered import Ordered, Running
 
 
 def early_stop(
-    series: DataFrame, run: str, order: list[str], value: str, patience: int = 100, mode: str = "maximize"
+    series: DataFrame,
+    run: str,
+    order: list[str],
+    value: str,
+    patience: int = 100,
+    mode: str = "maximize",
+    state: DataFrame | None = None,
 ) -> DataFrame:
-    """(run, stop_step, best_step, best, steps) per run; ``stop_step`` NULL if never stopped.
+    """(run, stop_step, best_step, best, steps) per run; ``stop_step`` NULL if not stopped.
 
     A value equal to the best so far counts as an improvement.  The run stops at
     the first step that is ``patience`` steps past the last improvement.  All
     running values are cut into slices, so one very long run is spread out.
+
+    ``state`` is the result for the steps already seen; ``series`` then holds the
+    steps that follow.  A stopped run keeps its result.
     """
     if mode not in ("maximize", "minimize"):
         raise ValueError("mode must be 'maximize' or 'minimize'")
     sign = 1.0 if mode == "maximize" else -1.0
+    prior = ["_steps0", "_best0", "_last0"]
+    rows = series.withColumn("_v", F.col(value) * sign)
+    if state is None:
+        rows = rows.withColumns({"_steps0": F.lit(0).cast("long"), "_best0": F.lit(None).cast("double"), "_last0": F.lit(None).cast("long")})
+    else:
+        known = state.filter(F.col("stop_step").isNull()).select(
+            run, F.col("steps").alias("_steps0"), (F.col("best") * sign).alias("_best0"), F.col("best_step").alias("_last0")
+        )
+        stopped = state.filter(F.col("stop_step").isNotNull()).select(run)
+        rows = rows.join(stopped, run, "left_anti").join(known, run, "left").fillna(0, ["_steps0"])
     gained = (
-        Ordered(series.withColumn("_v", F.col(value) * sign), [run], order)
+        Ordered(rows.select(run, *order, "_v", *prior), [run], order)
         .with_running(
-            Running("_step", "sum", F.lit(1).cast("long"), inclusive=False),
+            Running("_seen", "sum", F.lit(1).cast("long"), inclusive=False),
             Running("_before", "max", F.col("_v"), inclusive=False),
         )
-        .with_column("_gain", F.when(F.col("_before").isNull() | (F.col("_v") >= F.col("_before")), F.col("_step")))
-        .with_running(Running("_last", "max", F.col("_gain")))
+        .with_column("_step", F.col("_seen") + F.col("_steps0"))
+        .with_column("_top", F.greatest("_before", "_best0"))
+        .with_column("_gain", F.when(F.col("_top").isNull() | (F.col("_v") >= F.col("_top")), F.col("_step")))
+        .with_running(Running("_gained", "max", F.col("_gain")))
+        .with_column("_last", F.greatest("_gained", "_last0"))
         .rows()
-        .select(run, "_step", "_v", "_last")
+        .select(run, "_step", "_v", "_last", "_best0")
     )
     stops = gained.filter(F.col("_step") - F.col("_last") >= patience).groupBy(run).agg(
         F.min("_step").alias("stop_step")
     )
     seen = gained.join(stops, run, "left").filter(F.col("stop_step").isNull() | (F.col("_step") <= F.col("stop_step")))
-    return seen.groupBy(run).agg(
+    fresh = seen.groupBy(run).agg(
         F.max("stop_step").alias("stop_step"),
         F.max("_last").alias("best_step"),
-        (F.max("_v") * sign).alias("best"),
+        (F.greatest(F.max("_v"), F.max("_best0")) * sign).alias("best"),
         (F.max("_step") + 1).alias("steps"),
     )
+    if state is None:
+        return fresh
+    untouched = state.join(fresh.select(run), run, "left_anti")
+    return fresh.unionByName(untouched.select(*fresh.columns))

@@ -6,6 +6,8 @@ import importlib
 
 MODULES = [
     "pooling_queries",
+    "flow_queries",
+    "array_queries",
     "tidy_queries",
     "metric_queries",
     "loss_queries",

@@ -1,0 +1,141 @@
+"""Composed flows: raw definitions to tidy tables, dataset to fold scores, mixtures to models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from medley.operators import explore as X
+from medley.operators import joins as J
+from medley.operators import metrics as M
+from medley.operators import models as ML
+from medley.operators import pooling as P
+from medley.operators import tidy as T
+from medley.operators.ordered import exact_quantiles
+
+# Elements whose symbols disqualify a compound text.
+UNWANTED_ELEMENTS = [
+    "Na", "K", "Ca", "Mg", "Cr", "B", "Si", "Ti", "Fe", "Al", "Co", "Zn", "Cu", "V", "Bi", "He",
+    "As", "I", "Sb", "Pb", "Ni", "Os", "Se", "Hg", "Ar", "Cd", "Kr", "Rn", "Se", "Ta", "U", "Xe",
+    "Cd", "Mo", "Sn", "Tl", "Te", "Y", "Be",
+]
+# Stimuli whose component has no structure.
+EXCLUDED_STIMULI = ["AN759", "AN873", "AN874"]
+
+
+def tidy_labels(
+    raw: DataFrame, key: str, flags: list[str], ratings: list[str], overall: list[str], excluded: list
+) -> DataFrame:
+    """Stacked task labels to one row per distinct rating: merge, scale, exclude, build vectors.
+
+    Ratings are divided by 5, overall attributes by 10; vectors list the overall
+    attributes first (dims 0 and 1).
+    """
+    merged = T.merge_duplicates(raw, key, [*overall, *ratings], flags)
+    scaled = merged.withColumns(
+        {**{r: F.col(r) / 5 for r in ratings}, **{o: F.col(o) / 10 for o in overall}}
+    )
+    kept = scaled.filter(~F.col(key).isin(excluded)) if excluded else scaled
+    return kept.select(
+        key,
+        *flags,
+        F.array(*ratings).alias("rata"),
+        F.array(*overall).alias("overall"),
+        F.array(*overall, *ratings).alias("all_ratings"),
+    )
+
+
+def tidy_inputs(
+    singles: DataFrame,
+    definitions: DataFrame,
+    components: DataFrame,
+    known: DataFrame,
+    compounds: DataFrame,
+    excluded: list,
+) -> DataFrame:
+    """Single and mixture definitions to the long component table.
+
+    ``singles(stimulus, cid, dilution, solvent)``, ``definitions(stimulus,
+    components)``, ``components(component, cid, dilution, solvent)``,
+    ``compounds(cid, compound_id)``.  Solvent ids are coded by frequency before
+    the exclusion, as excluded rows count too.
+    """
+    fields = ["cid", "dilution", "solvent"]
+    mixed = J.expand_definition(definitions, "stimulus", "components", components, fields, fields)
+    single = singles.select(
+        "stimulus",
+        F.lit(0).alias("pos"),
+        T.empty_column("component", "bigint"),
+        "cid",
+        "dilution",
+        F.lower("solvent").alias("solvent"),
+    )
+    stacked = T.trim_strings(single.unionByName(mixed))
+    plain = T.drop_shadowed(stacked, ["stimulus", "cid", "dilution", "solvent", "pos"], "component")
+    wanted = J.present_in(plain, known, ["stimulus"])
+    codes = T.ids_by_frequency(wanted, "solvent", "solvent_id").select("solvent", "solvent_id")
+    coded = wanted.join(codes, "solvent")
+    kept = coded.filter(~F.col("stimulus").isin(excluded)) if excluded else coded
+    linked = J.lookup(kept, "cid", compounds, "compound_id", "compound_id", pass_through=False)
+    return T.min_max_position(linked, "cid", "dilution", "weakness")
+
+
+def fold_scores(pred: DataFrame, split: DataFrame) -> DataFrame:
+    """(fold, mae, rmse, row_pearson, cosine) on the test rows of every fold."""
+    tests = split.filter("part = 'test'").select("fold", "row_id")
+    cells = pred.join(tests, "row_id")
+    errors = M.errors(cells, "fold").select("fold", "mae", "rmse")
+    y, p = F.col("y"), F.col("y_hat")
+    rows = cells.groupBy("fold", "row_id").agg(
+        M.pearson_agg("y", "y_hat").alias("r"), M.cosine_agg("y", "y_hat").alias("c")
+    )
+    shape = rows.groupBy("fold").agg(F.avg("r").alias("row_pearson"), F.avg("c").alias("cosine"))
+    return errors.join(shape, "fold")
+
+
+def mixture_model(
+    entries: DataFrame,
+    features: DataFrame,
+    ratings: DataFrame,
+    width: int,
+    targets: list[int],
+    trees: int = 3,
+    depth: int = 3,
+) -> DataFrame:
+    """Pool component vectors of rated mixtures, append the expected rating, fit a gate and a
+    regressor per target dim, and score the hybrid: (dim, n, mask_accuracy, mae)."""
+    rated = J.present_in(entries, ratings, ["stimulus"])
+    pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
+    expected = P.pack(X.expected_ratings(entries, ratings, width), "stimulus", ["expected"])
+    joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
+    columns = {d: f"y{d}" for d in targets}
+    rows = ML.assemble(
+        joined.select(
+            "stimulus",
+            F.concat("pooled", "expected").alias("x"),
+            *[F.col("rating")[d].alias(c) for d, c in columns.items()],
+        ),
+        "x",
+    ).drop("x").persist()
+    cells = rows.select(
+        "stimulus",
+        F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("y")) for d, c in columns.items()])).alias("_c"),
+    ).select("stimulus", "_c.dim", "_c.y")
+    # one threshold per target dim reaches the driver
+    cuts = {r["dim"]: r["y"] for r in exact_quantiles(cells, ["dim"], "y", [0.5]).collect()}
+    gates = ML.fit_gates(rows, columns, cuts, trees, depth)
+    values = {
+        d: ML.regressor(trees, depth).fit(
+            rows.filter(F.col(c) > cuts[d]).select("features", F.col(c).alias("y"))
+        )
+        for d, c in columns.items()
+        if d in gates
+    }
+    guess = ML.hybrid(ML.score(rows, gates, "stimulus", "gate"), ML.score(rows, values, "stimulus"), "stimulus")
+    limits = F.create_map(*[F.lit(x) for d in cuts for x in (d, cuts[d])])
+    both = cells.join(guess, ["stimulus", "dim"]).withColumn("t", limits[F.col("dim")])
+    return both.groupBy("dim").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(((F.col("y") > F.col("t")) == (F.col("y_hat") > 0)).cast("int")).alias("mask_accuracy"),
+        F.avg(F.abs(F.col("y") - F.col("y_hat"))).alias("mae"),
+    )
