@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from medley.functions.numeric import cosine_agg, pearson_agg, safe_divide
 from medley.operators.ordered import exact_quantiles
-from medley.operators.pooling import dot, unpack
+from medley.operators.pooling import aggregate_members, dot, unpack
+from medley.session import cut
 
 # --- distances to all other rows ---------------------------------------------
 
@@ -73,23 +74,27 @@ def singles(entries: DataFrame) -> DataFrame:
     return only.filter("_n = 1").drop("_n").select(*entries.columns)
 
 
-def single_means(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
-    """(cid, dim, n, mean): mean rating over the rated singles of a component, zeros if none."""
-    rated = singles(entries).select("stimulus", "cid").join(ratings.select("stimulus", "rating"), "stimulus", "left")
+def single_mean_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
+    """(cid, n, mean): mean rating vector over the rated singles of a component, zeros if none."""
+    rated = singles(entries.select("stimulus", "cid")).join(ratings.select("stimulus", "rating"), "stimulus", "left")
     sums = rated.groupBy("cid").agg(
         F.count("rating").alias("n"), *[F.sum(F.col("rating")[d]).alias(f"_{d}") for d in range(dims)]
     )
     mean = F.array(*[F.coalesce(safe_divide(F.col(f"_{d}"), F.col("n")), F.lit(0.0)) for d in range(dims)])
-    return unpack(sums.select("cid", "n", mean.alias("mean")), ["cid", "n"], ["mean"])
+    return sums.select("cid", "n", mean.alias("mean"))
+
+
+def single_means(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
+    """(cid, dim, n, mean) in long form."""
+    return unpack(single_mean_vectors(entries, ratings, dims), ["cid", "n"], ["mean"])
 
 
 def expected_ratings(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(stimulus, dim, known, expected) for mixtures: mean over its known components."""
-    known = single_means(entries, ratings, dims)
-    mixed = with_size(entries).filter("size > 1").select("stimulus", "cid")
-    return mixed.join(known, "cid").groupBy("stimulus", "dim").agg(
-        F.count(F.lit(1)).alias("known"), F.avg("mean").alias("expected")
-    )
+    known = cut(single_mean_vectors(entries, ratings, dims))
+    mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1").select("stimulus", "cid")
+    build = lambda: [F.count(F.lit(1)).alias("known"), F.avg("_v").alias("expected")]
+    return aggregate_members(mixed, known, "stimulus", "cid", "mean", build, sketch=entries.select("stimulus"))
 
 
 def component_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -108,16 +113,20 @@ def component_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def measured_against_components(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(stimulus, dim, y, y_hat) for rated mixtures whose components all have rated singles."""
-    known = single_means(entries, ratings, dims).filter("n > 0").select("cid", "dim", "mean")
-    mixed = with_size(entries).filter("size > 1").select("stimulus", "cid", "size")
-    # ratings first: it drops the unrated mixtures before rows are multiplied by dims
-    rated = mixed.join(ratings.select("stimulus"), "stimulus", "left_semi")
-    expected = rated.join(known, "cid").groupBy("stimulus", "dim").agg(
-        F.avg("mean").alias("y_hat"), F.count(F.lit(1)).alias("_known"), F.max("size").alias("_size")
+    known = cut(single_mean_vectors(entries, ratings, dims).filter("n > 0"))
+    rated = entries.select("stimulus", "cid").join(ratings.select("stimulus"), "stimulus", "left_semi")
+    mixed = with_size(rated).filter("size > 1")
+    # drop mixtures with an unknown component while rows are narrow
+    hits = mixed.join(known.select("cid"), "cid").groupBy("stimulus").agg(
+        F.count(F.lit(1)).alias("_known"), F.max("size").alias("_size")
+    )
+    complete = mixed.join(hits.filter("_known = _size").select("stimulus"), "stimulus", "left_semi")
+    build = lambda: [F.avg("_v").alias("y_hat")]
+    expected = aggregate_members(
+        complete.select("stimulus", "cid"), known, "stimulus", "cid", "mean", build, sketch=entries.select("stimulus")
     )
-    complete = expected.filter("_known = _size").select("stimulus", "dim", "y_hat")
     truth = ratings.select("stimulus", F.posexplode("rating").alias("dim", "y"))
-    return complete.join(truth, ["stimulus", "dim"]).select("stimulus", "dim", "y", "y_hat")
+    return expected.join(truth, ["stimulus", "dim"]).select("stimulus", "dim", "y", "y_hat")
 
 
 def additivity_test(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:

@@ -6,26 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # rows of one key that one task may still take
+ROWS_PER_TASK = 20_000  # narrow rows per task before they are multiplied by the vector length
+MAX_TASKS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> list:
-    """Keys with more than ``threshold`` rows (at most 1000, largest first).
+def profile(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[int, list]:
+    """(row count, keys with more than ``threshold`` rows: at most 1000, largest first).
 
-    One pass with a heavy-hitter sketch; only the short list reaches the
-    driver.  The list steers the plan and never changes a result.
+    One scan of the key column with a heavy-hitter sketch; only the short list
+    reaches the driver.  It steers the plan and never changes a result.
     """
-    items = df.select(F.expr(f"approx_top_k(`{key}`, 1000, 20000)").alias("top")).first()["top"]
-    return [item["item"] for item in items or [] if item["item"] is not None and item["count"] > threshold]
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(`{key}`, 1000, 20000)").alias("top")).first()
+    hot = [i["item"] for i in found["top"] or [] if i["item"] is not None and i["count"] > threshold]
+    return found["rows"], hot
 
 
-def cluster(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, shuffled so a key sits in one task; rows of hot keys or None).
+def task_count(df: DataFrame, rows: int) -> int:
+    """Tasks for rows that grow after the shuffle; adaptive coalescing would only see
+    their narrow size, so the number is set from the row count."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, min(rows // ROWS_PER_TASK, MAX_TASKS))
 
-    Aggregating the first part needs no further shuffle.  The second part is
-    left where it is, so partial aggregation shrinks it before it moves.
-    """
-    hot = hot_keys(df, key, threshold)
+
+def split_hot(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None)."""
     if not hot:
-        return df.repartition(key), None
+        return df, None
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return df.filter(~is_hot).repartition(key), df.filter(is_hot)
+    return df.filter(~is_hot), df.filter(is_hot)

@@ -14,6 +14,7 @@ from medley.functions.mixing import mix
 from medley.functions.numeric import cosine_agg, pearson_agg, safe_divide
 from medley.operators.ordered import Ordered, Running, row_numbers, value_ranks
 from medley.operators.pooling import dot, pack
+from medley.session import cut
 
 REDUCTIONS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
@@ -102,6 +103,7 @@ def kendall(pred: DataFrame, keys: list[str], y: str = "y", p: str = "y_hat") ->
     pairs = pred.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(
         *group, F.col(y).alias("_y"), F.col(p).alias("_p")
     ).agg(F.count(F.lit(1)).alias("c"))
+    pairs = cut(pairs)  # read by every count below
     size = pairs.groupBy(*group).agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0] or 1
     levels = max(1, (size - 1).bit_length())
     by_p = pairs.groupBy(*group, "_p").agg(F.sum("c").alias("t"))

@@ -60,12 +60,15 @@ class Ordered:
         carry = totals.select(
             *[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)],
             *[_AGG[s.kind](f"_t{i}").over(earlier).alias(f"_c{i}") for i, s in enumerate(specs)],
-        )
+            F.count(F.lit(1)).over(earlier).alias("_earlier"),
+        ).filter("_earlier > 0").drop("_earlier")
         match = None
         for i, k in enumerate(group):
             same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
             match = same if match is None else match & same
-        joined = self.df.join(carry, match).drop(*[f"_k{i}" for i in range(len(group))])
+        # the slices are ranges, so at most one key continues into each of them:
+        # the carry has no more rows than there are slices and may be broadcast
+        joined = self.df.join(F.broadcast(carry), match, "left").drop(*[f"_k{i}" for i in range(len(group))])
         base = Window.partitionBy(*group).orderBy(*self.order)
         columns = {}
         for i, s in enumerate(specs):

@@ -1,9 +1,12 @@
 """Pool the vectors of a set's members into one vector per set.
 
-Entries are narrow (set key, member link) and vectors are wide, so the plan
-moves the entries: they are shuffled by set first, then the member vectors are
-attached and aggregated in place.  Sets with an outsized number of entries are
-not shuffled whole; they go through partial aggregation (see ``hot``).
+Entries are narrow (set key, member link) and vectors are wide.  When the
+vectors are few enough to broadcast (their size is measured), the plan moves
+the entries: they are shuffled by set, then the vectors are attached and
+aggregated in place.  Otherwise entries and vectors are joined by link and the
+joined rows, still one array per entry, are shuffled by set once.  Sets with an
+outsized number of entries are not shuffled whole; they go through partial
+aggregation (see ``hot``).
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medley.operators.hot import HOT_ROWS, cluster
+from medley.operators.hot import HOT_ROWS, profile, split_hot, task_count
+
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 STATS = {
     "sum": F.sum,
@@ -33,18 +38,33 @@ def aggregate_members(
     vec: str,
     aggregates: Callable[[], list[Column]],
     threshold: int = HOT_ROWS,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """(key, dim, aggregates): aggregates may use ``_v``, the member's value in
     that dimension, and any column of ``entries``."""
 
-    def plan(part: DataFrame) -> DataFrame:
-        members = part.join(features.select(link, vec), link)
-        cells = members.select(*part.columns, F.posexplode(vec).alias("dim", "_v"))
+    rows, hot = profile(entries if sketch is None else sketch, key, threshold)
+    tasks = task_count(entries, rows)
+    vectors = features.select(link, vec)
+    small = vector_bytes(vectors, vec) <= BROADCAST_BYTES
+
+    def attach(part: DataFrame) -> DataFrame:
+        return part.join(F.broadcast(vectors) if small else vectors, link)
+
+    def reduce_cells(members: DataFrame) -> DataFrame:
+        cells = members.select(*entries.columns, F.posexplode(vec).alias("dim", "_v"))
         return cells.groupBy(key, "dim").agg(*aggregates())
 
-    ordinary, hot = cluster(entries, key, threshold)
-    pooled = plan(ordinary)
-    return pooled if hot is None else pooled.unionByName(plan(hot))
+    ordinary, outsized = split_hot(entries, key, hot)
+    placed = attach(ordinary.repartition(tasks, key)) if small else attach(ordinary).repartition(tasks, key)
+    pooled = reduce_cells(placed)
+    return pooled if outsized is None else pooled.unionByName(reduce_cells(attach(outsized)))
+
+
+def vector_bytes(vectors: DataFrame, vec: str) -> int:
+    """Size of a vector table: rows times the longest vector, 8 bytes an entry."""
+    found = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("width")).first()
+    return (found["n"] or 0) * (found["width"] or 0) * 8
 
 
 def pool_members(
@@ -176,7 +196,7 @@ def softmax_pool(
     peak = scored.groupBy(key).agg(F.max(score).alias("_peak"))
     weighted = scored.join(peak, key).select(key, link, F.exp(F.col(score) - F.col("_peak")).alias("_w"))
     build = lambda: [(F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("pooled")]
-    return aggregate_members(weighted, features, key, link, vec, build)
+    return aggregate_members(weighted, features, key, link, vec, build, sketch=entries.select(key))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

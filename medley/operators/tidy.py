@@ -154,14 +154,18 @@ def mark_first(df: DataFrame, key: str, order: list[str], first: str = "A", late
 def drop_shadowed(df: DataFrame, keys: list[str], detail: str) -> DataFrame:
     """Drop exact copies, then rows with NULL ``detail`` whose keys occur on another row.
 
-    The repeated keys come from a count; only NULL-detail rows meet them, in an
-    anti join, so rows with detail are never regrouped.
+    Among distinct rows of one key at most one has NULL detail, so it is shadowed
+    exactly when a row with detail exists: an anti join of the NULL-detail rows
+    against the keys of the others.
     """
-    plain = df.distinct()
-    repeated = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    bare = plain.filter(F.col(detail).isNull())
-    alone = bare.join(repeated, keys, "left_anti")
-    return plain.filter(F.col(detail).isNotNull()).unionByName(alone.select(*plain.columns))
+    columns = df.columns
+    rest = [c for c in columns if c not in keys and c != detail]
+    if rest:
+        raise ValueError(f"columns {rest} are neither key nor detail")
+    full = df.filter(F.col(detail).isNotNull()).distinct()
+    bare = df.filter(F.col(detail).isNull()).distinct()
+    alone = bare.join(full.select(*keys), keys, "left_anti")
+    return full.unionByName(alone.select(*columns))
 
 
 def min_max_position(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

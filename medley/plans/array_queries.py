@@ -16,7 +16,7 @@ from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import definition_text
 
-R6 = lambda c: F.round(c, 6)
+R6 = V.round_to
 
 _POS = "CAST(row_number() OVER (PARTITION BY stimulus ORDER BY cid) - 1 AS INTEGER)"
 

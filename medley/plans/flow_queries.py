@@ -23,7 +23,7 @@ from medley.sources import catalog as C
 from medley.sources import tables as S
 from medley.streaming import accumulate as ST
 
-R6 = lambda c: F.round(c, 6)
+R6 = V.round_to
 
 # --- datasets ----------------------------------------------------------------
 

@@ -25,7 +25,7 @@ def _score(name: str, expr: str, view: str = "pr", digits: int = 6):
     def register(build):
         def run(spark, sf):
             cells = (V.prediction if view == "pr" else V.signed_pair)(spark, sf)
-            return cells.agg(F.round(build(), digits).alias("score"))
+            return cells.agg(V.round_to(build(), digits).alias("score"))
 
         query(name, sql)(run)
         return build
@@ -77,7 +77,7 @@ def pinball():
 def column_weighted(spark, sf):
     cells = V.prediction(spark, sf)
     weights = cells.groupBy("dim").agg((1 / (1 + F.avg("y"))).alias("weight"))
-    return S.column_weighted_mse(cells, weights).select(F.round("score", 6).alias("score"))
+    return S.column_weighted_mse(cells, weights).select(V.round_to("score", 6).alias("score"))
 
 
 @_score(
@@ -110,7 +110,7 @@ def two_output(spark, sf):
     cells = V.prediction(spark, sf).select(
         "y", F.greatest("y_hat", F.lit(0.0)).alias("y_hat"), (10 * (F.col("y_hat") - 0.1)).alias("logit")
     )
-    return cells.agg(F.round(L.two_output_hurdle(), 6).alias("score"))
+    return cells.agg(V.round_to(L.two_output_hurdle(), 6).alias("score"))
 
 
 _COMPOSITE_PARTS = f"""(SELECT avg({BCE}) AS bce, sqrt(avg((x - y) * (x - y)) + 1e-6) AS rmse
@@ -130,7 +130,7 @@ _COS_PART = """(SELECT 1 - avg(s / greatest(n, 1e-8)) AS cosine FROM
 )
 def composite(spark, sf):
     scored = S.composite(V.prediction(spark, sf), alpha=0.5, beta=1.0, gamma=0.8, delta=0.3)
-    return scored.select(F.round("score", 6).alias("score"))
+    return scored.select(V.round_to("score", 6).alias("score"))
 
 
 @query(
@@ -145,7 +145,7 @@ def composite(spark, sf):
 )
 def composite_uncertain(spark, sf):
     scored = S.composite_uncertain(V.prediction(spark, sf), [0.1, 0.2, 0.3, 0.4])
-    return scored.select(F.round("score", 6).alias("score"))
+    return scored.select(V.round_to("score", 6).alias("score"))
 
 
 @query(
@@ -157,7 +157,7 @@ def composite_uncertain(spark, sf):
     ),
 )
 def focal(spark, sf):
-    return V.prediction(spark, sf).agg(F.round(L.focal(), 6).alias("score"))
+    return V.prediction(spark, sf).agg(V.round_to(L.focal(), 6).alias("score"))
 
 
 @query(
@@ -170,7 +170,7 @@ def focal(spark, sf):
 )
 def basics(spark, sf):
     return V.prediction(spark, sf).agg(
-        *[F.round(L.loss(n), 6).alias(n) for n in ("mae", "mse", "bce")]
+        *[V.round_to(L.loss(n), 6).alias(n) for n in ("mae", "mse", "bce")]
     )
 
 

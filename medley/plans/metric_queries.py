@@ -11,7 +11,7 @@ from medley.operators import pooling as P
 from medley.plans import views as V
 from medley.plans.registry import query
 
-R6 = lambda c: F.round(c, 6)
+R6 = V.round_to
 PR = "nv el pr"
 SP = "nv el sp"
 
@@ -47,7 +47,7 @@ ALL_PAIRS_SQL = V.with_views(
 
 @query("V2_all_pairs_cosine", ALL_PAIRS_SQL)
 def all_pairs_cosine(spark, sf):
-    return M.all_pairs_mean_cosine(V.prediction(spark, sf)).select(F.round("cosine", 9).alias("cosine"))
+    return M.all_pairs_mean_cosine(V.prediction(spark, sf)).select(V.round_to("cosine", 9).alias("cosine"))
 
 
 @query(
@@ -60,7 +60,7 @@ def all_pairs_cosine(spark, sf):
     ),
 )
 def truth_by_prediction(spark, sf):
-    return M.all_pairs_mean_cosine(V.signed_pair(spark, sf)).select(F.round("cosine", 9).alias("cosine"))
+    return M.all_pairs_mean_cosine(V.signed_pair(spark, sf)).select(V.round_to("cosine", 9).alias("cosine"))
 
 
 @query(

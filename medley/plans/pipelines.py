@@ -12,6 +12,7 @@ from medley.operators import models as ML
 from medley.operators import pooling as P
 from medley.operators import tidy as T
 from medley.operators.ordered import exact_quantiles
+from medley.session import cut
 
 # Elements whose symbols disqualify a compound text.
 UNWANTED_ELEMENTS = [
@@ -70,9 +71,10 @@ def tidy_inputs(
         "dilution",
         F.lower("solvent").alias("solvent"),
     )
-    stacked = T.trim_strings(single.unionByName(mixed))
-    plain = T.drop_shadowed(stacked, ["stimulus", "cid", "dilution", "solvent", "pos"], "component")
-    wanted = J.present_in(plain, known, ["stimulus"])
+    stacked = J.present_in(T.trim_strings(single.unionByName(mixed)), known, ["stimulus"])
+    wanted = T.drop_shadowed(stacked, ["stimulus", "cid", "dilution", "solvent", "pos"], "component")
+    # read twice below (solvent counts, per-component bounds): written once
+    wanted = cut(wanted)
     codes = T.ids_by_frequency(wanted, "solvent", "solvent_id").select("solvent", "solvent_id")
     coded = wanted.join(codes, "solvent")
     kept = coded.filter(~F.col("stimulus").isin(excluded)) if excluded else coded

@@ -12,7 +12,7 @@ from medley.operators import tidy as T
 from medley.plans import views as V
 from medley.plans.registry import query
 
-R6 = lambda c: F.round(c, 6)
+R6 = V.round_to
 
 
 # --- projections -------------------------------------------------------------
@@ -431,7 +431,7 @@ def reconcile(spark, sf):
         F.sum("l_extendedprice").alias("b")
     )
     differing = J.disagreements(a, b, ["stimulus"], "a", "b", 0.005)
-    return differing.select("stimulus", F.round("a", 2).alias("total_a"), F.round("b", 2).alias("total_b"))
+    return differing.select("stimulus", V.round_to("a", 2).alias("total_a"), V.round_to("b", 2).alias("total_b"))
 
 
 # --- deduplication, grouping -------------------------------------------------
@@ -630,7 +630,7 @@ def running_mean(spark, sf):
     rows = O.Ordered(events, ["user_id"], ["ts", "event_id"]).with_running(
         O.Running("n", "sum", F.lit(1).cast("long")), O.Running("total", "sum", F.col("value"))
     )
-    return rows.rows().select("user_id", "event_id", "n", F.round(F.col("total") / F.col("n"), 9).alias("mean"))
+    return rows.rows().select("user_id", "event_id", "n", V.round_to(F.col("total") / F.col("n"), 9).alias("mean"))
 
 
 EARLY_STOP_SQL = """WITH s AS (SELECT user_id, value, row_number() OVER w - 1 AS step, max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
@@ -662,7 +662,7 @@ def average_ranks(spark, sf):
     from medley.operators.metrics import average_ranks as ranks
 
     found = ranks(V.stimulus_label(spark, sf), ["dim"], "y")
-    return found.select("dim", F.round("y", 9).alias("y"), "avg_rank")
+    return found.select("dim", V.round_to("y", 9).alias("y"), "avg_rank")
 
 
 # --- order, sets -------------------------------------------------------------

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 DIMS = 64  # length of the embedding vectors in the test tables
 
 
+def round_to(column: Column | str, digits: int = 6) -> Column:
+    """Round a double in place: nearest integer of x * 10^digits, divided back.
+
+    Unlike the built-in round it does not go through decimals, and it keeps the
+    sign of zero as the checking engine does.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
