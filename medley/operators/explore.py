@@ -98,17 +98,34 @@ def expected_ratings(entries: DataFrame, ratings: DataFrame, dims: int) -> DataF
 
 
 def component_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
-    """For every mixture component, the (dilution, rating) observations of its singles.
+    """(cid, dilution, rating_row, n_obs): the rated observations of every single component.
 
-    Both sides are collapsed first, equal observations to ``n_obs`` and equal
-    entries to ``n_entries``; the join emits each distinct combination once.
+    Equal observations are collapsed to a count.  The history is kept once per
+    component; a mixture refers to it by ``cid``.
     """
-    observed = singles(entries).join(ratings.select("stimulus", "rating_row"), "stimulus")
-    observed = observed.groupBy("cid", "dilution", "rating_row").agg(F.count(F.lit(1)).alias("n_obs"))
-    mixed = with_size(entries).filter("size > 1").groupBy("stimulus", "cid").agg(
-        F.count(F.lit(1)).alias("n_entries")
+    observed = singles(entries.select("stimulus", "cid", "dilution")).join(
+        ratings.select("stimulus", "rating_row"), "stimulus"
     )
-    return mixed.join(observed, "cid").select("stimulus", "cid", "dilution", "rating_row", "n_obs", "n_entries")
+    return observed.groupBy("cid", "dilution", "rating_row").agg(F.count(F.lit(1)).alias("n_obs"))
+
+
+def mixture_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(stimulus, cid, n_entries, observations, distinct, low, high): a mixture's
+    components with the extent of their histories.
+
+    Copying a component's list into every mixture that uses it would emit
+    mixtures x observations rows; the link and the summary say the same, and
+    ``component_history`` holds the lists.
+    """
+    extent = component_history(entries, ratings).groupBy("cid").agg(
+        F.sum("n_obs").alias("observations"),
+        F.count(F.lit(1)).alias("distinct"),
+        F.min("dilution").alias("low"),
+        F.max("dilution").alias("high"),
+    )
+    mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1")
+    links = mixed.groupBy("stimulus", "cid").agg(F.count(F.lit(1)).alias("n_entries"))
+    return links.join(extent, "cid").select("stimulus", "cid", "n_entries", "observations", "distinct", "low", "high")
 
 
 def measured_against_components(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:

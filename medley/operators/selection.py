@@ -13,17 +13,19 @@ from medley.functions.mixing import mix
 from medley.functions.numeric import safe_divide
 
 
-def mutual_information(cells: DataFrame, targets: DataFrame, bins: int = 8) -> DataFrame:
+def mutual_information(rows: DataFrame, vec: str, target: str, bins: int = 8) -> DataFrame:
     """(dim, mi) in nats between each binned feature dim and a discrete target.
 
-    ``cells(row_id, dim, v)``, ``targets(row_id, target)``.  Features are cut into
-    equal-width bins per dim; only bin counts are shuffled after the join.
+    ``rows`` carries the feature vector and the target together, so the cells
+    need no join by row.  Features are cut into equal-width bins per dim; only
+    bin bounds and bin counts are shuffled.
     """
+    cells = rows.select(F.col(target).alias("target"), F.posexplode(vec).alias("dim", "v"))
     bounds = cells.groupBy("dim").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.least(F.floor(safe_divide(F.col("v") - F.col("_lo"), width)), F.lit(bins - 1))
-    binned = cells.join(bounds, "dim").select("row_id", "dim", F.coalesce(slot, F.lit(0)).alias("bin"))
-    joint = binned.join(targets, "row_id").groupBy("dim", "bin", "target").agg(F.count(F.lit(1)).alias("n"))
+    binned = cells.join(bounds, "dim").select("dim", "target", F.coalesce(slot, F.lit(0)).alias("bin"))
+    joint = binned.groupBy("dim", "bin", "target").agg(F.count(F.lit(1)).alias("n"))
     # at most bins x classes rows per dim from here on
     by_bin = joint.groupBy("dim", "bin").agg(F.sum("n").alias("nb"))
     by_target = joint.groupBy("dim", "target").agg(F.sum("n").alias("nt"))

@@ -356,9 +356,8 @@ _BINNED = """SELECT el.vec_id, el.dim, label, CASE WHEN hi = lo THEN 0 ELSE leas
     ),
 )
 def mutual_information(spark, sf):
-    cells = V.long_vectors(spark, sf).withColumnRenamed("vec_id", "row_id")
-    targets = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), F.col("label").alias("target"))
-    return SEL.mutual_information(cells, targets).select("dim", R6("mi").alias("mi"))
+    found = SEL.mutual_information(V.vectors(spark, sf), "vec", "label")
+    return found.select("dim", R6("mi").alias("mi"))
 
 
 @query("M11_linear_heads")

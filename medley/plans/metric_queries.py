@@ -340,17 +340,27 @@ def expected_rating(spark, sf):
     return cells.select("stimulus", "dim", "known", R6("expected").alias("expected"))
 
 
+_HISTORY = """SELECT s.cid, s.dilution, sr.rating_row, count(*) AS n_obs FROM mc s JOIN sz USING (stimulus) JOIN sr USING (stimulus)
+ WHERE sz.n = 1 GROUP BY 1, 2, 3"""
+
+
+@query("G19_component_history", V.with_views("mc sz nv sr", "SELECT * FROM h", h=_HISTORY))
+def history(spark, sf):
+    return X.component_history(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
+
+
 @query(
-    "G19_component_history",
+    "G19_mixture_history",
     V.with_views(
         "mc sz nv sr",
-        """SELECT m.stimulus, m.cid, h.dilution, h.rating_row, h.n_obs, count(*) AS n_entries FROM mc m JOIN sz USING (stimulus) JOIN
-        (SELECT s.cid, s.dilution, sr.rating_row, count(*) AS n_obs FROM mc s JOIN sz USING (stimulus) JOIN sr USING (stimulus)
-         WHERE sz.n = 1 GROUP BY 1, 2, 3) h USING (cid) WHERE sz.n > 1 GROUP BY ALL""",
+        """SELECT m.stimulus, m.cid, m.n_entries, CAST(sum(n_obs) AS BIGINT) AS observations, count(*) AS "distinct", min(dilution) AS low, max(dilution) AS high
+        FROM (SELECT stimulus, cid, count(*) AS n_entries FROM mc JOIN sz USING (stimulus) WHERE sz.n > 1 GROUP BY ALL) m JOIN h USING (cid)
+        GROUP BY m.stimulus, m.cid, m.n_entries""",
+        h=_HISTORY,
     ),
 )
-def history(spark, sf):
-    return X.component_history(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
+def mixture_history(spark, sf):
+    return X.mixture_history(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
 
 
 _CHAIN = """SELECT mc.stimulus, r.dim, r.y, avg(m.mean) AS y_hat FROM mc JOIN sz USING (stimulus) JOIN means m USING (cid)

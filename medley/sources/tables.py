@@ -63,10 +63,9 @@ def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame])
 def save_split(split: DataFrame, path: str) -> None:
     """One folder per fold, so reading a fold touches only its files.
 
-    Rows of a fold are gathered by a hash of the fold and the row, so a fold is
-    written by several tasks instead of one."""
-    rows = split.repartition("fold", F.pmod(F.xxhash64(*split.columns), F.lit(16)))
-    write_table(rows, path, partition_by=["fold"])
+    Rows are rebalanced by fold: adaptive execution sizes the files and splits a
+    large fold over several tasks."""
+    write_table(split.hint("rebalance", "fold"), path, partition_by=["fold"])
 
 
 def load_split(spark: SparkSession, path: str, fold: int) -> DataFrame | None:

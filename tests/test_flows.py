@@ -173,7 +173,6 @@ def test_models_learn_and_persist(spark, learning):
 def test_elimination_keeps_the_informative_dim(learning):
     kept, history = SEL.eliminate(learning.select("row_id", "features", "y"), 6, folds=2, step=2, keep=2, trees=2, depth=2)
     assert 2 in kept and [n for n, _ in history] == [6, 4, 2]
-    cells = learning.select("row_id", F.posexplode("vec").alias("dim", "v"))
-    target = learning.select("row_id", (F.col("y") > 0).cast("int").alias("target"))
-    ranked = SEL.mutual_information(cells, target).orderBy(F.desc("mi")).first()
+    flagged = learning.withColumn("on", (F.col("y") > 0).cast("int"))
+    ranked = SEL.mutual_information(flagged, "vec", "on").orderBy(F.desc("mi")).first()
     assert ranked["dim"] == 2
