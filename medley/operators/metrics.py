@@ -88,14 +88,17 @@ def auroc(pred: DataFrame, keys: list[str], label: str = "y", score: str = "y_ha
     return ranks.groupBy(*keys).agg(safe_divide(wins, total).alias("auroc"))
 
 
+RADIX_BITS = 3
+
+
 def kendall(pred: DataFrame, keys: list[str], y: str = "y", p: str = "y_hat") -> DataFrame:
     """Kendall tau-b per key in n log n rows.
 
     Discordant pairs are counted as inversions: the rank of ``p`` is read as
-    bits, and two rows are ordered wrongly exactly at the highest bit where
-    their ranks differ.  For every bit level the rows sharing the higher bits
-    are walked in ``y`` order and each 0-bit adds the 1-bits already seen, which
-    is one prefix sum over (level, higher bits).
+    base-8 digits, and two rows are ordered wrongly exactly at the highest digit
+    where their ranks differ.  For every digit level the rows sharing the higher
+    digits are walked in ``y`` order, and each row adds the larger digits already
+    seen: a few prefix sums over (level, higher digits).
     """
     group = list(keys)
     if not group:
@@ -105,7 +108,7 @@ def kendall(pred: DataFrame, keys: list[str], y: str = "y", p: str = "y_hat") ->
     ).agg(F.count(F.lit(1)).alias("c"))
     pairs = cut(pairs)  # read by every count below
     size = pairs.groupBy(*group).agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0] or 1
-    levels = max(1, (size - 1).bit_length())
+    levels = max(1, -(-(size - 1).bit_length() // RADIX_BITS))
     by_p = pairs.groupBy(*group, "_p").agg(F.sum("c").alias("t"))
     codes = (
         Ordered(by_p, group, ["_p"])
@@ -116,21 +119,25 @@ def kendall(pred: DataFrame, keys: list[str], y: str = "y", p: str = "y_hat") ->
     coded = pairs.join(codes, [*group, "_p"]).withColumn(
         "level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     )
-    bits = coded.select(
+    shift = f"level * {RADIX_BITS}"
+    digits = coded.select(
         *group,
         "_y",
         "code",
         "c",
         "level",
-        F.expr("shiftright(code, level + 1)").alias("high"),
-        F.expr("shiftright(code, level) & 1").alias("bit"),
-    )
-    walked = Ordered(bits, [*group, "level", "high"], ["_y", "code"]).with_running(
-        Running("ones", "sum", F.col("c") * F.col("bit"), inclusive=False)
+        F.expr(f"shiftright(code, {shift} + {RADIX_BITS})").alias("high"),
+        F.expr(f"cast(shiftright(code, {shift}) & {2**RADIX_BITS - 1} as int)").alias("digit"),
     )
-    inversions = walked.rows().groupBy(*group).agg(
-        F.sum((F.col("c") * (1 - F.col("bit"))).cast("double") * F.col("ones")).alias("inv")
+    above = range(1, 2**RADIX_BITS)
+    walked = Ordered(digits, [*group, "level", "high"], ["_y", "code"]).with_running(
+        *[
+            Running(f"_ge{d}", "sum", F.when(F.col("digit") >= d, F.col("c")).otherwise(0), inclusive=False)
+            for d in above
+        ]
     )
+    larger = F.get(F.array(*[F.col(f"_ge{d}") for d in above], F.lit(0).cast("long")), F.col("digit"))
+    inversions = walked.rows().groupBy(*group).agg(F.sum(F.col("c").cast("double") * larger).alias("inv"))
     choose2 = lambda c: c.cast("double") * (c - 1) / 2
     tie = lambda df, c, name: df.groupBy(*group).agg(F.sum(choose2(F.col(c))).alias(name), F.sum(c).alias(f"{name}_n"))
     ties_y = tie(pairs.groupBy(*group, "_y").agg(F.sum("c").alias("t")), "t", "n1")

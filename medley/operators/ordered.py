@@ -34,7 +34,7 @@ class Ordered:
     """Rows cut into ordered slices; ``order`` with ``keys`` should be a total order.
 
     ``ties=True`` adds a random last sort key, so that even a mass of equal rows
-    is spread over slices; the checkpoint below fixes the draw.
+    is spread over slices; the written table fixes the draw.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list, slices: int | None = None, ties: bool = False):

@@ -71,7 +71,8 @@ def tidy_inputs(
         "dilution",
         F.lower("solvent").alias("solvent"),
     )
-    stacked = J.present_in(T.trim_strings(single.unionByName(mixed)), known, ["stimulus"])
+    # read twice by the next step (rows with and without detail): written once
+    stacked = cut(J.present_in(T.trim_strings(single.unionByName(mixed)), known, ["stimulus"]))
     wanted = T.drop_shadowed(stacked, ["stimulus", "cid", "dilution", "solvent", "pos"], "component")
     # read twice below (solvent counts, per-component bounds): written once
     wanted = cut(wanted)

@@ -57,6 +57,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes the rows, so a lost executor cannot re-draw them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there.
+
+    This fixes the rows, so a lost executor cannot re-draw them, and unlike a
+    checkpoint it is columnar: later steps read only the columns they use and
+    the planner knows the size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
