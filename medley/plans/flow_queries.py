@@ -14,7 +14,7 @@ from medley.operators import pooling as P
 from medley.operators import selection as SEL
 from medley.operators import splits as SP
 from medley.operators import tidy as T
-from medley.plans import pipelines as PL
+from medley.plans import flows as PL
 from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import EARLY_STOP_SQL, definition_text
