@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context: a driver that put it
+    on its own path only does not have it there."""
+    context = spark.sparkContext
+    if getattr(context, "_medley_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="medley-package-"), "medley.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._medley_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path for a written table inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
