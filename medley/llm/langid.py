@@ -121,6 +121,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS, word
     """A field from (text, language) pairs: maximum likelihood with a Gaussian prior."""
     rng = np.random.default_rng(seed)
     labels = sorted({lang for _, lang in sample})
+    if not labels:
+        return Field([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), {})
     texts = {lang: [w for text, own in sample if own == lang for w in words(text)] for lang in labels}
     vocabulary: dict[str, int] = {}
     coded = {lang: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for lang, ws in texts.items()}

@@ -135,32 +135,49 @@ class Scanner:
                 rest -= count[word]
                 self.keys.setdefault(word, []).append(name)
 
-    def windows(self, places: list[tuple[int, str]], name: str, total: int) -> Iterator[tuple[int, int]]:
-        """Stretches of the text that hold enough of the template's words, overlapping ones joined
-        up to the window length.  ``places``: (place, word) of the template's words in the text."""
-        count, size = self.counts[name], len(self.templates[name])
-        reach = int(STRETCH * size) + 2
+    def copies(self, lower: list[str], places: list[tuple[int, str]], name: str) -> Iterator[list[tuple[int, int]]]:
+        """Alignments of the template's copies, from left to right.  ``places``: (place, word) of its
+        words in the text.  Once a window holds enough of them it is aligned; the search goes on
+        behind a copy, or a little further where there was none."""
+        template, count = self.templates[name], self.counts[name]
+        size = len(template)
         need = self.coverage * size
+        reach = int(STRETCH * size) + 2
+        beyond = int(STRETCH * (size - need)) + 2  # the rest of a copy, from where it is noticed
         inside: Counter = Counter()
-        held, first = 0, 0
-        open_from = open_to = None
-        for last, (place, word) in enumerate(places):
+        held = first = last = 0
+        while last < len(places):
+            place, word = places[last]
             inside[word] += 1
             held += inside[word] <= count[word]
-            while places[first][0] <= place - reach:
+            last += 1
+            keep_from = place - reach + 1
+            if held >= need:
+                begin = max(places[first][0], keep_from)
+                pairs = align(lower[begin : place + beyond], template)
+                if len(pairs) >= need:
+                    pairs = [(begin + i, j) for i, j in pairs]
+                    # it may have been noticed early, by words in front of it: look at its whole reach
+                    again = align(lower[pairs[0][0] : pairs[0][0] + reach], template)
+                    if len(again) > len(pairs):
+                        pairs = [(pairs[0][0] + i, j) for i, j in again]
+                    behind = align(lower[pairs[len(pairs) // 2][0] : pairs[len(pairs) // 2][0] + reach], template)
+                    if len(behind) > len(pairs):
+                        pairs = [(pairs[len(pairs) // 2][0] + i, j) for i, j in behind]
+                    yield pairs
+                    while last < len(places) and places[last][0] <= pairs[-1][0]:
+                        last += 1
+                    inside, held, first = Counter(), 0, last
+                    while first and places[first - 1][0] > pairs[-1][0]:  # read already, but behind the copy
+                        first -= 1
+                    last = first
+                    continue
+                keep_from = max(keep_from, begin + max(1, size // 8))
+            while first < last and places[first][0] < keep_from:
                 old = places[first][1]
                 held -= inside[old] <= count[old]
                 inside[old] -= 1
                 first += 1
-            if held >= need:
-                if open_from is not None and places[first][0] <= open_to and place - open_from < reach:
-                    open_to = place
-                else:
-                    if open_from is not None:
-                        yield open_from, open_to + 1
-                    open_from, open_to = places[first][0], place
-        if open_from is not None:
-            yield open_from, open_to + 1
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, start, end, coverage) of every stretch, by start; of overlapping ones the one
@@ -179,11 +196,8 @@ class Scanner:
                     hits[name].append((i, word))
         for name in names:
             template = self.templates[name]
-            for start, stop in self.windows(hits[name], name, len(lower)):
-                pairs = align(lower[start:stop], template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage:
-                    found.append((len(pairs), name, start + pairs[0][0], start + pairs[-1][0], share))
+            for pairs in self.copies(lower, hits[name], name):
+                found.append((len(pairs), name, pairs[0][0], pairs[-1][0], len(pairs) / len(template)))
         found.sort(key=lambda f: (-f[0], -f[4], f[2], f[1]))
         kept: list[tuple[str, int, int, float]] = []
         taken: list[tuple[int, int]] = []

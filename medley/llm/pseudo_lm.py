@@ -119,7 +119,7 @@ class Network:
             rng.normal(0, 0.1, (SIZE, WIDTH)).astype(np.float32),
             rng.normal(0, wide**-0.5, (wide, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
-            rng.normal(0, HIDDEN**-0.5, (HIDDEN, SIZE)).astype(np.float32),
+            np.zeros((HIDDEN, SIZE), np.float32),  # so that the first guess is the bias alone
             np.zeros(SIZE, np.float32),
         )
 
@@ -168,6 +168,23 @@ class Network:
         self.vectors[used] -= 8 * rate * np.add.reduceat(into[order], first, axis=0)
 
 
+def code_counts(rows: DataFrame) -> np.ndarray:
+    """How often each id occurs in the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(data or b"", np.uint8), minlength=SIZE)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(total)], ["id", "n"])
+
+    counted = rows.select("words").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    out = np.zeros(SIZE, np.int64)
+    for code, n in counted.collect():
+        out[code] = n
+    return out
+
+
 def windows(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The REACH words on both sides of each place, EDGE beyond the text."""
     padded = np.zeros(len(words) + 2 * REACH, np.int64)
@@ -270,7 +287,10 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE)
     has 0 words, log-likelihood 0 and a NULL ``per_word``.  An empty table gives no rows.
     """
     rows = cut(coded(docs, frequent_words(docs)))
-    weights = Network.fresh().flat()
+    start = Network.fresh()
+    counts = code_counts(rows) + 0.5
+    start.outer_bias = np.log(counts / counts.sum()).astype(np.float32)  # begin with the frequencies
+    weights = start.flat()
     for _ in range(rounds):
         trained = train_round(rows, weights, stride)
         weights = weights if trained is None else trained

@@ -29,13 +29,13 @@ def query(name: str, sql: str | None = None):
     "op1_segment_topk",
     """
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
       FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     ), s AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-             CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), i -> q.e[i] * c.e[i])), 0)
+             CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)
                   AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
     ), r AS (
