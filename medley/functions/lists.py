@@ -78,11 +78,11 @@ def pad(c: Column | str, length: int, fill=PADDING) -> Column:
 
 
 def pad_nested(c: Column | str, length: int, inner: int, fill=PADDING) -> Column:
-    """Pad the inner lists to ``inner`` and the outer list to ``length``."""
+    """Pad the inner lists to ``inner`` and the outer list to ``length``; NULL becomes all padding."""
     rows = F.transform(_col(c), lambda x: pad(x, inner, fill))
     empty = F.array_repeat(F.lit(fill), F.lit(inner))
     missing = F.greatest(F.lit(length) - F.size(_col(c)), F.lit(0))
-    return F.concat(rows, F.array_repeat(empty, missing))
+    return F.coalesce(F.concat(rows, F.array_repeat(empty, missing)), F.array_repeat(empty, F.lit(length)))
 
 
 def fit(c: Column | str, k: int, fill=0.0) -> Column:

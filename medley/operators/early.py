@@ -15,12 +15,15 @@ def early_stop(
     value: str,
     patience: int = 100,
     mode: str = "maximize",
+    min_delta: float | None = None,
     state: DataFrame | None = None,
 ) -> DataFrame:
     """(run, stop_step, best_step, best, steps) per run; ``stop_step`` NULL if not stopped.
 
-    A value equal to the best so far counts as an improvement.  The run stops at
-    the first step that is ``patience`` steps past the last improvement.  All
+    Without ``min_delta`` a value equal to the best so far counts as an improvement; with
+    it only one that beats the last improvement by ``min_delta`` or more.  The best is
+    the value of the last improvement.  NaN and NULL are no gain and never the best.  The run stops at the first step that is ``patience`` steps past the last
+    improvement, counted from the first step if there was none.  All
     running values are cut into slices, so one very long run is spread out.
 
     ``state`` is the result for the steps already seen; ``series`` then holds the
@@ -30,7 +33,8 @@ def early_stop(
         raise ValueError("mode must be 'maximize' or 'minimize'")
     sign = 1.0 if mode == "maximize" else -1.0
     prior = ["_steps0", "_best0", "_last0"]
-    rows = series.withColumn("_v", F.col(value) * sign)
+    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    rows = series.withColumn("_v", F.when(usable, F.col(value) * sign))
     if state is None:
         rows = rows.withColumns({"_steps0": F.lit(0).cast("long"), "_best0": F.lit(None).cast("double"), "_last0": F.lit(None).cast("long")})
     else:
@@ -39,7 +43,7 @@ def early_stop(
         )
         stopped = state.filter(F.col("stop_step").isNotNull()).select(run)
         rows = rows.join(stopped, run, "left_anti").join(known, run, "left").fillna(0, ["_steps0"])
-    gained = (
+    ordered = (
         Ordered(rows.select(run, *order, "_v", *prior), [run], order)
         .with_running(
             Running("_seen", "sum", F.lit(1).cast("long"), inclusive=False),
@@ -47,23 +51,51 @@ def early_stop(
         )
         .with_column("_step", F.col("_seen") + F.col("_steps0"))
         .with_column("_top", F.greatest("_before", "_best0"))
-        .with_column("_gain", F.when(F.col("_top").isNull() | (F.col("_v") >= F.col("_top")), F.col("_step")))
+    )
+    if min_delta:
+        gain = F.col("_gain")
+        ordered = ordered.with_join(_gains(ordered.rows(), run, abs(min_delta)), [run, "_step"])
+    else:
+        beats = F.col("_v").isNotNull() & (F.col("_top").isNull() | (F.col("_v") >= F.col("_top")))
+        gain = F.when(beats, F.col("_step"))
+    gained = (
+        ordered.with_column("_gain", gain)
         .with_running(Running("_gained", "max", F.col("_gain")))
         .with_column("_last", F.greatest("_gained", "_last0"))
         .rows()
-        .select(run, "_step", "_v", "_last", "_best0")
-    )
-    stops = gained.filter(F.col("_step") - F.col("_last") >= patience).groupBy(run).agg(
-        F.min("_step").alias("stop_step")
+        .select(run, "_step", "_v", "_gain", "_last", "_best0")
     )
+    waited = F.col("_step") - F.coalesce("_last", F.lit(-1))
+    stops = gained.filter(waited >= patience).groupBy(run).agg(F.min("_step").alias("stop_step"))
     seen = gained.join(stops, run, "left").filter(F.col("stop_step").isNull() | (F.col("_step") <= F.col("stop_step")))
     fresh = seen.groupBy(run).agg(
         F.max("stop_step").alias("stop_step"),
         F.max("_last").alias("best_step"),
-        (F.greatest(F.max("_v"), F.max("_best0")) * sign).alias("best"),
+        (F.coalesce(F.max_by("_v", "_gain"), F.max("_best0")) * sign).alias("best"),
         (F.max("_step") + 1).alias("steps"),
     )
     if state is None:
         return fresh
     untouched = state.join(fresh.select(run), run, "left_anti")
     return fresh.unionByName(untouched.select(*fresh.columns))
+
+
+def _gains(rows: DataFrame, run: str, min_delta: float) -> DataFrame:
+    """(run, _step, _gain) of the steps that beat the last improvement by ``min_delta``.
+
+    Each of them is a record, above all values before it, so only the records of a run
+    are walked through; they are one row's list, while the run itself stays cut into slices.
+    """
+    records = rows.filter(F.col("_v").isNotNull() & (F.col("_top").isNull() | (F.col("_v") > F.col("_top"))))
+    walked = records.groupBy(run).agg(
+        F.sort_array(F.collect_list(F.struct("_step", "_v"))).alias("_records"), F.first("_best0").alias("_best")
+    )
+    steps = F.aggregate(
+        "_records",
+        F.struct(F.col("_best").alias("best"), F.expr("cast(array() as array<bigint>)").alias("steps")),
+        lambda state, r: F.when(
+            state["best"].isNull() | (r["_v"] - min_delta >= state["best"]),
+            F.struct(r["_v"].alias("best"), F.concat(state["steps"], F.array(r["_step"])).alias("steps")),
+        ).otherwise(state),
+    )["steps"]
+    return walked.select(run, F.explode(steps).alias("_step")).withColumn("_gain", F.col("_step"))

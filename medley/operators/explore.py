@@ -22,36 +22,39 @@ def mean_distance_to_others(rows: DataFrame, key: str, vec: str, kind: str) -> D
 
     cosine / pearson: 1 - (u.S - 1) / (n - 1) with unit rows u and their sum S.
     squared: (n|x|^2 - 2 x.S + Q) / (n - 1) with Q the sum of squared norms.
+    A row without a direction (zero for cosine, constant for pearson) gets NULL and is
+    none of the others; so does a row without others.
     """
     if kind not in ("cosine", "pearson", "squared"):
         raise ValueError("kind must be cosine, pearson or squared")
     # per-row scalars are computed once, below the explode
     mean = F.aggregate(vec, F.lit(0.0), lambda s, x: s + x) / F.size(vec)
     rows = rows.select(key, vec, (mean if kind == "pearson" else F.lit(0.0)).alias("_m"), dot(vec, vec).alias("_sq"))
-    norm = F.sqrt(F.col("_sq") - F.size(vec) * F.col("_m") * F.col("_m"))
+    # a sum of squares is not below its rounding error: what is, comes from a constant vector
+    spread = F.greatest(F.col("_sq") - F.size(vec) * F.col("_m") * F.col("_m"), F.lit(0.0))
+    norm = F.when(spread > 1e-15 * F.col("_sq"), F.sqrt(spread))
     rows = rows.withColumn("_norm", F.lit(1.0) if kind == "squared" else norm)
-    cells = rows.select("_m", "_norm", F.posexplode(vec).alias("dim", "v"))
+    cells = rows.filter("_norm is not null").select("_m", "_norm", F.posexplode(vec).alias("dim", "v"))
     unit = (F.col("v") - F.col("_m")) / F.col("_norm")
-    per_dim = cells.groupBy("dim").agg(F.sum(unit).alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    per_dim = cells.groupBy("dim").agg(
+        F.sum(unit).alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n")
+    )
     # one row per dim: the sorted list is as long as the vector
     packed = per_dim.agg(
-        F.sort_array(F.collect_list(F.struct("dim", "s"))).getField("s").alias("s"),
-        F.sum("s").alias("total"),
-        F.sum("q").alias("q"),
-    )
-    scored = rows.withColumns(
-        {
-            "_s": packed.select("s").scalar(),
-            "_total": packed.select("total").scalar(),
-            "_q": packed.select("q").scalar(),
-            "_n": rows.select(F.count(F.lit(1))).scalar(),
-        }
+        F.struct(
+            F.sort_array(F.collect_list(F.struct("dim", "s"))).getField("s").alias("s"),
+            F.sum("s").alias("total"),
+            F.sum("q").alias("q"),
+            F.max("n").alias("n"),
+        ).alias("all")
     )
-    along = (dot(vec, "_s") - F.col("_m") * F.col("_total")) / F.col("_norm")
+    scored = rows.withColumn("_all", packed.scalar())
+    along = F.try_divide(dot(vec, "_all.s") - F.col("_m") * F.col("_all.total"), F.col("_norm"))
+    others = F.col("_all.n") - 1
     if kind == "squared":
-        value = (F.col("_n") * F.col("_sq") - 2 * along + F.col("_q")) / (F.col("_n") - 1)
+        value = F.try_divide(F.col("_all.n") * F.col("_sq") - 2 * along + F.col("_all.q"), others)
     else:
-        value = 1 - (along - 1) / (F.col("_n") - 1)
+        value = 1 - F.try_divide(along - 1, others)
     return scored.select(key, value.alias("distance"))
 
 
@@ -128,6 +131,26 @@ def mixture_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
     return links.join(extent, "cid").select("stimulus", "cid", "n_entries", "observations", "distinct", "low", "high")
 
 
+def component_observations(entries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(cid, dilution, rating, n_obs): the history with its rating vectors."""
+    found = component_history(entries, ratings)
+    vectors = ratings.groupBy("rating_row").agg(F.first("rating").alias("rating"))
+    return found.join(vectors, "rating_row").select("cid", "dilution", "rating_row", "rating", "n_obs")
+
+
+def mixture_observations(entries: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(stimulus, cid, dilution, rating, n_obs): for every mixture the observations of its
+    components, one row each, so a mixture's list may be of any length.
+
+    This copies a component's history into each mixture that uses it; where the link is
+    enough, ``mixture_history`` and ``component_observations`` say the same in less.
+    """
+    mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1").select("stimulus", "cid").distinct()
+    return mixed.join(component_observations(entries, ratings), "cid").select(
+        "stimulus", "cid", "dilution", "rating_row", "rating", "n_obs"
+    )
+
+
 def measured_against_components(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(stimulus, dim, y, y_hat) for rated mixtures whose components all have rated singles."""
     known = cut(single_mean_vectors(entries, ratings, dims).filter("n > 0"))

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # rows of one key that one task may still take
-ROWS_PER_TASK = 20_000  # narrow rows per task before they are multiplied by the vector length
-MAX_TASKS = 100_000
+TASK_BYTES = 64 * 1024 * 1024  # of rows with their vectors, per task
+SHARE = 5_000  # a key with more than 1 / SHARE of all rows is outsized; there can be no more than SHARE
+SKETCH = 4 * SHARE  # keys tracked: the sketch is sure to hold every key above 4 / (3 * SKETCH) of the rows
 
 
-def profile(df: DataFrame, key: str, threshold: int = HOT_ROWS) -> tuple[int, list]:
-    """(row count, keys with more than ``threshold`` rows: at most 1000, largest first).
+def profile(df: DataFrame, key: str, row_bytes: int, threshold: int | None = None) -> tuple[int, list]:
+    """(tasks, outsized keys) for rows that take ``row_bytes`` each once they are wide.
 
-    One scan of the key column with a heavy-hitter sketch; only the short list
-    reaches the driver.  It steers the plan and never changes a result.
+    The rows are counted and their keys sketched in one scan of the key column.
+    Tasks follow the bytes, since adaptive coalescing would only see the narrow
+    rows.  A key is outsized when it holds more than its share of all rows and more
+    than one task should take; ``threshold`` rows may be given instead.  The list
+    steers the plan and never changes a result.
     """
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(`{key}`, 1000, 20000)").alias("top")).first()
-    hot = [i["item"] for i in found["top"] or [] if i["item"] is not None and i["count"] > threshold]
-    return found["rows"], hot
-
-
-def task_count(df: DataFrame, rows: int) -> int:
-    """Tasks for rows that grow after the shuffle; adaptive coalescing would only see
-    their narrow size, so the number is set from the row count."""
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(`{key}`, {SHARE}, {SKETCH})").alias("top")).first()
+    per_task = max(1, TASK_BYTES // max(1, row_bytes))
+    limit = max(per_task, found["rows"] // SHARE) if threshold is None else threshold
+    hot = [i["item"] for i in found["top"] or [] if i["item"] is not None and i["count"] > limit]
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, min(rows // ROWS_PER_TASK, MAX_TASKS))
+    return max(floor, -(-found["rows"] // per_task)), hot
 
 
 def split_hot(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame | None]:

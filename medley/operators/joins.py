@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medley.functions.lists import split_list
 from medley.operators.tidy import keep_first
 
 
@@ -46,13 +47,25 @@ def expand_definition(
     """A ';' list of component ids to one row per entry with the component's fields.
 
     ``components(component, fields)`` may list an id twice: the first row under
-    ``order`` wins.  The position in the list is kept as ``pos``.
+    ``order`` wins.  The position in the list is kept as ``pos``.  An id that is not
+    defined is an error; ``undefined_components`` lists those.
     """
-    from medley.functions.lists import split_list
-
-    entries = definitions.select(key, F.posexplode(split_list(text, "bigint")).alias("pos", "component"))
     first = keep_first(components.select("component", *fields), ["component"], order)
-    return entries.join(first, "component").select(key, "pos", "component", *fields)
+    known = first.withColumn("_known", F.lit(True))
+    joined = _entries(definitions, key, text).join(known, "component", "left")
+    clash = F.raise_error(F.concat(F.lit("no component "), F.col("component").cast("string")))
+    checked = joined.filter(F.when(F.col("_known"), F.lit(True)).otherwise(clash.cast("boolean")))
+    return checked.select(key, "pos", "component", *fields)
+
+
+def undefined_components(definitions: DataFrame, key: str, text: str, components: DataFrame) -> DataFrame:
+    """(key, pos, component) of the list entries that no component row defines."""
+    entries = _entries(definitions, key, text).select(key, "pos", "component")
+    return entries.join(components.select("component"), "component", "left_anti").select(key, "pos", "component")
+
+
+def _entries(definitions: DataFrame, key: str, text: str) -> DataFrame:
+    return definitions.select(key, F.posexplode(split_list(text, "bigint")).alias("pos", "component"))
 
 
 def disagreements(a: DataFrame, b: DataFrame, on: list[str], left: str, right: str, tolerance: float) -> DataFrame:

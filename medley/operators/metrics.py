@@ -65,11 +65,14 @@ def errors(pred: DataFrame, *keys: str) -> DataFrame:
 
 def column_r2(pred: DataFrame) -> DataFrame:
     """1 - SSE / SST per dim; a constant truth scores 1 when exact, else 0."""
+    return pred.groupBy("dim").agg(r2_agg().alias("r2"))
+
+
+def r2_agg() -> Column:
     e = F.col("y") - F.col("y_hat")
     sse, sst = F.sum(e * e), F.var_pop("y") * F.count("y")
     flat = F.min("y") == F.max("y")
-    score = F.when(flat, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - safe_divide(sse, sst))
-    return pred.groupBy("dim").agg(score.alias("r2"))
+    return F.when(flat, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - safe_divide(sse, sst))
 
 
 def average_ranks(pred: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -170,11 +173,7 @@ def by_part(pred: DataFrame) -> DataFrame:
     row_level = rows.groupBy("part").agg(
         F.avg("rp").alias("row_pearson"), F.avg("cs").alias("cosine")
     )
-    e = F.col("y") - F.col("y_hat")
-    columns = parted.groupBy("part", "dim").agg(
-        pearson_agg("y", "y_hat").alias("cp"),
-        (1 - safe_divide(F.sum(e * e), F.var_pop("y") * F.count("y"))).alias("r2"),
-    )
+    columns = parted.groupBy("part", "dim").agg(pearson_agg("y", "y_hat").alias("cp"), r2_agg().alias("r2"))
     column_level = columns.groupBy("part").agg(F.avg("cp").alias("column_pearson"), F.avg("r2").alias("r2"))
     return row_level.join(column_level, "part")
 
@@ -215,14 +214,14 @@ def metric_from_sums(metric: str) -> Column:
 
 
 def bootstrap(
-    pred: DataFrame, metric: str, resamples: int = 500, alpha: float = 0.05, seed: int = 0, method: str = "resample"
+    pred: DataFrame, metric: str, resamples: int = 500, alpha: float = 0.05, seed: int = 0, method: str = "poisson"
 ) -> DataFrame:
     """(metric, lower, upper) percentile bounds over ``resamples`` draws of rows.
 
-    'resample' draws n rows with replacement per replicate: an index per row and
-    replicate, equi-joined to the rows' sums.  'poisson' gives every row an
-    independent Poisson(1) weight per replicate, the usual form for very large
-    n: no join, and the shuffle carries one partial row per task and replicate.
+    'poisson' gives every row an independent Poisson(1) weight per replicate: no
+    join, and the shuffle carries one partial row per task and replicate.
+    'resample' draws n rows with replacement per replicate, an index per row and
+    replicate, equi-joined to the rows' sums; for small n.
     """
     sums = row_sums(pred)
     replicates = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
@@ -253,12 +252,12 @@ def poisson_cuts() -> list[int]:
     """Integer thresholds of the Poisson(1) distribution on the hash range."""
     from math import exp, factorial
 
-    from medley.functions.mixing import MODULUS
+    from medley.functions.mixing import RANGE
 
     cuts, acc = [], 0.0
     for k in range(12):
         acc += exp(-1) / factorial(k)
-        cuts.append(int(acc * MODULUS))
+        cuts.append(int(acc * RANGE))
     return cuts
 
 

@@ -90,6 +90,10 @@ class Ordered:
     def with_column(self, name: str, column: Column) -> "Ordered":
         return self._with(self.df.withColumn(name, column))
 
+    def with_join(self, other: DataFrame, on: list[str]) -> "Ordered":
+        """Columns of ``other``, at most one row per ``on``, attached where they exist."""
+        return self._with(self.df.join(other, on, "left"))
+
     def rows(self) -> DataFrame:
         return self.df.drop(_SLICE, _TIE)
 

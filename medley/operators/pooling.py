@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medley.operators.hot import HOT_ROWS, profile, split_hot, task_count
+from medley.operators.hot import profile, split_hot
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 
@@ -37,16 +37,16 @@ def aggregate_members(
     link: str,
     vec: str,
     aggregates: Callable[[], list[Column]],
-    threshold: int = HOT_ROWS,
+    threshold: int | None = None,
     sketch: DataFrame | None = None,
 ) -> DataFrame:
     """(key, dim, aggregates): aggregates may use ``_v``, the member's value in
     that dimension, and any column of ``entries``."""
 
-    rows, hot = profile(entries if sketch is None else sketch, key, threshold)
-    tasks = task_count(entries, rows)
     vectors = features.select(link, vec)
-    small = vector_bytes(vectors, vec) <= BROADCAST_BYTES
+    total, widest = vector_bytes(vectors, vec)
+    tasks, hot = profile(entries if sketch is None else sketch, key, widest, threshold)
+    small = total <= BROADCAST_BYTES
 
     def attach(part: DataFrame) -> DataFrame:
         return part.join(F.broadcast(vectors) if small else vectors, link)
@@ -61,12 +61,10 @@ def aggregate_members(
     return pooled if outsized is None else pooled.unionByName(reduce_cells(attach(outsized)))
 
 
-def vector_bytes(vectors: DataFrame, vec: str) -> int:
-    """Size of a table of equally long vectors: rows times width, 8 bytes an entry.
-
-    Counts rows without reading the vectors and looks at one of them."""
-    first = vectors.filter(F.col(vec).isNotNull()).select(F.size(vec).alias("width")).first()
-    return vectors.count() * first["width"] * 8 if first else 0
+def vector_bytes(vectors: DataFrame, vec: str) -> tuple[int, int]:
+    """Bytes of all vectors and of the longest one, 8 an entry."""
+    found = vectors.agg(F.sum(F.size(vec)).alias("entries"), F.max(F.size(vec)).alias("widest")).first()
+    return 8 * max(0, found["entries"] or 0), 8 * max(1, found["widest"] or 1)
 
 
 def pool_members(
@@ -76,7 +74,7 @@ def pool_members(
     link: str,
     stats: list[str],
     vec: str = "vec",
-    threshold: int = HOT_ROWS,
+    threshold: int | None = None,
 ) -> DataFrame:
     """(key, dim, n, one column per statistic); sets without members give no row."""
     build = lambda: [F.count(F.lit(1)).alias("n"), *[STATS[s]("_v").alias(s) for s in stats]]

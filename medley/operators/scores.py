@@ -82,3 +82,37 @@ def _side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
         for name in other.columns:
             out = out.withColumn(name, other.select(name).scalar())
     return out
+
+
+TABLE_SCORES = {
+    "combined": composite,
+    "combined_uncertain": composite_uncertain,
+    "column_weighted": column_weighted_mse,
+}
+
+
+def score(pred: DataFrame, name: str, **options) -> DataFrame:
+    """(score) of any loss by name: those of ``losses.LOSSES`` and those above that need a table."""
+    if name in TABLE_SCORES:
+        return TABLE_SCORES[name](pred, **options)
+    if name not in L.LOSSES:
+        raise ValueError(f"unknown loss {name!r}; choose from {sorted({*L.LOSSES, *TABLE_SCORES})}")
+    return pred.agg(L.loss(name, **options).alias("score"))
+
+
+def two_part(
+    pred: DataFrame, name: str, weight_first: float = 1.0, weight_rest: float = 1.0, uncertain: bool = False, **options
+) -> DataFrame:
+    """(score): weight * MSE(dims 0-1) + weight * L(the other dims, counted from 0), for every loss by name.
+
+    ``weighted_mse`` weighs its own two parts and takes the place of the whole second
+    term.  ``uncertain`` mixes both as exp(-s)*L + s with s = 0.
+    """
+    first = pred.filter("dim < 2").agg(L.mse().alias("first"))
+    rest = score(pred.filter("dim >= 2").withColumn("dim", F.col("dim") - 2), name, **options)
+    both = _side_by_side(first, rest.withColumnRenamed("score", "rest"))
+    if uncertain:
+        return both.select(L.uncertainty([F.col("first"), F.col("rest")], [0.0, 0.0]).alias("score"))
+    if name == "weighted_mse":
+        return both.select(F.col("rest").alias("score"))
+    return both.select((weight_first * F.col("first") + weight_rest * F.col("rest")).alias("score"))

@@ -67,14 +67,15 @@ def shuffle_and_cut(df: DataFrame, row: str, valid_share: float, seed: int = 0)
 def balanced_folds(df: DataFrame, row: str, labels: list[str], k: int = 5, seed: int = 0) -> DataFrame:
     """(fold, row): round robin inside each signature of "label = 0" indicators.
 
-    Signatures with fewer than k rows share one group, so they spread too.
+    Signatures with fewer than k rows share one group, in order of their signature, so
+    rows of like labels are spread over the folds there too.
     """
     signed = df.select(
         row, F.concat(*[F.when(F.col(c) == 0, "0").otherwise("1") for c in labels]).alias("_sig"), mix(seed, row).alias("_h")
     )
     sizes = signed.groupBy("_sig").agg(F.count(F.lit(1)).alias("_n"))
-    grouped = signed.join(sizes, "_sig").withColumn("_sig", F.when(F.col("_n") < k, "rare").otherwise(F.col("_sig")))
-    numbered = row_numbers(grouped.select(row, "_sig", "_h"), ["_sig"], ["_h", row], "_i")
+    grouped = signed.join(sizes, "_sig").withColumn("_group", F.when(F.col("_n") < k, "rare").otherwise(F.col("_sig")))
+    numbered = row_numbers(grouped.select(row, "_group", "_sig", "_h"), ["_group"], ["_sig", "_h", row], "_i")
     return numbered.select(((F.col("_i") - 1) % k).cast("int").alias("fold"), row)
 
 

@@ -119,23 +119,28 @@ def merge_duplicates(df: DataFrame, key: str, values: list[str], flags: list[str
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key under ``order`` (then the other columns): an aggregation, so it
-    combines map-side and no key is sorted in one task."""
+    """First row per key under ``order`` (then the other columns), NULL after every value: an
+    aggregation, so it combines map-side and no key is sorted in one task."""
     rest = [c for c in df.columns if c not in keys]
     lead = order + [c for c in rest if c not in order]
-    first = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(c) for c in lead])).alias("_row"))
+    first = df.groupBy(*keys).agg(F.min(F.struct(*nulls_last(lead))).alias("_row"))
     return first.select(*keys, *[F.col("_row")[c].alias(c) for c in lead if c not in keys])
 
 
+def nulls_last(names: list[str]) -> list[Column]:
+    """Columns for a struct to order by: each after a flag that puts its NULLs last."""
+    return [c for name in names for c in (F.col(name).isNull().alias(f"_null_{name}"), F.col(name))]
+
+
 def mark_first(df: DataFrame, key: str, order: list[str], first: str = "A", later: str = "B") -> DataFrame:
     """Collapse equal rows to ``copies`` and prefix the key text: the first row of a key
     under ``order`` gets ``first``, every later one ``later``.
 
-    Of several copies of the first row one is first and the rest are later.
-    The minimum per key is aggregated and joined back; no window per key.
+    NULL comes after every value.  Of several copies of the first row one is first and
+    the rest are later.  The minimum per key is aggregated and joined back; no window per key.
     """
     columns = df.columns
-    lead = order + [c for c in columns if c not in order and c != key]
+    lead = nulls_last(order + [c for c in columns if c not in order and c != key])
     distinct = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
     smallest = distinct.groupBy(key).agg(F.min(F.struct(*lead)).alias("_min"))
     joined = distinct.join(smallest, key).withColumn("_first", F.struct(*lead) == F.col("_min"))
@@ -203,23 +208,29 @@ def surrogate_ids(df: DataFrame, order: list, out: str = "row_id") -> DataFrame:
 
 
 def pivot_first(df: DataFrame, keys: list[str], column: str, values: list[str], value: str, order: list[str]) -> DataFrame:
-    """Pivot with the first value under ``order``; the value list is given, so no extra pass."""
-    picked = F.min(F.struct(*order, F.col(value).alias("_value")))
+    """Pivot with the first value under ``order`` that is not NULL; the value list is given, so no extra pass."""
+    picked = F.min(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value"))))
     wide = df.groupBy(*keys).pivot(column, values).agg(picked)
     return wide.select(*keys, *[F.col(f"`{v}`._value").alias(v) for v in values])
 
 
-def regroup(df: DataFrame, key: str, order: list[str], values: list[str], chunk: int = 4096) -> DataFrame:
-    """Long rows to parallel lists: (key, chunk, one array per value), order kept.
+def regroup(df: DataFrame, key: str, order: list[str], values: list[str], chunk: int | None = None) -> DataFrame:
+    """Long rows to parallel lists: (key, one array per value), sorted by ``order`` and then by the values.
 
-    A key with more than ``chunk`` entries continues in the next chunk, so no row
-    and no task grows with the key.
+    Each key gives one row with its whole lists.  With ``chunk``, for keys too large for
+    a row, (key, base, one array per value): lists of at most ``chunk`` entries, where
+    ``base`` is the number of the key's entries before, so that base + place is the place
+    in the whole list.
     """
-    numbered = row_numbers(df, [key], order, "_rn")
-    placed = numbered.withColumn("chunk", F.floor((F.col("_rn") - 1) / chunk).cast("int"))
+    lead = order + [v for v in values if v not in order]
+    if chunk is None:
+        rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*lead))).alias("_items"))
+        return rows.select(key, *[F.col("_items")[v].alias(v) for v in values])
+    numbered = row_numbers(df, [key], lead, "_rn")
+    placed = numbered.withColumn("base", (F.floor((F.col("_rn") - 1) / chunk) * chunk).cast("long"))
     items = F.sort_array(F.collect_list(F.struct("_rn", *values)))
-    rows = placed.groupBy(key, "chunk").agg(items.alias("_items"))
-    return rows.select(key, "chunk", *[F.col("_items")[v].alias(v) for v in values])
+    rows = placed.groupBy(key, "base").agg(items.alias("_items"))
+    return rows.select(key, "base", *[F.col("_items")[v].alias(v) for v in values])
 
 
 def stage_report(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

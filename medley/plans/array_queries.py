@@ -49,9 +49,8 @@ _PAR = "row_number() OVER (PARTITION BY stimulus ORDER BY cid, dilution, compone
 )
 def explode_parallel(spark, sf):
     entries = V.mixture_component(spark, sf).select("stimulus", "cid", "dilution", "component")
-    rows = T.regroup(entries, "stimulus", ["cid", "dilution", "component"], ["cid", "dilution", "component"], 64)
-    single = (F.size("cid") == 1) & (F.col("chunk") == 0)
-    lists = rows.withColumn("component", F.when(~single, F.col("component"))).drop("chunk")
+    rows = T.regroup(entries, "stimulus", ["cid", "dilution", "component"], ["cid", "dilution", "component"])
+    lists = rows.withColumn("component", F.when(F.size("cid") > 1, F.col("component")))
     return A.explode_parallel(lists, ["cid", "dilution", "component"])
 
 
@@ -98,7 +97,7 @@ def wrap_scalar(spark, sf):
 )
 def nested_list(spark, sf):
     entries = V.mixture_component(spark, sf).select("stimulus", "dilution", F.col("component").cast("double"))
-    rows = T.regroup(entries, "stimulus", ["dilution", "component"], ["dilution", "component"], 64)
+    rows = T.regroup(entries, "stimulus", ["dilution", "component"], ["dilution", "component"])
     nested = rows.select("stimulus", F.array("dilution", "component").alias("info"))
     blocks = nested.select("stimulus", F.posexplode("info").alias("block", "items"))
     return blocks.select("stimulus", "block", F.posexplode("items").alias("pos", "value"))

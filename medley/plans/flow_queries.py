@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from medley.functions.featurise import featurise
+from medley.functions.featurise import featurise, text_key
 from medley.functions.mixing import mix_sql
 from medley.operators import explore as X
 from medley.operators import metrics as M
@@ -251,7 +251,8 @@ def stage_report(spark, sf):
 def featurise_hook(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
     vectors, _ = featurise(docs, "text", lambda texts: [[len(t), t.count(" ")] for t in texts])
-    return docs.join(vectors, "text").select("doc_id", F.col("vec")[0].alias("chars"), F.col("vec")[1].alias("blanks"))
+    keyed = docs.select("doc_id", text_key("text").alias("text_key"))
+    return keyed.join(vectors, "text_key").select("doc_id", F.col("vec")[0].alias("chars"), F.col("vec")[1].alias("blanks"))
 
 
 # --- splits ------------------------------------------------------------------
@@ -269,8 +270,8 @@ def train_val_test(spark, sf):
 
 @query(
     "M3_balanced_folds",
-    f"""SELECT CAST((row_number() OVER (PARTITION BY sig ORDER BY {mix_sql('0', 'doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold, doc_id FROM
-    (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY quality = 0, toxic = 0) < 5 THEN 'rare'
+    f"""SELECT CAST((row_number() OVER (PARTITION BY sig ORDER BY own, {mix_sql('0', 'doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold, doc_id FROM
+    (SELECT doc_id, CAST(quality <> 0 AS VARCHAR) || CAST(toxic <> 0 AS VARCHAR) AS own, CASE WHEN count(*) OVER (PARTITION BY quality = 0, toxic = 0) < 5 THEN 'rare'
      ELSE CAST(quality = 0 AS VARCHAR) || CAST(toxic = 0 AS VARCHAR) END AS sig FROM labels)""",
 )
 def balanced_folds(spark, sf):
@@ -402,11 +403,23 @@ def stored_model(spark, sf):
 # --- streams -----------------------------------------------------------------
 
 
+def _events_in_batches(spark, sf):
+    """The events as a stream of four micro-batches in order of time: files are taken by age."""
+    source = scratch_path(spark, "events")
+    events = V.table(spark, sf, "events")
+    second = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(second, [0.25, 0.5, 0.75], 1000)).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        after = F.lit(True) if low is None else second > low
+        upto = F.lit(True) if high is None else second <= high
+        events.filter(after & upto).coalesce(1).write.mode("append").parquet(source)
+    return ST.file_stream(spark, source, events.schema, files=1)
+
+
 @query("T1_running_mean_stream", "SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
 def running_mean_stream(spark, sf):
-    schema = V.table(spark, sf, "events").schema
-    stream = ST.file_stream(spark, sf, schema, "events.parquet")
-    return ST.running_means(stream, "user_id", "value", scratch_path(spark, "t1")).withColumn("mean", R6("mean"))
+    stream = _events_in_batches(spark, sf)
+    return ST.running_means(stream, "user_id", "value", scratch_path(spark, "t1")).withColumn("mean", F.round("mean", 6))
 
 
 @query(
@@ -428,8 +441,7 @@ def metric_stream(spark, sf):
 
 @query("T3_early_stop_stream", EARLY_STOP_SQL)
 def early_stop_stream(spark, sf):
-    schema = V.table(spark, sf, "events").schema
-    stream = ST.file_stream(spark, sf, schema, "events.parquet")
+    stream = _events_in_batches(spark, sf)
     found = ST.early_stop_stream(stream, "user_id", ["ts", "event_id"], "value", scratch_path(spark, "t3"), patience=10)
     return found.withColumn("best", R6("best"))
 

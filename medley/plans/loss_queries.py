@@ -188,3 +188,50 @@ def two_part():
 )
 def two_part_uncertain():
     return L.two_part("huber", uncertain=True, delta=0.1)
+
+
+def _two_part(name: str, loss: str, rest: str, **options):
+    """A two-part objective 0.6 * MSE(dims 0-1) + 1.4 * rest, as query and SQL."""
+    sql = V.with_views(
+        PR,
+        f"""SELECT round(0.6::DOUBLE * (SELECT avg({E2}) FROM pr WHERE dim < 2) + 1.4::DOUBLE * ({rest}), 6) AS score""",
+        rp="SELECT row_id, dim - 2 AS dim, y, y_hat FROM pr WHERE dim >= 2",
+    )
+
+    def run(spark, sf):
+        chosen = dict(options)
+        if "weights" in chosen:
+            dims = spark.range(V.DIMS - 2).select(F.col("id").cast("int").alias("dim"))
+            chosen["weights"] = dims.withColumn("weight", F.lit(1) + F.col("dim") % 3)
+        scored = S.two_part(V.prediction(spark, sf), loss, 0.6, 1.4, **chosen)
+        return scored.select(V.round_to("score", 6).alias("score"))
+
+    query(name, sql)(run)
+
+
+_two_part(
+    "L15_two_part_mixed",
+    "mixed",
+    f"""SELECT coalesce(avg({TW}) FILTER (WHERE y = 0), 0) + coalesce(avg({HUB}) FILTER (WHERE y <> 0), 0) FROM rp""",
+    delta=0.1,
+)
+_two_part(
+    "L15_two_part_weighted_columns",
+    "column_weighted",
+    f"SELECT sum((1 + dim % 3) * {E2}) / count(*) FROM rp",
+    weights=None,
+)
+_two_part(
+    "L15_two_part_composite",
+    "combined",
+    """SELECT 0.5 * bce + 1.0 * rmse + 0.8 * pearson + 0.3 * cosine FROM
+    (SELECT avg(greatest(y_hat, 0) - y_hat * CAST(y > 0 AS INTEGER) + ln(1 + exp(-abs(y_hat)))) AS bce,
+      sqrt(avg((y_hat - y) * (y_hat - y)) + 1e-6) AS rmse FROM rp),
+    (SELECT 1 - avg(s / greatest(n, 1e-8)) AS cosine, avg(1 - c / (sqrt(vp + 1e-6) * sqrt(vy + 1e-6))) AS pearson FROM
+     (SELECT sum(y * y_hat) AS s, sqrt(sum(y * y)) * sqrt(sum(y_hat * y_hat)) AS n, covar_pop(y, y_hat) * count(*) AS c,
+       var_pop(y_hat) * count(*) AS vp, var_pop(y) * count(*) AS vy FROM rp GROUP BY row_id))""",
+    alpha=0.5,
+    beta=1.0,
+    gamma=0.8,
+    delta=0.3,
+)

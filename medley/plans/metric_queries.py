@@ -263,19 +263,19 @@ def _bootstrap_sql(metric: str, poisson: bool) -> str:
 
 @query("V12_bootstrap_rmse", _bootstrap_sql("rmse", False))
 def bootstrap_rmse(spark, sf):
-    bounds = M.bootstrap(V.prediction(spark, sf), "rmse")
+    bounds = M.bootstrap(V.prediction(spark, sf), "rmse", method="resample")
     return bounds.select("metric", R6("lower").alias("lower"), R6("upper").alias("upper"))
 
 
 @query("V12_bootstrap_pearson", _bootstrap_sql("pearson", False))
 def bootstrap_pearson(spark, sf):
-    bounds = M.bootstrap(V.prediction(spark, sf), "pearson")
+    bounds = M.bootstrap(V.prediction(spark, sf), "pearson", method="resample")
     return bounds.select("metric", R6("lower").alias("lower"), R6("upper").alias("upper"))
 
 
 @query("V12_bootstrap_poisson", _bootstrap_sql("rmse", True))
 def bootstrap_poisson(spark, sf):
-    bounds = M.bootstrap(V.prediction(spark, sf), "rmse", method="poisson")
+    bounds = M.bootstrap(V.prediction(spark, sf), "rmse")
     return bounds.select("metric", R6("lower").alias("lower"), R6("upper").alias("upper"))
 
 
@@ -363,6 +363,43 @@ def mixture_history(spark, sf):
     return X.mixture_history(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
 
 
+_RATING_SUM = "SELECT sr.rating_row, sum(greatest(el.v, 0)) AS total FROM (SELECT DISTINCT rating_row FROM sr) sr JOIN el ON el.vec_id = sr.rating_row GROUP BY 1"
+
+
+@query(
+    "G19_component_observations",
+    V.with_views(
+        "mc sz nv sr el",
+        "SELECT cid, dilution, rating_row, CAST(64 AS INTEGER) AS dims, round(total, 6) AS total, n_obs FROM h JOIN rt USING (rating_row)",
+        h=_HISTORY,
+        rt=_RATING_SUM,
+    ),
+)
+def component_observations(spark, sf):
+    found = X.component_observations(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
+    return _with_totals(found, "cid", "dilution", "rating_row")
+
+
+def _with_totals(found, *keys):
+    total = F.aggregate("rating", F.lit(0.0), lambda s, x: s + x)
+    return found.select(*keys, F.size("rating").alias("dims"), R6(total).alias("total"), "n_obs")
+
+
+@query(
+    "G19_mixture_observations",
+    V.with_views(
+        "mc sz nv sr el",
+        """SELECT m.stimulus, m.cid, dilution, rating_row, CAST(64 AS INTEGER) AS dims, round(total, 6) AS total, n_obs
+        FROM (SELECT DISTINCT stimulus, cid FROM mc JOIN sz USING (stimulus) WHERE sz.n > 1) m JOIN h USING (cid) JOIN rt USING (rating_row)""",
+        h=_HISTORY,
+        rt=_RATING_SUM,
+    ),
+)
+def mixture_observations(spark, sf):
+    found = X.mixture_observations(V.mixture_component(spark, sf), V.stimulus_rating(spark, sf))
+    return _with_totals(found, "stimulus", "cid", "dilution", "rating_row")
+
+
 _CHAIN = """SELECT mc.stimulus, r.dim, r.y, avg(m.mean) AS y_hat FROM mc JOIN sz USING (stimulus) JOIN means m USING (cid)
  JOIN rated r ON r.stimulus = mc.stimulus AND r.dim = m.dim WHERE sz.n > 1 AND m.n > 0 GROUP BY mc.stimulus, r.dim, r.y
  HAVING count(*) = max(sz.n)"""

@@ -363,9 +363,9 @@ def lookup(spark, sf):
 
 
 def definition_text(spark, sf):
-    """';' lists of component ids per stimulus, at most 64 ids per row."""
-    lists = T.regroup(V.mixture_component(spark, sf).select("stimulus", "cid"), "stimulus", ["cid"], ["cid"], 64)
-    return lists.select("stimulus", "chunk", A.join_list("cid").alias("components"))
+    """The ';' list of component ids of every stimulus."""
+    lists = T.regroup(V.mixture_component(spark, sf).select("stimulus", "cid"), "stimulus", ["cid"], ["cid"])
+    return lists.select("stimulus", A.join_list("cid").alias("components"))
 
 
 @query(
@@ -524,7 +524,7 @@ def pivot_first(spark, sf):
     "G8_regroup_lists",
     V.with_views(
         "mc",
-        """SELECT stimulus, CAST(0 AS INTEGER) AS chunk, string_agg(CAST(cid AS VARCHAR), ';' ORDER BY cid, component, solvent) AS cids,
+        """SELECT stimulus, string_agg(CAST(cid AS VARCHAR), ';' ORDER BY cid, component, solvent) AS cids,
         string_agg(CAST(component AS VARCHAR), ';' ORDER BY cid, component, solvent) AS components,
         string_agg(solvent, ';' ORDER BY cid, component, solvent) AS solvents FROM mc GROUP BY stimulus""",
     ),
@@ -534,7 +534,6 @@ def regroup(spark, sf):
     rows = T.regroup(entries, "stimulus", ["cid", "component", "solvent"], ["cid", "component", "solvent"])
     return rows.select(
         "stimulus",
-        "chunk",
         A.join_list("cid").alias("cids"),
         A.join_list("component").alias("components"),
         A.join_list("solvent").alias("solvents"),

@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Headered CSV with an explicit schema; quoted headers and a BOM are accepted."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=False, enforceSchema=True)
+    """Headered CSV with an explicit schema; quoted headers and a BOM are accepted.
+
+    Columns are found by their name in the header, in any order; others are left
+    out.  A missing column is an error, and so is a value that is not of its type.
+    """
+    header = [c.removeprefix("\ufeff").strip('"') for c in spark.read.csv(path, header=True, inferSchema=False).columns]
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {missing}; its header is {header}")
+    wanted = {f.name: f for f in schema}
+    found = StructType([wanted.get(c, StructField(f"_unused{i}", StringType())) for i, c in enumerate(header)])
+    rows = spark.read.schema(found).csv(path, header=True, enforceSchema=True, mode="FAILFAST")
+    return rows.select([f.name for f in schema])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,13 +59,17 @@ def open_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write of the table was committed: its marker is there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Stored table if present, else build, store and read back."""
-    stored = open_if_present(spark, path)
-    if stored is None:
+    """Stored table if it was written to its end, else build, store and read back."""
+    if not is_complete(spark, path):
         write_table(build(), path)
-        stored = spark.read.parquet(path)
-    return stored
+    return spark.read.parquet(path)
 
 
 # --- splits ------------------------------------------------------------------

@@ -15,14 +15,13 @@ from medley.operators.early import early_stop
 from medley.sources.tables import open_if_present
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files)
-        .parquet(folder)
-    )
+def file_stream(spark: SparkSession, path: str, schema: StructType, files: int = 1000) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, as a stream of ``files`` per trigger."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def _drain(stream: DataFrame, mode: str, work: str, each) -> None:
@@ -45,7 +44,9 @@ def _keep_updates(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
 
     _drain(stream, "update", work, each)
     values = [c for c in stream.columns if c not in keys]
-    updates = stream.sparkSession.read.parquet(f"{work}/updates")
+    updates = open_if_present(stream.sparkSession, f"{work}/updates")
+    if updates is None:  # nothing has arrived
+        return stream.sparkSession.createDataFrame([], stream.schema)
     latest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v"))
     return latest.select(*keys, *[F.col("_v")[v].alias(v) for v in values])
 
@@ -86,22 +87,35 @@ def metrics_from_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def early_stop_stream(
-    stream: DataFrame, run: str, order: list[str], value: str, work: str, patience: int = 100, mode: str = "maximize"
+    stream: DataFrame, run: str, order: list[str], value: str, work: str, patience: int = 100, mode: str = "maximize",
+    min_delta: float | None = None,
 ) -> DataFrame:
     """Early stop on an arriving series; a run's rows must arrive batch after batch in order.
 
-    The state, one row per run, is a versioned table: batch b reads version
-    b - 1 and writes version b.  Inside a batch the detector is the batch one, so
-    a run with very many new rows is still cut into slices.
+    The state, one row per run, is a versioned table: batch b reads the last version
+    before it and writes version b.  Which version is the last is read from the table,
+    so a restart goes on from it, also without new rows.  Inside a batch the detector
+    is the batch one, so a run with very many new rows is still cut into slices.
     """
     spark = stream.sparkSession
-    last = {"version": -1}
+    place = f"{work}/state"
+
+    def last(before: int | None = None) -> DataFrame | None:
+        stored = open_if_present(spark, place)
+        if stored is None:
+            return None
+        versions = stored if before is None else stored.filter(F.col("version") < before)
+        newest = versions.agg(F.max("version")).first()[0]
+        return None if newest is None else stored.filter(F.col("version") == newest).drop("version")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        before = open_if_present(spark, f"{work}/state/v{batch_id - 1}") if batch_id else None
-        after = early_stop(batch.select(run, *order, value), run, order, value, patience, mode, before)
-        after.write.mode("overwrite").parquet(f"{work}/state/v{batch_id}")
-        last["version"] = max(last["version"], batch_id)
+        rows = batch.select(run, *order, value)
+        after = early_stop(rows, run, order, value, patience, mode, min_delta, last(batch_id))
+        after.write.mode("overwrite").parquet(f"{place}/version={batch_id}")
 
     _drain(stream, "append", work, each)
-    return spark.read.parquet(f"{work}/state/v{last['version']}")
+    found = last()
+    if found is not None:
+        return found
+    nothing = spark.createDataFrame([], stream.select(run, *order, value).schema)
+    return early_stop(nothing, run, order, value, patience, mode, min_delta)

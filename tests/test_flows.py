@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from medley.functions.featurise import featurise
+from medley.functions.featurise import featurise, text_key
 from medley.operators import metrics as M
 from medley.operators import models as ML
 from medley.operators import scoring as SC
@@ -129,9 +129,11 @@ def test_featurise_quarantines_bad_rows(spark):
             raise RuntimeError("no parse")
         return [[len(t)] for t in texts]
 
-    good, bad = featurise(spark.createDataFrame([("a",), ("bad",), ("ccc",), ("a",), (None,)], "t string"), "t", fn)
-    assert sorted(map(tuple, good.collect())) == [("a", [1.0]), ("ccc", [3.0])]
-    assert [tuple(r) for r in bad.collect()] == [("bad", "RuntimeError: no parse")]
+    texts = spark.createDataFrame([("a",), ("bad",), ("ccc",), ("a",), (None,)], "t string")
+    good, bad = featurise(texts, "t", fn)
+    back = texts.withColumn("text_key", text_key("t")).join(good, "text_key")
+    assert sorted((r.t, r.vec) for r in back.collect()) == [("a", [1.0]), ("a", [1.0]), ("ccc", [3.0])]
+    assert good.count() == 2 and [(r.text, r.error) for r in bad.collect()] == [("bad", "RuntimeError: no parse")]
 
 
 def test_linear_film_and_edges(spark):

@@ -90,8 +90,8 @@ def test_lower_names_merges_collisions(spark):
 
 def test_regroup_continues_in_chunks(spark):
     df = spark.range(10).select(F.lit("s").alias("k"), "id")
-    got = {r["chunk"]: r["id"] for r in T.regroup(df, "k", ["id"], ["id"], chunk=4).collect()}
-    assert got == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
+    got = {r["base"]: r["id"] for r in T.regroup(df, "k", ["id"], ["id"], chunk=4).collect()}
+    assert got == {0: [0, 1, 2, 3], 4: [4, 5, 6, 7], 8: [8, 9]}
 
 
 def test_stage_report(spark):
