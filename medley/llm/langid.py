@@ -29,7 +29,9 @@ WORDS = 60_000  # words of the training windows of each language
 BUCKETS = 1 << 15  # hashed features
 CHAIN = 64  # words of one chain: a line, or a stretch of a longer one
 ROUNDS = 60
-WORDS_KEPT = 200_000
+WORDS_KEPT = 300_000
+NAMES_KEPT = 400_000
+WORDS_AT_ONCE = 4096
 UNKNOWN = "und"
 SURE = 0.5
 
@@ -51,15 +53,40 @@ def clean(token: str) -> str:
     return token[start:end].lower()
 
 
-def features(word: str, buckets: int = BUCKETS) -> tuple[list[int], list[float]]:
-    """Hashed features with values: prefixes and suffixes of up to three letters, the whole
-    word as a lexicon entry, and letter pairs and triples, scaled down by their number."""
-    marked = f"^{word}$"
-    affixes = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    grams = [f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)]
-    names = [*affixes, f"w{word}", *grams]
-    values = [1.0] * (len(affixes) + 1) + [2.0 / np.sqrt(len(grams))] * len(grams)
-    return [zlib.crc32(n.encode()) % buckets for n in names], values
+class _Buckets(dict):
+    """Bucket of each feature name; names seen before are looked up."""
+
+    def __missing__(self, name: str) -> int:
+        bucket = zlib.crc32(name.encode()) % BUCKETS
+        if len(self) >= NAMES_KEPT:
+            self.clear()
+        self[name] = bucket
+        return bucket
+
+
+_bucket = _Buckets()
+AFFIXES = 7
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, values, first place of each word) of the hashed features of all words: three
+    prefixes, three suffixes and the word itself as a lexicon entry, then its letter pairs
+    and triples, scaled down by their number."""
+    names: list[str] = []
+    grams = []
+    for word in words:
+        marked = f"^{word}$"
+        size = len(marked)
+        names += ["p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], "w" + word]
+        names += [marked[i : i + 2] for i in range(size - 1)]
+        names += [marked[i : i + 3] for i in range(size - 2)]
+        grams.append(2 * size - 3)
+    count = np.array(grams, np.int64)
+    scale = np.ones((len(words), 2))
+    scale[:, 1] = 2.0 / np.sqrt(count)
+    spans = np.stack([np.full(len(words), AFFIXES), count], axis=1)
+    ids = np.array([_bucket[n] for n in names], np.int64)
+    return ids, np.repeat(scale.ravel(), spans.ravel()), np.cumsum(AFFIXES + count) - AFFIXES - count
 
 
 @dataclass
@@ -69,11 +96,17 @@ class Field:
     moves: np.ndarray  # label x next label
     lexicon: dict[str, np.ndarray]  # word -> scores from its counts in the sample
 
-    def word_scores(self, word: str) -> np.ndarray:
-        ids, values = features(word, len(self.weights))
-        out = np.asarray(values) @ self.weights[ids]
-        known = self.lexicon.get(word)
-        return out if known is None else out + known
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """(words, labels)."""
+        if not words:
+            return np.zeros((0, len(self.labels)))
+        ids, values, first = features(words)
+        out = np.add.reduceat(self.weights[ids] * values[:, None], first, axis=0)
+        for i, word in enumerate(words):
+            known = self.lexicon.get(word)
+            if known is not None:
+                out[i] += known
+        return out
 
 
 def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,10 +197,8 @@ def fit(sample: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS, word
         word[i, : len(r)], gold[i, : len(t)] = r, t
     alive = np.arange(CHAIN) < lengths[:, None]
     used, place = np.unique(word[alive], return_inverse=True)
-    of_word = [features(known[u]) for u in used]
-    owner = np.repeat(np.arange(len(used)), [len(i) for i, _ in of_word])
-    feature = np.concatenate([np.array(i) for i, _ in of_word])
-    value = np.concatenate([np.array(v) for _, v in of_word])
+    feature, value, first = features([known[u] for u in used])
+    owner = np.repeat(np.arange(len(used)), np.diff([*first, len(feature)]))
     fixed = lexicon_scores[used]
     right = np.zeros((len(used), k))
     np.add.at(right, (place, gold[alive]), 1.0)
@@ -230,21 +261,19 @@ class Tagger:
         self.table = np.zeros((1024, len(field.labels)), np.float32)
         self.cleaned: dict[str, int] = {}
 
-    def _code(self, token: str) -> int:
-        """Row of the token's scores, -1 without a letter."""
-        word = clean(token)
-        if not word:
-            code = -1
-        else:
-            code = self.known.get(word)
-            if code is None:
-                code = len(self.known)
-                if code >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[code] = self.field.word_scores(word)
-                self.known[word] = code
-        self.cleaned[token] = code
-        return code
+    def _learn(self, tokens: set[str]) -> None:
+        """Codes for tokens not seen before: the row of their word's scores, -1 without a letter."""
+        cleaned = {token: clean(token) for token in tokens}
+        fresh = sorted({w for w in cleaned.values() if w} - self.known.keys())
+        base = len(self.known)
+        while base + len(fresh) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for i in range(0, len(fresh), WORDS_AT_ONCE):
+            part = fresh[i : i + WORDS_AT_ONCE]
+            self.table[base + i : base + i + len(part)] = self.field.word_scores(part)
+        self.known.update(zip(fresh, range(base, base + len(fresh))))
+        for token, word in cleaned.items():
+            self.cleaned[token] = self.known[word] if word else -1
 
     def expected_words(self, texts: list[str | None]) -> np.ndarray:
         """Expected number of words of each label in each text."""
@@ -253,13 +282,14 @@ class Tagger:
         out = np.zeros((len(texts), len(self.field.labels)))
         if not self.field.labels:
             return out
-        get = self.cleaned.get
+        lines = [[line.split() for line in (text or "").split("\n")] for text in texts]
+        self._learn({t for own in lines for line in own for t in line} - self.cleaned.keys())
+        get = self.cleaned.__getitem__
         rows, steps, lengths, codes, owner = [], [], [], [], []
         base = 0
-        for n, text in enumerate(texts):
-            for line in (text or "").split("\n"):
-                found = [c if (c := get(t)) is not None else self._code(t) for t in line.split()]
-                ids = np.array(found, np.int64)
+        for n, own in enumerate(lines):
+            for line in own:
+                ids = np.array(list(map(get, line)), np.int64)
                 ids = ids[ids >= 0]
                 if not len(ids):
                     continue
