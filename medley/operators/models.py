@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import PowerIterationClustering
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medley.functions.mixing import mix
 from medley.operators.scoring import gated
 
 MAX_DEPTH = 30  # Spark's limit
+PARALLEL = 4  # models fitted at a time, so that small jobs share the cluster
 
 
 def assemble(rows: DataFrame, vec: str) -> DataFrame:
@@ -24,27 +27,43 @@ def assemble(rows: DataFrame, vec: str) -> DataFrame:
     return rows.withColumn("features", array_to_vector(vec))
 
 
-def regressor(trees: int, depth: int, rate: float = 0.1) -> GBTRegressor:
+def _checked(depth: int) -> int:
+    if not 0 <= depth <= MAX_DEPTH:
+        raise ValueError(f"trees may be {MAX_DEPTH} levels deep, not {depth}")
+    return depth
+
+
+def _for_each(targets: list, fit: Callable) -> dict:
+    """target -> fit(target), a few at a time; what has no model is left out."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return {t: model for t, model in zip(targets, pool.map(fit, targets)) if model is not None}
+
+
+def regressor(trees: int, depth: int, rate: float = 0.1, share: float = 0.8) -> GBTRegressor:
+    """Boosted trees, each on a ``share`` of the rows."""
     return GBTRegressor(
-        labelCol="y", maxIter=trees, maxDepth=min(depth, MAX_DEPTH), stepSize=rate, subsamplingRate=0.8, seed=1
+        labelCol="y", maxIter=trees, maxDepth=_checked(depth), stepSize=rate, subsamplingRate=share, seed=1
     )
 
 
-def fit_regressors(train: DataFrame, targets: dict[int, str], trees: int = 20, depth: int = 5) -> dict:
+def fit_regressors(train: DataFrame, targets: dict[int, str], trees: int = 20, depth: int = 5, share: float = 0.8) -> dict:
     """dim -> fitted boosted trees; ``train`` should be persisted by the caller."""
-    return {
-        dim: regressor(trees, depth).fit(train.select("features", F.col(col).alias("y")).filter("y IS NOT NULL"))
-        for dim, col in targets.items()
-    }
+
+    def fit(dim: int):
+        rows = train.select("features", F.col(targets[dim]).alias("y")).filter("y IS NOT NULL")
+        return regressor(trees, depth, share=share).fit(rows)
+
+    return _for_each(list(targets), fit)
 
 
 def fit_linear(train: DataFrame, targets: dict[int, str], logistic: bool = False) -> dict:
     """dim -> linear or logistic head."""
-    models = {}
-    for dim, col in targets.items():
+
+    def fit(dim: int):
         head = LogisticRegression(labelCol="y") if logistic else LinearRegression(labelCol="y")
-        models[dim] = head.fit(train.select("features", F.col(col).cast("double").alias("y")))
-    return models
+        return head.fit(train.select("features", F.col(targets[dim]).cast("double").alias("y")))
+
+    return _for_each(list(targets), fit)
 
 
 def fit_gates(
@@ -59,31 +78,36 @@ def fit_gates(
         *[F.sum((F.col(c) > thresholds[d]).cast("long")).alias(f"p{d}") for d, c in targets.items()],
         F.count(F.lit(1)).alias("n"),
     ).first()
-    models = {}
-    for dim, col in targets.items():
+    _checked(depth)
+
+    def fit(dim: int):
         pos = counts[f"p{dim}"] or 0
         neg = counts["n"] - pos
         if pos < at_least or neg == 0:
-            continue
-        on = F.col(col) > thresholds[dim]
+            return None
+        on = F.col(targets[dim]) > thresholds[dim]
         rows = train.select(
             "features", on.cast("double").alias("y"), F.when(on, neg / pos).otherwise(1.0).alias("weight")
         )
-        models[dim] = GBTClassifier(
-            labelCol="y", weightCol="weight", maxIter=trees, maxDepth=min(depth, MAX_DEPTH), seed=1
-        ).fit(rows)
-    return models
+        return GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, seed=1).fit(rows)
+
+    return _for_each(list(targets), fit)
 
 
 def score(rows: DataFrame, models: dict, key: str, out: str = "y_hat") -> DataFrame:
-    """(key, dim, out) with every model's prediction; rows are scored where they are."""
-    parts = [
-        model.transform(rows.select(key, "features")).select(
-            key, F.lit(dim).alias("dim"), F.col("prediction").alias(out)
-        )
-        for dim, model in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(key, dim, out) with every model's prediction: one pass over the rows, a column per model."""
+    scored = reduce(_score_beside, models.items(), rows.select(key, "features"))
+    cells = [F.struct(F.lit(dim).alias("dim"), F.col(f"_p{dim}").alias(out)) for dim in models]
+    if not cells:
+        return rows.select(key, F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias(out)).limit(0)
+    return scored.select(key, F.inline(F.array(*cells)))
+
+
+def _score_beside(rows: DataFrame, one: tuple) -> DataFrame:
+    dim, model = one
+    named = model.copy().setPredictionCol(f"_p{dim}")
+    scored = named.transform(rows)
+    return scored.select(*rows.columns, f"_p{dim}")
 
 
 def hybrid(gates: DataFrame, values: DataFrame, key: str) -> DataFrame:
@@ -93,30 +117,31 @@ def hybrid(gates: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return joined.select(key, "dim", gated(on, F.col("y_hat")).alias("y_hat"))
 
 
-def sweep(train: DataFrame, depths: list[int], rates: list[float], trees: int = 5, parallelism: int = 2) -> DataFrame:
-    """(depth, rate, rmse): one validation score per configuration."""
-    model = GBTRegressor(labelCol="y", maxIter=trees, subsamplingRate=0.8, seed=1)
-    grid = ParamGridBuilder().addGrid(model.maxDepth, depths).addGrid(model.stepSize, rates).build()
-    search = TrainValidationSplit(
-        estimator=model,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol="y", metricName="rmse"),
-        trainRatio=0.8,
-        parallelism=parallelism,
-        seed=1,
-    ).fit(train)
-    scores = [
-        (int(p[model.maxDepth]), float(p[model.stepSize]), float(s)) for p, s in zip(grid, search.validationMetrics)
-    ]
-    return train.sparkSession.createDataFrame(scores, "depth int, rate double, rmse double")
-
-
-def label_clusters(edges: DataFrame, k: int, iterations: int = 10) -> DataFrame:
-    """(dim, cluster) from a weighted label graph (a, b, n), by power iteration."""
+def sweep(
+    train: DataFrame, row: str, depths: list[int], rates: list[float], trees: int = 5, share: float = 0.8, seed: int = 1
+) -> DataFrame:
+    """(depth, rate, rmse): one validation score per configuration of ``train(row, features, y)``.
+
+    A fifth of the rows, chosen by a hash of the row id, validates all configurations.
+    """
+    held = mix(seed, row) % 5 == 0
+    fitted, valid = train.filter(~held), train.filter(held)
+
+    def score_one(config: tuple[int, float]) -> float:
+        model = regressor(trees, config[0], config[1], share).fit(fitted)
+        return model.transform(valid).agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2))).first()[0]
+
+    found = _for_each(list(product(depths, rates)), score_one)
+    rows = [(depth, float(rate), float(rmse)) for (depth, rate), rmse in found.items()]
+    return train.sparkSession.createDataFrame(rows, "depth int, rate double, rmse double")
+
+
+def label_clusters(edges: DataFrame, k: int, iterations: int = 10, start: str = "random") -> DataFrame:
+    """(dim, cluster) from a weighted label graph (a, b, n), by power iteration from random values or degrees."""
     graph = edges.filter("a < b AND n > 0").select(
         F.col("a").cast("long"), F.col("b").cast("long"), F.col("n").cast("double").alias("w")
     )
-    found = PowerIterationClustering(k=k, maxIter=iterations, srcCol="a", dstCol="b", weightCol="w").assignClusters(graph)
+    found = PowerIterationClustering(k=k, maxIter=iterations, initMode=start, srcCol="a", dstCol="b", weightCol="w").assignClusters(graph)
     return found.select(F.col("id").cast("int").alias("dim"), "cluster")
 
 

@@ -47,7 +47,16 @@ def eliminate(
     Only importances and scores reach the driver.
     """
     data = rows.select("features", "y", (mix(0, "row_id") % folds).alias("_fold")).persist()
-    current, history = list(range(width)), []
+    try:
+        return _eliminate(data, list(range(width)), folds, step, keep, trees, depth)
+    finally:
+        data.unpersist()
+
+
+def _eliminate(
+    data: DataFrame, current: list[int], folds: int, step: int, keep: int, trees: int, depth: int
+) -> tuple[list[int], list[tuple[int, float]]]:
+    history: list[tuple[int, float]] = []
     best: tuple[float, list[int]] | None = None
     while True:
         sliced = VectorSlicer(inputCol="features", outputCol="x", indices=current).transform(data)
@@ -67,7 +76,6 @@ def eliminate(
         drop = min(step, len(current) - keep)
         weakest = set(sorted(range(len(current)), key=lambda i: (importances[i], i))[:drop])
         current = [d for i, d in enumerate(current) if i not in weakest]
-    data.unpersist()
     return best[1], history
 
 

@@ -371,8 +371,8 @@ def linear_heads(spark, sf):
 
 @query("M12_grid_sweep")
 def grid_sweep(spark, sf):
-    rows = _learning_rows(spark, sf, [0]).select("features", F.col("y0").alias("y"))
-    return ML.sweep(rows, [2, 3], [0.1, 0.3], trees=2)
+    rows = _learning_rows(spark, sf, [0]).select("row_id", "features", F.col("y0").alias("y"))
+    return ML.sweep(rows, "row_id", [2, 3], [0.1, 0.3], trees=2)
 
 
 @query("M13_label_clusters")
@@ -400,6 +400,136 @@ def stored_model(spark, sf):
     return spark.read.schema("row_id bigint, y_hat double").csv(out, header=True)
 
 
+# Models with an answer in closed form: a single tree of one level over a 0/1 feature gives
+# the two group means, a line gives the regression sums, two dims give a rotation.
+
+_FLAG = "CAST(embedding[1] > 0 AS INTEGER)"
+_GROUPED = f"SELECT vec_id AS row_id, {_FLAG} AS flag, CAST(embedding[2] AS DOUBLE) AS x, dim, v FROM el JOIN embeddings USING (vec_id)"
+
+
+def _flagged_rows(spark, sf, dims, numeric=False):
+    """One feature per row, a flag or a number, and the chosen dims as targets."""
+    flag = (F.col("vec")[0] > 0).cast("double")
+    feature = F.col("vec")[1] if numeric else flag
+    targets = [F.col("vec")[d].alias(f"y{d}") for d in dims]
+    rows = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), F.array(feature).alias("x"), *targets)
+    return ML.assemble(rows, "x").drop("x")
+
+
+@query(
+    "M6_group_means",
+    V.with_views("el", "SELECT row_id, dim, round(avg(v) OVER (PARTITION BY dim, flag), 6) AS y_hat FROM g", g=_GROUPED),
+)
+def group_means(spark, sf):
+    rows = _flagged_rows(spark, sf, range(V.DIMS)).persist()
+    models = ML.fit_regressors(rows, {d: f"y{d}" for d in range(V.DIMS)}, trees=1, depth=1, share=1.0)
+    rows.unpersist()
+    return ML.score(rows, models, "row_id").withColumn("y_hat", R6("y_hat"))
+
+
+@query(
+    "M7_group_gates",
+    V.with_views(
+        "el",
+        """SELECT row_id, dim, CAST(p * a_neg > n * a_pos AS DOUBLE) AS gate FROM (SELECT row_id, dim,
+          sum(CAST(v > 0.02 AS INTEGER)) OVER (PARTITION BY dim, flag) AS p, sum(CAST(v <= 0.02 AS INTEGER)) OVER (PARTITION BY dim, flag) AS n,
+          sum(CAST(v > 0.02 AS INTEGER)) OVER (PARTITION BY dim) AS a_pos, sum(CAST(v <= 0.02 AS INTEGER)) OVER (PARTITION BY dim) AS a_neg
+         FROM g WHERE dim < 8)""",
+        g=_GROUPED,
+    ),
+)
+def group_gates(spark, sf):
+    rows = _flagged_rows(spark, sf, range(8)).persist()
+    gates = ML.fit_gates(rows, {d: f"y{d}" for d in range(8)}, {d: 0.02 for d in range(8)}, trees=1, depth=1)
+    rows.unpersist()
+    return ML.score(rows, gates, "row_id", "gate")
+
+
+@query(
+    "M9_planted_feature",
+    V.with_views("el", "SELECT vec_id, dim, round(v, 6) AS v FROM el WHERE dim = 5"),
+)
+def planted_feature(spark, sf):
+    flags = F.transform(F.slice("vec", 1, 8), lambda x: (x > 0).cast("double"))
+    rows = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), flags.alias("x"), flags[5].alias("y"))
+    kept, _ = SEL.eliminate(ML.assemble(rows, "x").drop("x"), 8, folds=2, step=4, keep=1, trees=1, depth=1)
+    mask = spark.createDataFrame([(d,) for d in kept], "dim int")
+    return S.apply_mask(V.long_vectors(spark, sf), mask).withColumn("v", R6("v"))
+
+
+@query(
+    "M11_regression_lines",
+    V.with_views(
+        "el",
+        """SELECT row_id, dim, round(icept + slope * x, 6) AS y_hat FROM g JOIN
+        (SELECT dim, regr_slope(v, x) AS slope, regr_intercept(v, x) AS icept FROM g GROUP BY dim) USING (dim)""",
+        g=_GROUPED,
+    ),
+)
+def regression_lines(spark, sf):
+    rows = _flagged_rows(spark, sf, range(V.DIMS), numeric=True).persist()
+    models = ML.fit_linear(rows, {d: f"y{d}" for d in range(V.DIMS)})
+    rows.unpersist()
+    return ML.score(rows, models, "row_id").withColumn("y_hat", R6("y_hat"))
+
+
+@query(
+    "M12_sweep_of_group_means",
+    V.with_views(
+        "el",
+        """SELECT CAST(depth AS INTEGER) AS depth, rate, rmse FROM (SELECT round(sqrt(avg((v - m) * (v - m))), 6) AS rmse FROM
+          (SELECT v, flag FROM h WHERE held) JOIN (SELECT flag, avg(v) AS m FROM h WHERE NOT held GROUP BY flag) USING (flag)),
+        range(1, 3) d(depth), (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE]) AS rate)""",
+        g=_GROUPED,
+        h=f"SELECT v, flag, {mix_sql('1', 'row_id')} % 5 = 0 AS held FROM g WHERE dim = 3",
+    ),
+)
+def sweep_of_group_means(spark, sf):
+    rows = _flagged_rows(spark, sf, [3]).withColumnRenamed("y3", "y")
+    return ML.sweep(rows, "row_id", [1, 2], [0.1, 0.3], trees=1, share=1.0).withColumn("rmse", R6("rmse"))
+
+
+@query(
+    "M13_separate_blocks",
+    """SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, a < 20 AND b < 20 OR a >= 52 AND b >= 52 AS together
+    FROM range(64) x(a), range(64) y(b) WHERE a < b AND (a < 20 OR a >= 52) AND (b < 20 OR b >= 52) AND (SELECT count(*) FROM embeddings) > 0""",
+)
+def separate_blocks(spark, sf):
+    rows = V.vectors(spark, sf).select(
+        F.col("vec_id").alias("row_id"), F.transform("vec", lambda x: F.greatest(x, F.lit(0.0))).alias("vec")
+    )
+    pairs = X.co_occurrence(rows, "row_id", "vec", V.DIMS, 0.75)
+    blocks = pairs.filter("a < 20 AND b < 20 OR a >= 52 AND b >= 52")
+    found = ML.label_clusters(blocks, k=2, iterations=20, start="degree")
+    later = F.explode(F.sequence(F.col("dim") + 1, F.lit(V.DIMS))).alias("b")
+    others = found.select(F.col("dim").alias("b"), F.col("cluster").alias("cb"))
+    both = found.select(F.col("dim").alias("a"), F.col("cluster").alias("ca"), later).join(others, "b")
+    return both.select("a", "b", (F.col("ca") == F.col("cb")).alias("together"))
+
+
+@query(
+    "M14_rotation",
+    """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings),
+    t AS (SELECT atan2(2 * covar_samp(a, b), var_samp(a) - var_samp(b)) / 2 AS turn FROM v)
+    SELECT vec_id, round(abs(a * cos(turn) + b * sin(turn)), 6) AS x, round(abs(b * cos(turn) - a * sin(turn)), 6) AS y FROM v, t""",
+)
+def rotation(spark, sf):
+    found = ML.project(V.vectors(spark, sf).withColumn("vec", F.slice("vec", 1, 2)), "vec_id", "vec")
+    return found.select("vec_id", *[R6(F.abs(F.col("coords")[i])).alias(n) for i, n in enumerate("xy")])
+
+
+@query(
+    "M15_stored_group_means",
+    V.with_views("el", "SELECT row_id, round(avg(v) OVER (PARTITION BY flag), 6) AS y_hat FROM g WHERE dim = 4", g=_GROUPED),
+)
+def stored_group_means(spark, sf):
+    path, out = scratch_path(spark, "model"), scratch_path(spark, "predictions")
+    rows = _flagged_rows(spark, sf, [4])
+    ML.save_model(ML.fit_regressors(rows, {4: "y4"}, trees=1, depth=1, share=1.0)[4], path)
+    S.write_table(ML.load_and_score(path, rows, "row_id"), out, "csv")
+    return spark.read.schema("row_id bigint, y_hat double").csv(out, header=True).withColumn("y_hat", R6("y_hat"))
+
+
 # --- streams -----------------------------------------------------------------
 
 
