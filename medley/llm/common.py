@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"  # the white space of the text contracts: [\x20\x09-\x0D]
 
 
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 * 1024 * 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches in this session: rows hold whole texts here, and the usual
+    10,000 of them would be many megabytes in the JVM and in Python at once."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,5 +35,10 @@ def without_white_space(text: Column) -> Column:
 
 
 def size_in_words(text: Column) -> Column:
-    """Number of maximal runs of other characters than white space; NULL has none."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
+    """Number of maximal runs of other characters than white space; NULL has none.
+
+    Each run is replaced by one letter and the letters are counted, which makes no
+    object for each word as a list of matches would.
+    """
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), "[^ \\t-\\r]+", "w")
+    return F.length(without_white_space(letters)).cast("long")

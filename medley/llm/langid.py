@@ -29,8 +29,8 @@ WORDS = 60_000  # words of the training windows of each language
 BUCKETS = 1 << 15  # hashed features
 CHAIN = 64  # words of one chain: a line, or a stretch of a longer one
 ROUNDS = 60
-WORDS_KEPT = 300_000
-NAMES_KEPT = 400_000
+WORDS_KEPT = 150_000
+NAMES_KEPT = 150_000
 WORDS_AT_ONCE = 4096
 UNKNOWN = "und"
 SURE = 0.5
@@ -279,6 +279,7 @@ class Tagger:
         """Expected number of words of each label in each text."""
         if len(self.cleaned) > WORDS_KEPT:
             self.known, self.cleaned = {}, {}
+            self.table = np.zeros((1024, len(self.field.labels)), np.float32)
         out = np.zeros((len(texts), len(self.field.labels)))
         if not self.field.labels:
             return out

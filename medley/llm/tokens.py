@@ -11,8 +11,8 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
 
 END_ID = 1
-PIECES_KEPT = 150_000
-WORDS_KEPT = 300_000
+PIECES_KEPT = 80_000
+WORDS_KEPT = 160_000
 LONGEST_KEPT = 48
 
 #: A word of Latin letters, then marks that no rule of the vocabularies joins to a letter.
