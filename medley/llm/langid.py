@@ -33,7 +33,7 @@ WORDS_KEPT = 150_000
 NAMES_KEPT = 150_000
 WORDS_AT_ONCE = 4096
 UNKNOWN = "und"
-SURE = 0.5
+SURE = 0.3  # a text that switches between two or three languages is still text in these languages
 
 
 def words(text: str | None) -> list[str]:
