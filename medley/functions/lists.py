@@ -16,7 +16,7 @@ def _col(c: Column | str) -> Column:
 def decode_list(c: Column | str, elem: str = "double") -> Column:
     """Text such as '[1, 2.5, nan]' to an array; bare nan and None are read as NaN and NULL."""
     text = _col(c)
-    if elem in ("double", "float"):
+    if "double" in elem or "float" in elem:
         text = F.regexp_replace(text, r"(?i)\bnan\b", "NaN")
     text = F.regexp_replace(text, r"\bNone\b", "null")
     return F.from_json(text, f"array<{elem}>")

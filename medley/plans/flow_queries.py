@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from medley.functions import lists as A
 from medley.functions.featurise import featurise, text_key
 from medley.functions.mixing import mix_sql
 from medley.operators import explore as X
@@ -622,6 +623,33 @@ _E1_SQL = V.with_views(
 
 @query("E1_tidy_inputs", _E1_SQL)
 def tidy_inputs(spark, sf):
+    return _tidy_inputs(spark, sf).withColumn("weakness", R6("weakness"))
+
+
+@query(
+    "E1_regrouped_inputs",
+    f"""SELECT stimulus, string_agg(CAST(cid AS VARCHAR), ';' ORDER BY pos) AS cids, string_agg(CAST(component AS VARCHAR), ';' ORDER BY pos) AS components,
+    count(compound_id) AS known, round(sum(dilution), 6) AS dilution, CAST(sum(solvent_id * (place + 1)) AS DOUBLE) AS solvents, round(sum(weakness), 6) AS weakness
+    FROM (SELECT *, row_number() OVER (PARTITION BY stimulus ORDER BY pos) - 1 AS place FROM ({_E1_SQL})) GROUP BY stimulus""",
+)
+def regrouped_inputs(spark, sf):
+    # weakness is rounded before it is summed, as in the SQL
+    tidy = _tidy_inputs(spark, sf).withColumn("weakness", R6("weakness"))
+    rows = PL.regrouped_inputs(tidy)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    placed = F.transform(F.get("dilution_info", F.lit(1)), lambda v, i: v * (i + 1))
+    return rows.select(
+        "stimulus",
+        A.join_list("cids").alias("cids"),
+        A.join_list("components").alias("components"),
+        F.size(F.filter("compound_ids", lambda c: c.isNotNull())).cast("long").alias("known"),
+        R6(total(F.get("dilution_info", F.lit(0)))).alias("dilution"),
+        total(placed).alias("solvents"),
+        R6(total(F.get("dilution_info", F.lit(2)))).alias("weakness"),
+    )
+
+
+def _tidy_inputs(spark, sf):
     supplier = V.table(spark, sf, "supplier")
     single_id = F.col("s_suppkey") + 20000000
     singles = supplier.select(
@@ -636,8 +664,7 @@ def tidy_inputs(spark, sf):
     compounds = V.table(spark, sf, "part").filter("p_size > 10").select(
         F.col("p_partkey").alias("cid"), F.col("p_size").alias("compound_id")
     )
-    tidy = PL.tidy_inputs(singles, definition_text(spark, sf), components, known, compounds, [3, 20000005])
-    return tidy.withColumn("weakness", R6("weakness"))
+    return PL.tidy_inputs(singles, definition_text(spark, sf), components, known, compounds, [3, 20000005])
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from medley.functions import lists as A
 from medley.operators import explore as X
 from medley.operators import joins as J
 from medley.operators import metrics as M
@@ -83,6 +84,24 @@ def tidy_inputs(
     return T.min_max_position(linked, "cid", "dilution", "weakness")
 
 
+def regrouped_inputs(tidy: DataFrame) -> DataFrame:
+    """The long component table as one row of lists per stimulus: cids, compound_ids, components
+    and dilution_info, the list of the dilutions, solvent ids and weaknesses.
+
+    ``components`` is NULL for a stimulus of one entry without a component.
+    """
+    fields = ["cid", "compound_id", "component", "dilution", "solvent_id", "weakness"]
+    rows = T.regroup(tidy, "stimulus", ["pos"], fields)
+    info = F.array("dilution", F.col("solvent_id").cast("array<double>"), "weakness")
+    return rows.select(
+        "stimulus",
+        F.col("cid").alias("cids"),
+        F.col("compound_id").alias("compound_ids"),
+        A.null_if_all_null_single("component").alias("components"),
+        info.alias("dilution_info"),
+    )
+
+
 def fold_scores(pred: DataFrame, split: DataFrame) -> DataFrame:
     """(fold, mae, rmse, row_pearson, cosine) on the test rows of every fold."""
     tests = split.filter("part = 'test'").select("fold", "row_id")

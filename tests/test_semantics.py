@@ -240,3 +240,28 @@ def test_streams_take_folders_and_start_again(spark, tmp_path):
     assert means.first()["n"] == 7
     one = next(f"{source}/{f}" for f in sorted(os.listdir(source)) if f.endswith(".parquet") and os.path.getsize(f"{source}/{f}") > 800)
     assert ST.running_means(ST.file_stream(spark, one, schema), "run", "value", f"{tmp_path}/single").count() <= 1
+
+
+def test_every_csv_variant_opens(spark, tmp_path):
+    from medley.sources import catalog as C
+    from medley.sources import variants
+
+    for compounds, inputs, labels, output, fractions in variants.VARIANTS.values():
+        (tmp_path / f"{compounds}.csv").write_bytes("﻿SMILES,extra,CID\nCC,x,7\n,y,-1\n".encode())
+        info = ',"[[0.1, nan], [0, 1], [1.0, 0.5]]"' if fractions else ""
+        head = "stimulus,cmp_ids,dilution_info" if fractions else "cmp_ids,stimulus"
+        row = f'S1,"[7, -1]"{info}' if fractions else '"[7, -1]",S1'
+        (tmp_path / f"{inputs}.csv").write_text(f"{head}\n{row}\n")
+        names = sorted({v[3] for v in variants.VARIANTS.values() if v[2] == labels})
+        (tmp_path / f"{labels}.csv").write_text('"stimulus",' + ",".join(names) + "\nS1" + ',"[0.5, 0, 1]"' * len(names) + "\nS2" + "," * len(names) + "\n")
+    for name, variant in variants.VARIANTS.items():
+        ds = C.open_dataset(name, spark, str(tmp_path))
+        rows = {r.pos: r for r in ds.inputs.collect()}
+        assert [rows[i].cid for i in (0, 1)] == [7, -1]
+        if variant[4]:
+            assert (rows[0].dilution, rows[1].solvent_id, rows[1].weakness) == (0.1, 1.0, 0.5) and math.isnan(rows[1].dilution)
+        else:
+            assert rows[0].dilution is None
+        assert {r.stimulus: r[1] for r in ds.labels.collect()} == {"S1": [0.5, 0.0, 1.0], "S2": None}
+        assert C.describe_dataset(ds).first().n_entries == 2
+        assert {r.cid: r.smiles for r in ds.compounds.collect()} == {7: "CC", -1: None}
