@@ -157,13 +157,11 @@ class Scanner:
                 pairs = align(lower[begin : place + beyond], template)
                 if len(pairs) >= need:
                     pairs = [(begin + i, j) for i, j in pairs]
-                    # it may have been noticed early, by words in front of it: look at its whole reach
-                    again = align(lower[pairs[0][0] : pairs[0][0] + reach], template)
-                    if len(again) > len(pairs):
-                        pairs = [(pairs[0][0] + i, j) for i, j in again]
-                    behind = align(lower[pairs[len(pairs) // 2][0] : pairs[len(pairs) // 2][0] + reach], template)
-                    if len(behind) > len(pairs):
-                        pairs = [(pairs[len(pairs) // 2][0] + i, j) for i, j in behind]
+                    # it may have been noticed early, by words in front of the copy: look on from there
+                    for start in (pairs[0][0], pairs[len(pairs) // 2][0]):
+                        again = align(lower[start : start + reach], template)
+                        if len(again) > len(pairs):
+                            pairs = [(start + i, j) for i, j in again]
                     yield pairs
                     while last < len(places) and places[last][0] <= pairs[-1][0]:
                         last += 1
