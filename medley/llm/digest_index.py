@@ -110,11 +110,11 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     The winners are found by (digest, doc_id); repeated rows of a winner (same id,
     same text without white space) are reduced to one, which costs a shuffle of those alone.
+    Without repeated rows the texts are shuffled once.
     """
     marked = docs.withColumns(
         {
             "__digest": F.unhex(F.sha2(without_white_space(F.col("text").cast("string")).cast("binary"), 256)),
-            "__points": F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)),
             "__id": F.col("doc_id").cast("long"),
         }
     )
@@ -134,7 +134,10 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
         chosen, (F.col("__digest") == F.col("__key")) & F.col("__id").eqNullSafe(F.col("__winner"))
     )
     single = found.filter("__twins = 1").select(docs.columns)
-    order = F.struct((-F.col("__points")).alias("points"), F.col("text").cast("string"))
+    if chosen.filter("__twins > 1").isEmpty():  # the usual case: no second way, no second shuffle
+        return single
+    text = F.col("text").cast("string")
+    order = F.struct((-F.coalesce(F.length(text), F.lit(0))).alias("points"), text.alias("text"))
     repeated = found.filter("__twins > 1")
     best = repeated.groupBy("__digest").agg(
         F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("best")
