@@ -32,6 +32,7 @@ LEVELS = (4, 16)  # segments, coarse to fine
 PILOTS = 4096  # vectors of largest norm that give the first thresholds: at most so many are broadcast
 SLICE_ROWS = 65_536  # candidates that one task holds
 PAIRS_AT_ONCE = 4_000_000
+DENSE = 0.02  # share of pairs left from which a whole product is cheaper than single ones
 
 
 def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -90,6 +91,30 @@ class Slice:
         self.ids, self.vectors = ids, vectors
         self.levels = levels
         self.stats = [statistics(vectors, n) for n in levels]
+        self.floats = vectors.astype(np.float64)
+        self.small = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+
+    def _products(self, queries: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        score = np.empty(len(q), np.int64)
+        for i in range(0, len(q), PAIRS_AT_ONCE // 64):
+            s = slice(i, i + PAIRS_AT_ONCE // 64)
+            score[s] = np.einsum("ij,ij->i", queries[q[s]], self.vectors[c[s]])
+        return score
+
+    @staticmethod
+    def _narrow(alive: np.ndarray, mine: np.ndarray, theirs: np.ndarray, need: np.ndarray) -> np.ndarray | None:
+        """Clears the pairs whose product is below ``need``.  While many pairs are left one
+        matrix product, which is returned, is cheaper than to look at them one by one."""
+        if alive.mean() > DENSE:
+            product = mine @ theirs.T
+            alive &= product >= need
+            return product
+        q, c = np.nonzero(alive)
+        for i in range(0, len(q), PAIRS_AT_ONCE // 16):
+            s = slice(i, i + PAIRS_AT_ONCE // 16)
+            out = np.einsum("ij,ij->i", mine[q[s]], theirs[c[s]]) < need[q[s], 0]
+            alive[q[s][out], c[s][out]] = False
+        return None
 
     def search(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
         """(query index, candidate index, score) of each query's best k that reach its threshold."""
@@ -101,21 +126,20 @@ class Slice:
             own = [statistics(queries[block], n) for n in self.levels]
             slack = 1e-6 * (1 + np.abs(need))  # bounds are rounded, scores are not
             alive = own[0] @ self.stats[0].T >= need - slack
-            q, c = np.nonzero(alive)
-            keep = ids[block][q] != self.ids[c]
-            q, c = q[keep], c[keep]
+            alive &= ids[block, None] != self.ids[None, :]
             for mine, theirs in zip(own[1:], self.stats[1:]):
-                keep = np.empty(len(q), bool)
-                for i in range(0, len(q), PAIRS_AT_ONCE // 16):
-                    s = slice(i, i + PAIRS_AT_ONCE // 16)
-                    keep[s] = np.einsum("ij,ij->i", mine[q[s]], theirs[c[s]]) >= (need - slack)[q[s], 0]
-                q, c = q[keep], c[keep]
-            score = np.empty(len(q), np.int64)
-            for i in range(0, len(q), PAIRS_AT_ONCE // 64):
-                s = slice(i, i + PAIRS_AT_ONCE // 64)
-                score[s] = np.einsum("ij,ij->i", queries[block][q[s]], self.vectors[c[s]])
-            sure = score >= need[q, 0]
-            q, c, score = q[sure], c[sure], score[sure]
+                self._narrow(alive, mine, theirs, need - slack)
+            # exact in floating point as long as every sum of products is below 2^53
+            asked = queries[block]
+            if self.small * float(np.abs(asked).max(initial=0)) < 2**53:
+                score = self._narrow(alive, asked.astype(np.float64), self.floats, need)
+                q, c = np.nonzero(alive)
+                score = score[q, c].astype(np.int64) if score is not None else self._products(asked, q, c)
+            else:
+                q, c = np.nonzero(alive)
+                score = self._products(asked, q, c)
+                sure = score >= need[q, 0]
+                q, c, score = q[sure], c[sure], score[sure]
             top = _best(q, self.ids[c], score, k)
             found.append((q[top] + at, c[top], score[top]))
         if not found:
