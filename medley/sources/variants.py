@@ -10,17 +10,17 @@ from medley.functions import lists as A
 from medley.sources.catalog import Dataset, register
 from medley.sources.tables import keyed_table, read_table
 
-# Files and label column of each variant, and whether its inputs carry dilutions.
+# Label column of each variant, and whether its inputs carry dilutions.
 VARIANTS = {
-    "training": ("updated_CID", "task_inputs_dw", "task_labels", "rata", True),
-    "training_all": ("updated_CID", "task_inputs_dw", "task_labels", "rata_intensity_pleasantness", True),
-    "training_intensity": ("updated_CID", "task_inputs_dw", "task_labels", "intensity_pleasantness", True),
-    "leaderboard": ("updated_CID", "task_inputs_dw", "task_leaderboard", "rata", True),
-    "test": ("updated_CID", "task_inputs_dw", "task_test", "rata", True),
-    "gslf": ("gslf_CID", "gslf_inputs", "gslf_labels", "rata", False),
-    "keller": ("keller_CID", "keller_inputs", "keller_labels", "ratings", True),
-    "keller_all": ("keller_CID", "keller_inputs", "keller_labels", "ratings_intensity_pleasantness", True),
-    "keller_intensity": ("keller_CID", "keller_inputs", "keller_labels", "intensity_pleasantness", True),
+    "training": ("rata", True),
+    "training_all": ("rata_intensity_pleasantness", True),
+    "training_intensity": ("intensity_pleasantness", True),
+    "leaderboard": ("rata", True),
+    "test": ("rata", True),
+    "descriptors": ("rata", False),
+    "panel": ("ratings", True),
+    "panel_all": ("ratings_intensity_pleasantness", True),
+    "panel_intensity": ("intensity_pleasantness", True),
 }
 FRACTIONS = ("dilution", "solvent_id", "weakness")  # the parallel lists of dilution_info, in this order
 
@@ -42,9 +42,17 @@ def long_inputs(wide: DataFrame, fractions: bool) -> DataFrame:
     return entries.select("stimulus", "pos", "cid", *[part(i).alias(name) for i, name in enumerate(FRACTIONS)])
 
 
-def load_variant(spark: SparkSession, folder: str, name: str) -> Dataset:
-    """The bundle of one variant from its CSV files in ``folder``; compounds have a unique CID."""
-    compounds, inputs, labels, output, fractions = VARIANTS[name]
+def load_variant(
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    compounds: str = "compounds",
+    inputs: str = "inputs",
+    labels: str = "labels",
+) -> Dataset:
+    """The bundle of one variant from three CSV files in ``folder``, given by their names
+    without the ending; compounds have a unique CID."""
+    output, fractions = VARIANTS[name]
     lists = ["stimulus", "cmp_ids", *(["dilution_info"] if fractions else [])]
     found = read_table(spark, f"{folder}/{compounds}.csv", _strings("CID", "SMILES"))
     found = keyed_table(found.select(F.col("CID").cast("bigint").alias("cid"), F.col("SMILES").alias("smiles")), ["cid"])

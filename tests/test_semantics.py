@@ -246,19 +246,19 @@ def test_every_csv_variant_opens(spark, tmp_path):
     from medley.sources import catalog as C
     from medley.sources import variants
 
-    for compounds, inputs, labels, output, fractions in variants.VARIANTS.values():
-        (tmp_path / f"{compounds}.csv").write_bytes("﻿SMILES,extra,CID\nCC,x,7\n,y,-1\n".encode())
-        info = ',"[[0.1, nan], [0, 1], [1.0, 0.5]]"' if fractions else ""
-        head = "stimulus,cmp_ids,dilution_info" if fractions else "cmp_ids,stimulus"
-        row = f'S1,"[7, -1]"{info}' if fractions else '"[7, -1]",S1'
-        (tmp_path / f"{inputs}.csv").write_text(f"{head}\n{row}\n")
-        names = sorted({v[3] for v in variants.VARIANTS.values() if v[2] == labels})
-        (tmp_path / f"{labels}.csv").write_text('"stimulus",' + ",".join(names) + "\nS1" + ',"[0.5, 0, 1]"' * len(names) + "\nS2" + "," * len(names) + "\n")
-    for name, variant in variants.VARIANTS.items():
-        ds = C.open_dataset(name, spark, str(tmp_path))
+    (tmp_path / "compounds.csv").write_bytes("﻿SMILES,extra,CID\nCC,x,7\n,y,-1\n".encode())
+    (tmp_path / "inputs.csv").write_text('stimulus,cmp_ids,dilution_info\nS1,"[7, -1]","[[0.1, nan], [0, 1], [1.0, 0.5]]"\n')
+    (tmp_path / "bare.csv").write_text('cmp_ids,stimulus\n"[7, -1]",S1\n')
+    names = sorted({output for output, _ in variants.VARIANTS.values()})
+    (tmp_path / "labels.csv").write_text('"stimulus",' + ",".join(names) + "\nS1" + ',"[0.5, 0, 1]"' * len(names) + "\nS2" + "," * len(names) + "\n")
+    for name, (_, fractions) in variants.VARIANTS.items():
+        if fractions:
+            ds = C.open_dataset(name, spark, str(tmp_path))
+        else:
+            ds = variants.load_variant(spark, str(tmp_path), name, inputs="bare")
         rows = {r.pos: r for r in ds.inputs.collect()}
         assert [rows[i].cid for i in (0, 1)] == [7, -1]
-        if variant[4]:
+        if fractions:
             assert (rows[0].dilution, rows[1].solvent_id, rows[1].weakness) == (0.1, 1.0, 0.5) and math.isnan(rows[1].dilution)
         else:
             assert rows[0].dilution is None
