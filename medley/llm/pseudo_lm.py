@@ -7,7 +7,7 @@ The vocabulary is counted over the whole corpus: the most frequent words have id
 of their own, the others share classes by their last letters.  The network (word
 vectors of the window, a hidden layer, a softmax) is written in numpy.  It is
 trained on the whole corpus in rounds: every partition runs stochastic gradient
-steps on its share of the windows, every STRIDE-th word of each document, starting
+steps on its share of the windows, every word of each document, starting
 from the common weights, and the results are averaged by the number of words they
 come from.
 """
@@ -33,7 +33,7 @@ EDGE = 0  # id of the place before the first word and after the last
 SIZE = 1 + FREQUENT + CLASSES
 WIDTH = 16
 HIDDEN = 32
-STRIDE = 12  # every so many-th word of a document is a training target
+STRIDE = 1  # every so many-th word of a document is a training target
 ROUNDS = 2
 BATCH = 512
 RATE = 0.1

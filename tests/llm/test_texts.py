@@ -279,3 +279,9 @@ def test_training_improves_the_scores(small, stride):
     total = [pseudo_lm.score(coded, w).agg(F.sum("log_likelihood")).first()[0] for w in (start, trained)]
     coded.unpersist()
     assert total[1] > total[0]
+
+
+def test_every_word_is_a_training_target(small):
+    coded = pseudo_lm.coded(small.limit(20), pseudo_lm.frequent_words(small))
+    start = pseudo_lm.Network.fresh().flat()
+    assert np.array_equal(pseudo_lm.train_round(coded.coalesce(1), start), pseudo_lm.train_round(coded.coalesce(1), start, 1))
