@@ -7,9 +7,11 @@ The vocabulary is counted over the whole corpus: the most frequent words have id
 of their own, the others share classes by their last letters.  The network (word
 vectors of the window, a hidden layer, a softmax) is written in numpy.  It is
 trained on the whole corpus in rounds: every partition runs stochastic gradient
-steps on its share of the windows, every word of each document, starting
-from the common weights, and the results are averaged by the number of words they
-come from.
+steps on its share of the windows, every word of each document, starting from the
+common weights, and the results are averaged by the number of words they come from.
+
+A word without an id of its own has the probability of its class, given the window,
+times its share of the class in the corpus, so every word has its own probability.
 """
 
 from __future__ import annotations
@@ -244,8 +246,9 @@ def train_round(rows: DataFrame, start: np.ndarray, stride: int = STRIDE) -> np.
     return out.astype(np.float32)
 
 
-def score(rows: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, log_likelihood) from (doc_id, words): every word of every text."""
+def score(rows: DataFrame, weights: np.ndarray, added: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n_words, log_likelihood) from (doc_id, words): every word of every text.
+    ``added``: what each id adds to the log-probability of its words."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +260,8 @@ def score(rows: DataFrame, weights: np.ndarray) -> DataFrame:
                 owner = np.repeat([n for n, _ in sizes], [s for _, s in sizes])
                 for at in range(0, len(target), 4096):
                     s = slice(at, at + 4096)
-                    np.add.at(sums, owner[s], network.log_probabilities(window[s], target[s]).astype(np.float64))
+                    own = network.log_probabilities(window[s], target[s]).astype(np.float64)
+                    np.add.at(sums, owner[s], own if added is None else own + added[target[s]])
 
         for batch in batches:
             data = batch.column(1).to_pylist()
@@ -287,14 +291,56 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE)
     has 0 words, log-likelihood 0 and a NULL ``per_word``.  An empty table gives no rows.
     """
     rows = cut(coded(docs, frequent_words(docs)))
+    return _per_word(score(rows, trained_weights(rows, code_counts(rows), rounds, stride)))
+
+
+def trained_weights(rows: DataFrame, counts: np.ndarray, rounds: int, stride: int) -> np.ndarray:
     start = Network.fresh()
-    counts = code_counts(rows) + 0.5
+    counts = counts + 0.5
     start.outer_bias = np.log(counts / counts.sum()).astype(np.float32)  # begin with the frequencies
     weights = start.flat()
     for _ in range(rounds):
         trained = train_round(rows, weights, stride)
         weights = weights if trained is None else trained
-    scored = score(rows, weights)
+    return weights
+
+
+def _per_word(scored: DataFrame) -> DataFrame:
     return scored.withColumn(
         "per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     )
+
+
+def coded_with_rare(docs: DataFrame, frequent: list[str]) -> DataFrame:
+    """(doc_id, words, rare): as ``coded``, and the words that have no id of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(frequent)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rare = [[w for w in (text or "").lower().split() if w not in coder.frequent] for text in texts]
+            columns = [batch.column(0), pa.array(map(coder.code, texts), pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "rare"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, words binary, rare array<string>"
+    )
+
+
+def score_words(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+    """As ``score_documents``, but for the words themselves: a word without an id of its own adds
+    log(count of the word / count of its class) to the log-probability of its class."""
+    counted = cut(word_counts(docs))
+    frequent = [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
+    rows = cut(coded_with_rare(docs, frequent).withColumn("row", F.monotonically_increasing_id()))
+    counts = code_counts(rows)
+    weights = trained_weights(rows, counts, rounds, stride)
+    shares = np.zeros(SIZE)
+    shares[1 + FREQUENT :] = -np.log(np.maximum(counts[1 + FREQUENT :], 1))
+    scored = score(rows.select(F.col("row").alias("doc_id"), "words"), weights, shares).withColumnRenamed("doc_id", "row")
+    # words that occur once add log(1) = 0
+    own = rows.select("row", F.explode("rare").alias("word")).join(counted.filter("n > 1"), "word")
+    own = own.groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+    whole = rows.select("row", "doc_id").join(scored, "row").join(own, "row", "left")
+    value = F.col("log_likelihood") + F.coalesce("own", F.lit(0.0))
+    return _per_word(whole.select("doc_id", "n_words", value.alias("log_likelihood")))

@@ -104,7 +104,7 @@ def op6_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_pseudo_likelihood")
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_lm.score_documents(table(spark, sf_dir, "documents"))
+    return pseudo_lm.score_words(table(spark, sf_dir, "documents"))
 
 
 @query(

@@ -281,6 +281,18 @@ def test_training_improves_the_scores(small, stride):
     assert total[1] > total[0]
 
 
+def test_every_word_has_its_own_probability(spark):
+    """Words of one class are told apart by their counts, and each word is a training target."""
+    frequent = " ".join(f"f{i:03d}" for i in range(pseudo_lm.FREQUENT))
+    rows = [(i, frequent + " aaxyz" * (3 if i == 2 else 0)) for i in range(5)]
+    rows += [(10, "f000 aaxyz f001"), (11, "f000 bbxyz f001"), (12, None), (None, "f000 bbxyz f001")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = {r.doc_id: r for r in pseudo_lm.score_words(docs).collect()}
+    assert len(found) == len(rows) and found[12].n_words == 0 and found[12].log_likelihood == 0
+    assert math.isclose(found[10].log_likelihood - found[11].log_likelihood, math.log(4 / 2), abs_tol=1e-4)
+    assert math.isclose(found[None].log_likelihood, found[11].log_likelihood, abs_tol=1e-4)
+
+
 def test_every_word_is_a_training_target(small):
     coded = pseudo_lm.coded(small.limit(20), pseudo_lm.frequent_words(small))
     start = pseudo_lm.Network.fresh().flat()
