@@ -65,6 +65,65 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "All-rights-reserved": "All rights reserved.",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0": "This work is licensed under the Mozilla Public License, version 2.0.",
+    "BSD": "Released under the BSD License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "MPL-2.0-full": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+}
+
+_GPL = TEMPLATES["GPL-3.0-full"]
+TEMPLATES |= {
+    "GPL-2.0-full": _GPL.replace("version 3", "version 2"),
+    "LGPL-2.1-full": _GPL.replace("version 3", "version 2.1").replace("General", "Lesser General"),
+    "LGPL-3.0-full": _GPL.replace("General", "Lesser General"),
+    "AGPL-3.0-full": _GPL.replace("General", "Affero General"),
+}
+
+#: Words that tell a notice from those of sibling licenses and versions; all must be matched.
+NAMING = {
+    "MIT": "mit",
+    "Apache-2.0": "apache 2.0",
+    "Apache-1.1": "apache 1.1",
+    "GPL-3.0-full": "3",
+    "GPL-2.0-full": "2",
+    "LGPL-2.1-full": "2.1",
+    "LGPL-3.0-full": "3",
+    "AGPL-3.0-full": "3",
+    "GPL-3.0": "gnu general 3",
+    "GPL-2.0": "gnu general 2",
+    "LGPL-2.1": "gnu lesser 2.1",
+    "LGPL-3.0": "gnu lesser 3",
+    "AGPL-3.0": "gnu affero 3",
+    "MPL-2.0": "mozilla 2.0",
+    "BSD": "bsd",
+    "CC-BY-NC-4.0": "cc by-nc 4.0",
+    "CC-BY-4.0": "cc by 4.0",
+    "CC-BY-SA-4.0": "cc by-sa 4.0",
+    "CC-BY-ND-4.0": "cc by-nd 4.0",
+    "CC-BY-NC-SA-4.0": "cc by-nc-sa 4.0",
+    "CC-BY-NC-ND-4.0": "cc by-nc-nd 4.0",
 }
 
 
@@ -135,6 +194,12 @@ class Scanner:
                 rest -= count[word]
                 self.keys.setdefault(word, []).append(name)
 
+        self.naming = {
+            name: {i for i, w in enumerate(words) if w in NAMING[name].split()}
+            for name, words in self.templates.items()
+            if name in NAMING and templates[name] == TEMPLATES[name]
+        }
+
     def copies(self, lower: list[str], places: list[tuple[int, str]], name: str) -> Iterator[list[tuple[int, int]]]:
         """Alignments of the template's copies, from left to right.  ``places``: (place, word) of its
         words in the text.  Once a window holds enough of them it is aligned; the search goes on
@@ -195,6 +260,8 @@ class Scanner:
         for name in names:
             template = self.templates[name]
             for pairs in self.copies(lower, hits[name], name):
+                if not self.naming.get(name, set()) <= {j for _, j in pairs}:
+                    continue
                 found.append((len(pairs), name, pairs[0][0], pairs[-1][0], len(pairs) / len(template)))
         found.sort(key=lambda f: (-f[0], -f[4], f[2], f[1]))
         kept: list[tuple[str, int, int, float]] = []

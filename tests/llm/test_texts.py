@@ -126,6 +126,23 @@ def test_planted_licenses_are_found():
     assert scanner.scan(filler * 50) == [] and scanner.scan(None) == [] and scanner.scan("") == []
 
 
+def test_sibling_licenses_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in licenses.NAMING:
+        assert [f[0] for f in scanner.scan(licenses.TEMPLATES[name])] == [name], name
+    for text in (
+        "Released under the Foo License.",
+        "Licensed under CC BY-SA 3.0.",
+        "Licensed under the Apache License, Version 1.0.",
+        "This work is licensed under the GNU General Public License, version 1.",
+    ):
+        assert scanner.scan(text) == [], text
+    found = scanner.scan("x Licensed under CC BY-SA 4.0. y Released under the BSD License. z. All rights reserved.")
+    assert [f[0] for f in found] == ["CC-BY-SA-4.0", "BSD", "All-rights-reserved"]
+    both = scanner.scan("Released under the BSD License. Released under the MIT License.")
+    assert [f[0] for f in both] == ["BSD", "MIT"]
+
+
 def test_license_query_rows(awkward, small, nothing):
     rows = {r.doc_id: r for r in licenses.summary(licenses.scan(small)).collect()}
     texts = {r.doc_id: r.text for r in small.collect()}
