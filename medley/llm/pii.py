@@ -96,11 +96,28 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, round(value, 2)))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: words in capitals may follow one, so shorter ends at the blanks of a match
+    are tried too, the longest first; a match has 65 characters at most."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at, end = m.start() + 1, m.end()
+        while end > m.start():
+            number = text[m.start() : end].replace(" ", "")
+            if len(number) < 15:
+                break
+            if mod97(number):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
 def added_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans beyond the base: account numbers that pass mod-97, and national ids whose context speaks for them."""
     if not DIGIT.search(text):
         return [[], []]
-    ibans = [m.span() for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    ibans = list(_ibans(text))
     numbers = [m.span() for m in NATIONAL_ID.finditer(text) if "-" in m[0]]
     return [
         [s for s in found if score(text, kind, *s) >= NEEDED] for kind, found in zip(ADDED, (ibans, numbers))

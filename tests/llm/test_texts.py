@@ -314,3 +314,10 @@ def test_every_word_is_a_training_target(small):
     coded = pseudo_lm.coded(small.limit(20), pseudo_lm.frequent_words(small))
     start = pseudo_lm.Network.fresh().flat()
     assert np.array_equal(pseudo_lm.train_round(coded.coalesce(1), start), pseudo_lm.train_round(coded.coalesce(1), start, 1))
+
+
+def test_account_numbers_end_before_capitals():
+    for number, rest in (("GB29 NWBK 6016 1331 9268 19", " VAT 5"), ("DE89370400440532013000", " BIC COBADEFF")):
+        text = f"iban {number}{rest}"
+        assert pii.added_spans(text)[0] == [(5, 5 + len(number))]
+        assert len(pii.added_spans(f"{text} {text}")[0]) == 2
