@@ -26,6 +26,7 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -234,6 +235,19 @@ def linked_prints(prints: DataFrame, threshold: int = 2, crowd: int = CROWD) ->
     return compared.filter("not crowded").select("src", "dst").union(near.distinct())
 
 
+def _classes(docs: DataFrame, width: int, threshold: int, crowd: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``; ``root`` names the class itself."""
+    prints = cut(fingerprints(docs, width))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = connected(linked_prints(distinct, threshold, crowd))
+    classes = distinct.join(labels, distinct.fp == labels.node, "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_print = cut(classes.join(named, "root").select("fp", "root", "component_id"))
+    return prints.join(of_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -244,34 +258,44 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2, crowd:
     smallest doc_id that can be reached over links; rows whose doc_id is NULL are
     linked too but never name a component that has another id.
     """
-    prints = cut(fingerprints(docs, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = connected(linked_prints(distinct, threshold, crowd))
-    classes = distinct.join(labels, distinct.fp == labels.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = cut(classes.join(named, "root").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, width, threshold, crowd).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first_of_groups(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their group, with their own columns: one document of
-    each group, and one of repeated rows with that id.  Rows without an id cannot be named
-    and all stay."""
-    found = near_duplicates(docs, width, threshold)
-    named = found.filter("doc_id = component_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"))
-    names = cut(named.withColumnsRenamed({"component_id": "__winner", "rows": "__rows"}))
-    joined = docs.withColumn("__id", F.col("doc_id").cast("long")).join(names, F.col("__id") == F.col("__winner"))
-    single = joined.filter("__rows = 1").select(docs.columns)
-    order = F.col("text").cast("string")
-    repeated = (
-        joined.filter("__rows > 1")
-        .groupBy("__winner")
-        .agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("best"))
+def keep_first_of_groups(docs: DataFrame, width: int = 3, threshold: int = 2, crowd: int = CROWD) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with its own columns: the one with the
+    smallest doc_id.  Where several rows of a group carry that id, the smallest fingerprint
+    and then the smallest text decide; rows of other groups that carry it too are not touched.
+    Rows without an id cannot be named and all stay.  An empty table gives an empty one.
+
+    Only where an id is repeated does it not name a row; the texts of those ids alone
+    are fingerprinted once more, to find the row by id and fingerprint.
+    """
+    found = cut(_classes(docs, width, threshold, crowd))
+    best = found.filter("doc_id = component_id").groupBy("root").agg(
+        F.first("component_id").alias("__winner"), F.min("fp").alias("__fp")
+    )
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    names = cut(best.join(rows, F.col("__winner") == F.col("doc_id")).select("__winner", "__fp", "__rows"))
+    owned = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    single = owned.join(names.filter("__rows = 1"), F.col("__id") == F.col("__winner")).select(docs.columns)
+    kept = single.union(docs.filter("doc_id is null"))
+    shared = names.filter("__rows > 1")
+    if shared.isEmpty():
+        return kept
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(text, width) for text in texts], dtype="int64")
+
+    text = F.col("text").cast("string")
+    again = owned.join(shared.select(F.col("__winner").alias("__id")).distinct(), "__id", "left_semi")
+    again = again.withColumn("__own", print_of(text))
+    met = again.join(shared, (F.col("__id") == F.col("__winner")) & (F.col("__own") == F.col("__fp")))
+    chosen = met.groupBy("__winner", "__fp").agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce(text, F.lit(""))).alias("__best")
     )
-    return single.union(repeated.select("best.*")).union(docs.filter("doc_id is null"))
+    return kept.union(chosen.select("__best.*"))

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+
 import corpus_pipeline
-from medley.llm import digest_index, near_copies, simhash
+from medley.llm import digest_index, simhash
 from medley.llm.components import connected
 
 WHITE = re.compile("[\x20\x09-\x0d]")
@@ -128,51 +130,28 @@ def test_near_dedup_keeps_one_of_each_group(awkward):
     assert sorted(i for i in ids if i is not None) == sorted({r.component_id for r in found} - {None})
 
 
-def plain_near(rows):
-    """(doc_id, text) that stay: union of all pairs with 5-word Jaccard of at least 0.8."""
-    sets = []
-    for _, text in rows:
-        words = (text or "").encode().lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
-            if sets[i] == sets[j] or all_ and 5 * both >= 4 * all_:
-                root[find(i)] = find(j)
-    return len({find(i) for i in range(len(rows))}), sets
-
-
-def test_near_copies_of_the_pipeline(spark):
+def test_near_dedup_with_ids_that_groups_share(spark):
+    """An id carried by several rows names one row of each of its groups, no more and no fewer."""
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
-    line = " ".join(rng.choices(words, k=12))
     rows = []
-    for base in range(30):
+    for base in range(20):
         text = rng.choices(words, k=rng.randrange(60, 200))
-        rows.append((1000 + len(rows), " ".join(text) + " " + line))
-        for _ in range(rng.choice([0, 1, 6])):
-            copy = list(text)
-            for _ in range(rng.randrange(1, 5)):
-                copy[rng.randrange(len(copy))] = rng.choice(words)
-            rows.append((1000 + len(rows), " ".join(copy) + " " + line))
-    rows += [(5, None), (6, ""), (7, "a b c"), (8, "A  b C")]
+        rows.append((1000 + len(rows), " ".join(text)))
+        rows += [(1000 + len(rows), " ".join(text).upper()) for _ in range(rng.choice([0, 1, 6]))]
+    rows += [(5, None), (6, ""), (7, "a b c"), (8, "A  b C"), (None, "without an id")]
     rows += [(9, rows[0][1]), (9, "another text that has the same id but no copy of it at all")]
+    rows += [(9, rows[0][1].upper()), (2, "z y x"), (2, "z y x"), (2, "Z y x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    kept = [(r.doc_id, r.text) for r in near_copies.keep_first_copies(frame).collect()]
-    groups, sets = plain_near(rows)
-    assert len(kept) == groups and 30 < groups < len(rows)
-    left, _ = plain_near(kept)
-    assert left == len(kept)
-    assert sum(i == 9 for i, _ in kept) == 2 and {i for i, _ in kept} >= {5, 7} and not {i for i, _ in kept} & {6, 8}
-    stage = [r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()]
-    assert sorted(stage) == sorted(i for i, _ in kept)
+    component = plain_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
+    assert component[-4] == 9 and component[-5] == 9 and rows[0][0] == 1000
+    for kept in (simhash.keep_first_of_groups(frame), corpus_pipeline.near_dedup(spark, frame, "")):
+        found = Counter(map(tuple, kept.collect()))
+        assert found[(9, rows[-5][1])] == 1 and found[(9, min(rows[0][1], rows[0][1].upper()))] == 1
+        assert found[(2, "Z y x")] == 1 and found[(None, "without an id")] == 1 and found[(5, None)] == 1
+        groups = {c for c in component if c not in (None, 9)}
+        assert sum(found.values()) == len(groups) + 3 and set(found.values()) == {1}
+        assert {i for i, _ in found} == groups | {9, None}
 
 
 def test_components(spark):
