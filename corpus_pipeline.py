@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medley.llm import digest_index, langid, mixing, near_copies, packing
+from medley.llm import digest_index, langid, mixing, packing, simhash
 from medley.llm.common import bound_batches, table
 from medley.llm.tokens import vocabulary_file
 from medley.session import cut
@@ -39,9 +39,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
+    """One document of each SimHash group (three-word shingles, two bits): the one with the smallest id."""
     bound_batches(spark)
-    return near_copies.keep_first_copies(docs)
+    return simhash.keep_first_of_groups(docs, width=3, threshold=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
