@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medley.llm import bitpack, digest_index, langid, licenses, mixing, packing, pii, pseudo_lm, simhash, token_counts, topk, whitening
+from medley.llm import bitpack, conversations, digest_index, langid, licenses, mixing, packing, pii, pseudo_lm, simhash, token_counts, topk, whitening
 from medley.llm.common import bound_batches, table
 from medley.llm.tokens import vocabulary_file
 
@@ -166,6 +166,11 @@ def op10_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_token_files(spark, folder, manifest)
 
 
+@query("op11_integer_repair", conversations.plain_sql())
+def op11_integer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 @query("op12_batch_token_counts")
 def op12_batch_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"), limit=512)
