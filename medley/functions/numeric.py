@@ -26,6 +26,32 @@ def cosine_agg(y: str, p: str) -> Column:
     return safe_divide(F.sum(a * b), F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b)))
 
 
+def _total(vec: Column) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine_of(y: str, p: str) -> Column:
+    """Cosine similarity of two array columns of one length; NULL when either side is all zero."""
+    product = lambda a, b: _total(F.zip_with(a, b, lambda u, v: u * v))
+    return safe_divide(product(y, p), F.sqrt(product(y, y)) * F.sqrt(product(p, p)))
+
+
+def pearson_of(y: str, p: str) -> Column:
+    """Pearson correlation of two array columns of one length; NULL when either side is constant."""
+    constant = (F.array_min(y) == F.array_max(y)) | (F.array_min(p) == F.array_max(p))
+    centred = lambda vec: F.transform(vec, lambda x: x - _total(F.col(vec)) / F.size(vec))
+    pairs = F.zip_with(centred(y), centred(p), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    sums = F.aggregate(
+        pairs,
+        F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb")),
+        lambda s, x: F.struct(
+            (s["ab"] + x["a"] * x["b"]).alias("ab"), (s["aa"] + x["a"] * x["a"]).alias("aa"), (s["bb"] + x["b"] * x["b"]).alias("bb")
+        ),
+        lambda s: safe_divide(s["ab"], F.sqrt(s["aa"]) * F.sqrt(s["bb"])),
+    )
+    return F.when(~constant, sums)
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medley.functions.numeric import cosine_agg, pearson_agg, safe_divide
+from medley.functions.numeric import cosine_of, pearson_of, safe_divide
 from medley.operators.ordered import exact_quantiles
-from medley.operators.pooling import aggregate_members, dot, unpack
+from medley.operators.pooling import cells_of, dot, pool_blocks, unpack
 from medley.session import cut
 
 # --- distances to all other rows ---------------------------------------------
@@ -94,10 +94,15 @@ def single_means(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame
 
 def expected_ratings(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(stimulus, dim, known, expected) for mixtures: mean over its known components."""
+    return cells_of(expected_vectors(entries, ratings, dims), "stimulus", ["expected"], "known")
+
+
+def expected_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
+    """(stimulus, n, size, expected): the same with an array per mixture."""
     known = cut(single_mean_vectors(entries, ratings, dims))
     mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1").select("stimulus", "cid")
-    build = lambda: [F.count(F.lit(1)).alias("known"), F.avg("_v").alias("expected")]
-    return aggregate_members(mixed, known, "stimulus", "cid", "mean", build, sketch=entries.select("stimulus"))
+    pooled = pool_blocks(mixed, known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus"))
+    return pooled.withColumnRenamed("mean", "expected")
 
 
 def component_history(entries: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -153,6 +158,11 @@ def mixture_observations(entries: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def measured_against_components(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(stimulus, dim, y, y_hat) for rated mixtures whose components all have rated singles."""
+    return unpack(measured_vectors(entries, ratings, dims), ["stimulus"], ["y", "y_hat"])
+
+
+def measured_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
+    """(stimulus, y, y_hat): the same with an array per mixture."""
     known = cut(single_mean_vectors(entries, ratings, dims).filter("n > 0"))
     rated = entries.select("stimulus", "cid").join(ratings.select("stimulus"), "stimulus", "left_semi")
     mixed = with_size(rated).filter("size > 1")
@@ -161,21 +171,18 @@ def measured_against_components(entries: DataFrame, ratings: DataFrame, dims: in
         F.count(F.lit(1)).alias("_known"), F.max("size").alias("_size")
     )
     complete = mixed.join(hits.filter("_known = _size").select("stimulus"), "stimulus", "left_semi")
-    build = lambda: [F.avg("_v").alias("y_hat")]
-    expected = aggregate_members(
-        complete.select("stimulus", "cid"), known, "stimulus", "cid", "mean", build, sketch=entries.select("stimulus")
+    pooled = pool_blocks(
+        complete.select("stimulus", "cid"), known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus")
     )
-    truth = ratings.select("stimulus", F.posexplode("rating").alias("dim", "y"))
-    return expected.join(truth, ["stimulus", "dim"]).select("stimulus", "dim", "y", "y_hat")
+    truth = ratings.select("stimulus", F.col("rating").alias("y"))
+    return pooled.join(truth, "stimulus").select("stimulus", "y", F.col("mean").alias("y_hat"))
 
 
 def additivity_test(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
     """(n, cosine_distance, pearson): measured mixtures against the mean of their components."""
-    cells = measured_against_components(entries, ratings, dims)
-    rows = cells.groupBy("stimulus").agg(
-        cosine_agg("y", "y_hat").alias("c"), pearson_agg("y", "y_hat").alias("r")
-    )
-    return rows.agg(
+    rows = measured_vectors(entries, ratings, dims)
+    scores = rows.select(cosine_of("y", "y_hat").alias("c"), pearson_of("y", "y_hat").alias("r"))
+    return scores.agg(
         F.count(F.lit(1)).alias("n"), F.avg(1 - F.col("c")).alias("cosine_distance"), F.avg("r").alias("pearson")
     )
 

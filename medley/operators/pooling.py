@@ -3,19 +3,19 @@
 Entries are narrow (set key, member link) and vectors are wide.  When the
 vectors are few enough to broadcast (their size is measured), the plan moves
 the entries: they are shuffled by set, then the vectors are attached and
-aggregated in place.  Otherwise entries and vectors are joined by link and the
-joined rows, still one array per entry, are shuffled by set once.  Sets with an
-outsized number of entries are not shuffled whole; they go through partial
-aggregation (see ``hot``).
+reduced in place to one block of accumulators per set (see ``blocks``).
+Otherwise entries and vectors are joined by link and the joined rows, still one
+array per entry, are shuffled by set once.  Sets with an outsized number of
+entries are not shuffled whole; each task reduces its part of them to a block,
+and the blocks are merged (see ``hot``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medley.operators.blocks import Spec, reduce_placed, reduce_spread
 from medley.operators.hot import profile, split_hot
 
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -30,19 +30,27 @@ STATS = {
 }
 
 
-def aggregate_members(
+def pool_blocks(
     entries: DataFrame,
     features: DataFrame,
     key: str,
     link: str,
-    vec: str,
-    aggregates: Callable[[], list[Column]],
+    stats: list[str],
+    vec: str = "vec",
+    weight: str | None = None,
+    sums: list[str] | None = None,
     threshold: int | None = None,
     sketch: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, dim, aggregates): aggregates may use ``_v``, the member's value in
-    that dimension, and any column of ``entries``."""
+    """(key, n, size, one array per statistic, sum_<column> per column of ``sums``) for each set with members.
 
+    ``n`` counts members; ``size`` counts them per dimension where some vectors are shorter and is NULL
+    otherwise.  NULL entries are skipped as in SQL, a dimension without any has NULL.  ``weight`` names a
+    column of ``entries`` that the values are multiplied with in ``sum``; where it is NULL the member has
+    no value.  No member becomes a row per dimension: see ``blocks``.
+    """
+    spec = Spec(tuple(stats), tuple(sums or ()), weight is not None)
+    needed = dict.fromkeys([key, link, *([weight] if weight else []), *spec.sums])
     vectors = features.select(link, vec)
     total, widest = vector_bytes(vectors, vec)
     tasks, hot = profile(entries if sketch is None else sketch, key, widest, threshold)
@@ -51,14 +59,10 @@ def aggregate_members(
     def attach(part: DataFrame) -> DataFrame:
         return part.join(F.broadcast(vectors) if small else vectors, link)
 
-    def reduce_cells(members: DataFrame) -> DataFrame:
-        cells = members.select(*entries.columns, F.posexplode(vec).alias("dim", "_v"))
-        return cells.groupBy(key, "dim").agg(*aggregates())
-
-    ordinary, outsized = split_hot(entries, key, hot)
+    ordinary, outsized = split_hot(entries.select(*needed), key, hot)
     placed = attach(ordinary.repartition(tasks, key)) if small else attach(ordinary).repartition(tasks, key)
-    pooled = reduce_cells(placed)
-    return pooled if outsized is None else pooled.unionByName(reduce_cells(attach(outsized)))
+    pooled = reduce_placed(placed, key, vec, spec, weight)
+    return pooled if outsized is None else pooled.unionByName(reduce_spread(attach(outsized), key, vec, spec, weight))
 
 
 def vector_bytes(vectors: DataFrame, vec: str) -> tuple[int, int]:
@@ -77,8 +81,16 @@ def pool_members(
     threshold: int | None = None,
 ) -> DataFrame:
     """(key, dim, n, one column per statistic); sets without members give no row."""
-    build = lambda: [F.count(F.lit(1)).alias("n"), *[STATS[s]("_v").alias(s) for s in stats]]
-    return aggregate_members(entries.select(key, link), features, key, link, vec, build, threshold)
+    return cells_of(pool_blocks(entries, features, key, link, stats, vec, threshold=threshold), key, stats)
+
+
+def cells_of(pooled: DataFrame, key: str, arrays: list[str], n: str = "n") -> DataFrame:
+    """(key, dim, n, arrays) from one row per set to one per set and dimension."""
+    first = F.col(arrays[0])
+    size = F.coalesce("size", F.transform(first, lambda x: F.col("n")))
+    dims = F.transform(first, lambda x, i: i)
+    items = F.arrays_zip(dims.alias("dim"), size.alias(n), *arrays)
+    return pooled.select(key, F.inline(items))
 
 
 def pool_vectors(df: DataFrame, keys: list[str], vec: str, dims: int, stats: list[str]) -> DataFrame:
@@ -124,8 +136,8 @@ def neighbourhood(
     if centre not in ("mean", "sum"):
         raise ValueError("centre must be 'mean' or 'sum'")
     stats = [centre, "var", "min", "max"]
-    cells = pool_members(entries, features, key, link, stats, vec)
-    return pack(cells, key, stats, F.max("n").alias("n")).select(key, "n", F.concat(*stats).alias("pooled"))
+    pooled = pool_blocks(entries, features, key, link, stats, vec)
+    return pooled.select(key, "n", F.concat(*stats).alias("pooled"))
 
 
 def neighbourhood_size_scaled(
@@ -137,20 +149,29 @@ def neighbourhood_size_scaled(
     return pooled.select(key, "n", F.concat("pooled", scaled).alias("pooled"))
 
 
-def mean_pool_clamped(
+def mean_vectors_clamped(
     entries: DataFrame, features: DataFrame, key: str, link: str, present: Column, vec: str = "vec"
 ) -> DataFrame:
-    """(key, dim, n, mean): sum over present members / max(present members, 1).
+    """(key, n, mean): sum over present members / max(present members, 1), an array per set.
 
     A set whose members are all absent gives zeros, not NaN.
     """
-    marked = entries.select(key, link, present.alias("_present"))
-    build = lambda: [
-        F.sum(F.col("_present").cast("int")).alias("n"),
-        F.sum(F.when(F.col("_present"), F.col("_v")).otherwise(0.0)).alias("_s"),
-    ]
-    cells = aggregate_members(marked, features, key, link, vec, build)
-    return cells.select(key, "dim", "n", (F.col("_s") / F.greatest("n", F.lit(1))).alias("mean"))
+    marked = entries.select(
+        key, link, F.when(present, 1.0).alias("_w"), F.coalesce(present, F.lit(False)).cast("double").alias("_present")
+    )
+    pooled = pool_blocks(marked, features, key, link, ["sum"], vec, weight="_w", sums=["_present"])
+    n = F.col("sum__present").cast("long")
+    mean = F.transform("sum", lambda s: F.coalesce(s, F.lit(0.0)) / F.greatest("sum__present", F.lit(1.0)))
+    return pooled.select(key, n.alias("n"), mean.alias("mean"))
+
+
+def mean_pool_clamped(
+    entries: DataFrame, features: DataFrame, key: str, link: str, present: Column, vec: str = "vec"
+) -> DataFrame:
+    """(key, dim, n, mean) of ``mean_vectors_clamped``."""
+    return unpack(mean_vectors_clamped(entries, features, key, link, present, vec), [key, "n"], ["mean"]).select(
+        key, "dim", "n", "mean"
+    )
 
 
 def weighted_pool(
@@ -167,27 +188,29 @@ def weighted_pool(
     the most used carrier).  ``carriers`` is in id order; equal counts go to the
     lower id.  Carrier counts ride along as columns of the same aggregation."""
     counts = [f"_c{i}" for i in range(len(carriers))]
-    build = lambda: [
-        F.sum(F.col("_v") * F.col(weight)).alias("_s"),
-        F.avg(weight).alias("_w"),
-        *[F.sum((F.col(carrier) == F.lit(c)).cast("int")).alias(n) for n, c in zip(counts, carriers)],
-    ]
-    cells = aggregate_members(entries.select(key, link, weight, carrier), features, key, link, vec, build)
-    rows = pack(cells, key, ["_s"], F.max("_w").alias("_w"), *[F.max(n).alias(n) for n in counts])
-    tallies = F.array(*[F.col(n) for n in counts])
+    marked = entries.select(
+        key,
+        link,
+        weight,
+        F.col(weight).isNotNull().cast("double").alias("_known"),
+        *[(F.col(carrier) == F.lit(c)).cast("double").alias(n) for n, c in zip(counts, carriers)],
+    )
+    rows = pool_blocks(marked, features, key, link, ["sum"], vec, weight, [weight, "_known", *counts])
+    tallies = F.array(*[F.col(f"sum_{n}") for n in counts])
     rows = rows.withColumn("_top", (F.array_position(tallies, F.array_max(tallies)) - 1).cast("int"))
     one_hot = F.array(*[(F.col("_top") == i).cast("double") for i in range(len(carriers))])
+    mean = F.try_divide(F.col(f"sum_{weight}"), F.col("sum__known"))
     return rows.select(
         key,
         F.get(F.array(*[F.lit(c) for c in carriers]), F.col("_top")).alias("dominant"),
-        F.concat("_s", F.array("_w"), one_hot).alias("pooled"),
+        F.concat("sum", F.array(mean), one_hot).alias("pooled"),
     )
 
 
-def softmax_pool(
+def softmax_vectors(
     entries: DataFrame, features: DataFrame, key: str, link: str, score: str, vec: str = "vec"
 ) -> DataFrame:
-    """(key, dim, pooled): members weighted by softmax of ``score`` inside the set.
+    """(key, pooled): members weighted by softmax of ``score`` inside the set, an array per set.
 
     ``features`` carries the score of each member.  The set's maximum is
     aggregated and joined back; numerator and denominator are plain sums.
@@ -195,8 +218,15 @@ def softmax_pool(
     scored = entries.select(key, link).join(features.select(link, score), link)
     peak = scored.groupBy(key).agg(F.max(score).alias("_peak"))
     weighted = scored.join(peak, key).select(key, link, F.exp(F.col(score) - F.col("_peak")).alias("_w"))
-    build = lambda: [(F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("pooled")]
-    return aggregate_members(weighted, features, key, link, vec, build, sketch=entries.select(key))
+    pooled = pool_blocks(weighted, features, key, link, ["sum"], vec, "_w", ["_w"], sketch=entries.select(key))
+    return pooled.select(key, F.transform("sum", lambda s: s / F.col("sum__w")).alias("pooled"))
+
+
+def softmax_pool(
+    entries: DataFrame, features: DataFrame, key: str, link: str, score: str, vec: str = "vec"
+) -> DataFrame:
+    """(key, dim, pooled) of ``softmax_vectors``."""
+    return unpack(softmax_vectors(entries, features, key, link, score, vec), [key], ["pooled"])
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

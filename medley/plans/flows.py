@@ -128,7 +128,7 @@ def mixture_model(
     regressor per target dim, and score the hybrid: (dim, n, mask_accuracy, mae)."""
     rated = J.present_in(entries, ratings, ["stimulus"])
     pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
-    expected = P.pack(X.expected_ratings(entries, ratings, width), "stimulus", ["expected"])
+    expected = X.expected_vectors(entries, ratings, width).select("stimulus", "expected")
     joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
     columns = {d: f"y{d}" for d in targets}
     rows = ML.assemble(

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from medley.operators import blocks as B
 from medley.operators import pooling as P
 
 
@@ -101,3 +102,81 @@ def test_clamped_mean_of_absent_members_is_zero(small):
 def test_singleton_pool_is_itself(spark, small):
     one = spark.createDataFrame([(7, 14)], "s long, c long")
     assert as_dict(P.pool_members(one, small[1], "s", "c", ["mean", "var"]), "mean", "var") == {7: (9.0, 0.0)}
+
+
+@pytest.fixture(scope="module")
+def ragged(spark):
+    """Sets with empty, short and NULL-holding vectors, NaN and infinite entries, NULL weights and a NULL key."""
+    rows = [(1, 0), (1, 1), (1, 2), (2, 1), (2, 3), (None, 0), (None, 2), (3, 4), (4, 5), (4, 0), (5, 6), (5, 6), (6, 7), (6, 0)]
+    entries = spark.createDataFrame([(*r, float(i % 4) if i % 5 else None) for i, r in enumerate(rows)], "s long, c long, w double")
+    nan, inf = float("nan"), float("inf")
+    vectors = [[1.0, 2.0, 4.0], [0.5], [None, 3.0, None], [-2.0, None], [], [nan, 1.0, inf], [nan], [None, None]]
+    return entries, spark.createDataFrame(list(enumerate(vectors)), "c long, vec array<double>")
+
+
+@pytest.mark.parametrize("threshold", [None, 1])
+def test_ragged_members_follow_sql(ragged, threshold):
+    """One row per cell, as the blocks must not make it, is the plain version."""
+    entries, features = ragged
+    stats = ["sum", "mean", "var", "std", "min", "max"]
+    cells = entries.join(features, "c").select("s", F.posexplode("vec").alias("dim", "v"))
+    want = cells.groupBy("s", "dim").agg(F.count(F.lit(1)).alias("n"), *[P.STATS[x]("v").alias(x) for x in stats])
+    got = P.pool_members(entries, features, "s", "c", stats, threshold=threshold)
+    told = lambda df: sorted(
+        repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.select("s", "dim", "n", *stats).collect()
+    )
+    assert told(got) == told(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("threshold", [None, 1])
+def test_weights_that_are_null(ragged, threshold):
+    entries, features = ragged
+    cells = entries.join(features, "c").select("s", "w", F.posexplode("vec").alias("dim", "v"))
+    want = cells.groupBy("s", "dim").agg(F.sum(F.col("v") * F.col("w")).alias("sum")).collect()
+    pooled = P.pool_blocks(entries, features, "s", "c", ["sum"], weight="w", sums=["w"], threshold=threshold)
+    got = {r.s: r for r in pooled.collect()}
+    assert sorted(repr((r.s, r.dim, r.sum)) for r in want) == sorted(
+        repr((s, d, x)) for s, r in got.items() for d, x in enumerate(r.sum)
+    )
+    sums = entries.groupBy("s").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.s: (r.w, r.n) for r in sums} == {s: (r.sum_w, r.n) for s, r in got.items()}
+
+
+def test_blocks_merge_without_loss():
+    """Any cut of the members into blocks, merged in any order, gives the same statistics."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1.0, (40, 5))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    seen = ~np.isnan(x)
+
+    def block(part, known):
+        held = np.where(known, part, 0.0)
+        count = known.sum(0)
+        m2 = np.where(known, part - held.sum(0) / np.maximum(count, 1), 0.0) ** 2
+        one = lambda a: np.asarray(a)[None]
+        return B.Blocks(
+            np.array([len(part)]), np.zeros((1, 0)), one(count), one(count), one(held.sum(0)), one(m2.sum(0)),
+            one(np.fmin.reduce(part)), one(np.maximum.reduce(np.where(known, part, -np.inf))),
+        )
+
+    whole = block(x, seen)
+    for cuts in ([20], [1, 2, 39], [5, 10, 15, 20, 30]):
+        parts = [block(a, k) for a, k in zip(np.split(x, cuts), np.split(seen, cuts))]
+        rng.shuffle(parts)
+        total = parts[0]
+        for p in parts[1:]:
+            total = total.merged(p)
+        for name in ("n", "seen", "sum", "m2", "low", "high"):
+            np.testing.assert_allclose(getattr(total, name), getattr(whole, name), rtol=1e-9)
+
+
+def test_no_members_and_unknown_statistics(small, spark):
+    nobody = small[0].limit(0)
+    assert P.neighbourhood(nobody, small[1], "s", "c").count() == 0
+    assert P.pool_members(small[0], small[1].limit(0), "s", "c", ["mean"]).count() == 0
+    with pytest.raises(ValueError):
+        P.pool_members(*small, "s", "c", ["median"])
+    with pytest.raises(ValueError):
+        P.pool_blocks(small[0].withColumn("w", F.lit(1.0)), small[1], "s", "c", ["var"], weight="w")
