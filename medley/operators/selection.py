@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medley.functions.mixing import mix
-from medley.functions.numeric import safe_divide
+from medley.functions.numeric import pearson_agg, safe_divide
 
 
 def mutual_information(rows: DataFrame, vec: str, target: str, bins: int = 8) -> DataFrame:
@@ -82,3 +85,130 @@ def _eliminate(
 def union_masks(masks: list[DataFrame]) -> DataFrame:
     """Dims selected for any target."""
     return reduce(DataFrame.unionByName, [m.select("dim") for m in masks]).distinct()
+
+
+@dataclass(frozen=True)
+class Selection:
+    """What ``select_features`` found, as tables.
+
+    ``history(target, cv, dims_left, mae)``: mean over the folds, a row per level;
+    ``choices(target, cv, dims, mae, pearson, chosen)``: the best level of each cv setting with its
+    score on the held part, and whether it is the target's choice; ``masks(target, dim)``: the dims
+    of the choices.
+    """
+
+    history: DataFrame
+    choices: DataFrame
+    masks: DataFrame
+
+    def union(self) -> DataFrame:
+        """(dim, targets): dims that any target keeps, with the number of targets that do."""
+        return self.masks.groupBy("dim").agg(F.count(F.lit(1)).alias("targets"))
+
+
+def select_features(
+    rows: DataFrame,
+    targets: dict[int, str],
+    width: int,
+    cvs: tuple[int, ...] = (3, 5, 10),
+    step: int = 10,
+    keep: int = 1,
+    trees: int = 5,
+    depth: int = 3,
+    share: float = 1.0,
+    parallel: int = 8,
+    seed: int = 42,
+) -> Selection:
+    """Recursive elimination for several targets and cross-validation settings, with a held-out choice.
+
+    ``rows(row_id, features, one column per target)``.  A fifth of the rows, by a hash of the row id, is held out.
+    On the rest every fold of every setting walks its own path: boosted trees on the dims left, mean absolute
+    error on the fold, the ``step`` dims of least importance go (equal ones from the lowest dim on), until
+    ``keep`` are left.  The number of dims with the least mean error wins, the smallest of equal ones, and a path
+    over all training rows gives the dims.  Of the settings, the one whose model has the highest Pearson
+    correlation on the held rows is chosen, the first of equal ones; one without a correlation is worse than any.
+    Rows whose target is NULL take no part in it.
+
+    All paths are independent, so they are run side by side, ``parallel`` at a time, whatever target and setting
+    they belong to.  Importances and scores reach the driver: a number per dim or level of a path.
+    """
+    if min(cvs) < 2 or step < 1 or not 1 <= keep <= width:
+        raise ValueError("at least two folds, a step of one or more, and between one and all dims to keep")
+    spark = rows.sparkSession
+    fold_of = {cv: f"_fold{cv}" for cv in cvs}
+    data = rows.select(
+        "features",
+        *dict.fromkeys(targets.values()),
+        (mix(seed, "row_id") % 5 == 0).alias("_held"),
+        *[(mix(seed + cv, "row_id") % cv).alias(name) for cv, name in fold_of.items()],
+    ).persist()
+
+    def sliced(target: int, dims: list[int]) -> DataFrame:
+        known = data.withColumn("y", F.col(targets[target]).cast("double")).filter("y IS NOT NULL")
+        return VectorSlicer(inputCol="features", outputCol="x", indices=dims).transform(known)
+
+    if trees == 1 and share == 1.0:  # the first boosted tree is a plain one, which takes half the jobs
+        estimator = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=depth, seed=1)
+    else:
+        estimator = GBTRegressor(
+            featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, subsamplingRate=share, seed=1
+        )
+    fit = estimator.fit
+
+    def walk(target: int, cv: int, fold: int | None) -> list[tuple[list[int], float | None]]:
+        """(dims left, error on the fold) of each level of one path."""
+        dims, levels = list(range(width)), []
+        while True:
+            train = sliced(target, dims).filter("NOT _held")
+            inside = train if fold is None else train.filter(F.col(fold_of[cv]) != fold)
+            model = fit(inside)
+            error = None
+            if fold is not None:
+                outside = model.transform(train.filter(F.col(fold_of[cv]) == fold))
+                error = outside.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+            levels.append((dims, error))
+            if len(dims) <= keep:
+                return levels
+            importances = model.featureImportances.toArray()
+            weakest = sorted(range(len(dims)), key=lambda i: (importances[i], i))[: min(step, len(dims) - keep)]
+            dims = [d for i, d in enumerate(dims) if i not in set(weakest)]
+
+    def held_pearson(target: int, dims: list[int]) -> float | None:
+        known = sliced(target, dims)
+        scored = fit(known.filter("NOT _held")).transform(known.filter("_held"))
+        return scored.agg(pearson_agg("y", "prediction")).first()[0]
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            folds = [(t, cv, fold) for t in targets for cv in cvs for fold in range(cv)]
+            whole = [(t, 0, None) for t in targets]  # the path over all training rows is the same for every setting
+            paths = dict(zip([*folds, *whole], pool.map(lambda p: walk(*p), [*folds, *whole])))
+            errors: dict[tuple[int, int], dict[int, list[float]]] = defaultdict(lambda: defaultdict(list))
+            for (target, cv, fold), levels in paths.items():
+                if fold is not None:
+                    for dims, error in levels:
+                        errors[target, cv][len(dims)] += [] if error is None else [error]
+            history = [
+                (target, cv, left, sum(e) / len(e) if e else None) for (target, cv), at in errors.items() for left, e in at.items()
+            ]
+            best = {}
+            for target, cv in errors:
+                scored = [(mae, left) for t, c, left, mae in history if (t, c) == (target, cv) and mae is not None]
+                best[target, cv] = min(scored, default=(None, keep))
+            masks = {
+                (target, cv): next(dims for dims, _ in paths[target, 0, None] if len(dims) == left) for (target, cv), (_, left) in best.items()
+            }
+            models = sorted({(target, tuple(dims)) for (target, _), dims in masks.items()})
+            found = dict(zip(models, pool.map(lambda m: held_pearson(m[0], list(m[1])), models)))
+    finally:
+        data.unpersist()
+    pearson = {(target, cv): found[target, tuple(dims)] for (target, cv), dims in masks.items()}
+    choice = {t: max(cvs, key=lambda cv: -2.0 if pearson[t, cv] is None else pearson[t, cv]) for t in targets}
+    choices = [
+        (t, cv, len(masks[t, cv]), best[t, cv][0], pearson[t, cv], choice[t] == cv) for t in targets for cv in cvs
+    ]
+    return Selection(
+        spark.createDataFrame(history, "target int, cv int, dims_left int, mae double"),
+        spark.createDataFrame(choices, "target int, cv int, dims int, mae double, pearson double, chosen boolean"),
+        spark.createDataFrame([(t, d) for t in targets for d in masks[t, choice[t]]], "target int, dim int"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -458,6 +460,53 @@ def planted_feature(spark, sf):
     return S.apply_mask(V.long_vectors(spark, sf), mask).withColumn("v", R6("v"))
 
 
+# four targets, each the weighted sum of two planted flags of its own; two flags serve two targets
+_PLANTED = {0: (5, 12), 1: (12, 20), 2: (33, 47), 3: (50, 5)}
+_PLANTED_SQL = "SELECT unnest([{}]) AS target, unnest([{}]) AS dim".format(
+    ", ".join(str(t) for t, dims in _PLANTED.items() for _ in dims), ", ".join(str(d) for dims in _PLANTED.values() for d in dims)
+)
+
+
+@functools.lru_cache(maxsize=1)
+def _planted_selection(spark, sf):
+    flags = F.transform("vec", lambda x: (x > 0).cast("double"))
+    rows = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), flags.alias("x"))
+    planted = [(4 * F.col("x")[a] + 2 * F.col("x")[b]).alias(f"y{t}") for t, (a, b) in _PLANTED.items()]
+    rows = ML.assemble(rows.select("*", *planted), "x").drop("x")
+    return SEL.select_features(
+        rows, {t: f"y{t}" for t in _PLANTED}, V.DIMS, cvs=(3, 5, 10), step=10, keep=2, trees=1, depth=2
+    )
+
+
+@query(
+    "M9_union_of_masks",
+    V.with_views(
+        "el",
+        """SELECT vec_id, dim, targets, round(v, 6) AS v FROM el JOIN
+        (SELECT dim, count(*) AS targets FROM p GROUP BY dim) USING (dim)""",
+        p=_PLANTED_SQL,
+    ),
+)
+def union_of_masks(spark, sf):
+    union = _planted_selection(spark, sf).union()
+    return V.long_vectors(spark, sf).join(F.broadcast(union), "dim").select("vec_id", "dim", "targets", R6("v").alias("v"))
+
+
+@query(
+    "M9_scores_by_setting",
+    V.with_views(
+        "el",
+        """SELECT target, unnest([3, 5, 10]) AS cv, CAST(2 AS INTEGER) AS dims, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS pearson, rows
+        FROM (SELECT DISTINCT target FROM p), (SELECT count(*) AS rows FROM embeddings)""",
+        p=_PLANTED_SQL,
+    ),
+)
+def scores_by_setting(spark, sf):
+    choices = _planted_selection(spark, sf).choices
+    size = V.vector_count(spark, sf).alias("rows")
+    return choices.select("target", "cv", "dims", R6("mae").alias("mae"), R6("pearson").alias("pearson"), size)
+
+
 @query(
     "M11_regression_lines",
     V.with_views(

@@ -178,3 +178,36 @@ def test_elimination_keeps_the_informative_dim(learning):
     flagged = learning.withColumn("on", (F.col("y") > 0).cast("int"))
     ranked = SEL.mutual_information(flagged, "vec", "on").orderBy(F.desc("mi")).first()
     assert ranked["dim"] == 2
+
+
+def test_selection_over_targets_and_settings(learning):
+    rows = learning.select(
+        "row_id",
+        "features",
+        (F.col("vec")[2] > 0).cast("double").alias("a"),
+        ((F.col("vec")[1] > 0).cast("double") * 3 + (F.col("vec")[4] > 0).cast("double")).alias("b"),
+        F.when(F.col("row_id") % 3 > 0, (F.col("vec")[2] > 0.5).cast("double")).alias("c"),
+        F.lit(1.0).alias("d"),
+    )
+    targets = {0: "a", 1: "b", 2: "c", 3: "d"}
+    found = SEL.select_features(rows, targets, 6, cvs=(2, 4), step=2, keep=2, trees=2, depth=2)
+    masks = {(r.target, r.dim) for r in found.masks.collect()}
+    assert {(0, 2), (1, 1), (1, 4), (2, 2)} <= masks and {t for t, _ in masks} == set(targets)
+    history = found.history.collect()
+    assert sorted((r.target, r.cv, r.dims_left) for r in history) == [(t, cv, n) for t in targets for cv in (2, 4) for n in (2, 4, 6)]
+    choices = found.choices.collect()
+    for t in targets:
+        own = [c for c in choices if c.target == t]
+        chosen = [c for c in own if c.chosen]
+        assert [c.cv for c in own] == [2, 4] and len(chosen) == 1
+        # the chosen setting correlates best on the held rows, the first of equal ones; none without a correlation beats it
+        assert chosen[0] is max(own, key=lambda c: -2.0 if c.pearson is None else c.pearson)
+        assert sum((t, d) in masks for d in range(6)) == chosen[0].dims
+        for c in own:
+            at = {r.dims_left: r.mae for r in history if (r.target, r.cv) == (t, c.cv)}
+            assert c.mae == min(at.values()) and c.dims == min(n for n, mae in at.items() if mae == c.mae)
+    assert {c.pearson for c in choices if c.target == 3} == {None}
+    union = {r.dim: r.targets for r in found.union().collect()}
+    assert union == {d: sum((t, d) in masks for t in targets) for d in {d for _, d in masks}}
+    with pytest.raises(ValueError):
+        SEL.select_features(rows, targets, 6, cvs=(1,))
