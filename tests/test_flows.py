@@ -211,3 +211,58 @@ def test_selection_over_targets_and_settings(learning):
     assert union == {d: sum((t, d) in masks for t in targets) for d in {d for _, d in masks}}
     with pytest.raises(ValueError):
         SEL.select_features(rows, targets, 6, cvs=(1,))
+
+
+def test_state_does_not_grow_with_batches(spark):
+    """What is kept for a stream is a row per key after any number of batches, across restarts."""
+    source, work = scratch_path(spark, "grow"), scratch_path(spark, "work")
+    rows = spark.range(1200).select((F.col("id") % 4).alias("run"), F.col("id").alias("step"), F.sin("id").alias("value"))
+    for part in range(6):
+        rows.filter(f"step div 200 = {part}").repartition(3).write.mode("append").parquet(source)
+        stream = lambda: ST.file_stream(spark, source, rows.schema, files=3)  # noqa: B023, E731
+        means = ST.running_means(stream(), "run", "value", f"{work}/a")
+        stops = ST.early_stop_stream(stream(), "run", ["step"], "value", f"{work}/b", 90, min_delta=0.001)
+        for place in "ab":
+            assert spark.read.format("statestore").load(f"{work}/{place}/checkpoint").count() == 4
+    want = {r.run: (r.n, r.m) for r in rows.groupBy("run").agg(F.count("value").alias("n"), F.avg("value").alias("m")).collect()}
+    assert {r.run: (r.n, pytest.approx(r["mean"])) for r in means.collect()} == want
+    batch = early_stop(rows, "run", ["step"], "value", 90, min_delta=0.001).collect()
+    assert sorted(map(tuple, stops.collect())) == sorted(map(tuple, batch))
+
+
+@pytest.mark.parametrize("min_delta", [None, 2.0])
+@pytest.mark.parametrize("mode", ["maximize", "minimize"])
+def test_early_stop_stream_with_gaps(spark, mode, min_delta):
+    """NULL and NaN steps, a run that never improves, one that stops, one that starts late."""
+    nan = math.nan
+    runs = {1: [None, nan, 3.0, 2.0, 4.0, 4.5, nan, 9.0, 1.0, 1.0, 1.0, 1.0, 99.0], 2: [nan] * 9, 3: [5.0, 5.0, 6.0, 7.5, None, 3.0], 4: [1.0]}
+    schema = "run string, step int, value double"
+    rows = spark.createDataFrame([(f"r{k}", i, v) for k, vs in runs.items() for i, v in enumerate(vs)], schema)
+    source, work = scratch_path(spark, "gaps"), scratch_path(spark, "work")
+    for low, high in ((0, 2), (2, 5), (5, 6), (6, 20)):
+        rows.filter((F.col("step") >= low) & (F.col("step") < high)).repartition(2).write.mode("append").parquet(source)
+        stream = ST.file_stream(spark, source, rows.schema, files=100)
+        found = ST.early_stop_stream(stream, "run", ["step"], "value", work, 4, mode, min_delta)
+    batch = early_stop(rows, "run", ["step"], "value", 4, mode, min_delta)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
+
+
+def test_a_new_epoch_drops_the_old_state(spark):
+    source, work = scratch_path(spark, "epochs"), scratch_path(spark, "work")
+    cells = spark.range(400).select(
+        (F.col("id") / 100).cast("long").alias("epoch"), (F.col("id") % 3).cast("int").alias("dim"), F.sin("id").alias("y"), F.cos("id").alias("y_hat")
+    )
+    last = None
+    for epoch in range(4):
+        cells.filter(F.col("epoch") == epoch).repartition(2).write.mode("append").parquet(source)
+        stream = ST.file_stream(spark, source, cells.schema, files=2)
+        last = ST.metric_sums(stream, ["epoch", "dim"], work, epoch="epoch")
+        assert {(r.epoch, r.dim) for r in last.collect()} == {(epoch, d) for d in range(3)}
+    late = cells.filter("epoch = 1")
+    late.write.mode("append").parquet(source)
+    last = ST.metric_sums(ST.file_stream(spark, source, cells.schema, files=2), ["epoch", "dim"], work, epoch="epoch")
+    scores = {(r.epoch, r.dim): (r.n, r.pearson) for r in ST.metrics_from_sums(last, ["epoch", "dim"]).collect()}
+    want = cells.filter("epoch = 3").groupBy("epoch", "dim").agg(F.count("y").alias("n"), F.corr("y", "y_hat").alias("r")).collect()
+    assert scores == {(r.epoch, r.dim): (r.n, pytest.approx(r.r)) for r in want}
+    with pytest.raises(ValueError):
+        ST.metric_sums(ST.file_stream(spark, source, cells.schema), ["dim"], work, epoch="epoch")
