@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,19 +88,39 @@ def early_stop(
 def _gains(rows: DataFrame, run: str, min_delta: float) -> DataFrame:
     """(run, _step, _gain) of the steps that beat the last improvement by ``min_delta``.
 
-    Each of them is a record, above all values before it, so only the records of a run
-    are walked through; they are one row's list, while the run itself stays cut into slices.
+    Each of them is a record, above all values before it, so only the records of a run are walked
+    through, in order, while the run itself stays cut into slices.  The walk goes from gain to gain by
+    binary search, since records rise, and holds one number of a run besides the rows that are passing:
+    what one gain leads to depends on its exact value, so no summary of a slice is shorter than its records.
     """
     records = rows.filter(F.col("_v").isNotNull() & (F.col("_top").isNull() | (F.col("_v") > F.col("_top"))))
-    walked = records.groupBy(run).agg(
-        F.sort_array(F.collect_list(F.struct("_step", "_v"))).alias("_records"), F.first("_best0").alias("_best")
-    )
-    steps = F.aggregate(
-        "_records",
-        F.struct(F.col("_best").alias("best"), F.expr("cast(array() as array<bigint>)").alias("steps")),
-        lambda state, r: F.when(
-            state["best"].isNull() | (r["_v"] - min_delta >= state["best"]),
-            F.struct(r["_v"].alias("best"), F.concat(state["steps"], F.array(r["_step"])).alias("steps")),
-        ).otherwise(state),
-    )["steps"]
-    return walked.select(run, F.explode(steps).alias("_step")).withColumn("_gain", F.col("_step"))
+    kind = rows.schema[run].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run, best, started = None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = pc.fill_null(batch.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(np.diff(codes)) + 1)
+            reach = batch.column(2).to_numpy(zero_copy_only=False) - min_delta
+            gained = []
+            for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+                if not started or batch.column(0)[int(start)].as_py() != open_run:
+                    open_run, started = batch.column(0)[int(start)].as_py(), True
+                    best = batch.column(3)[int(start)].as_py()
+                at = int(start)
+                while at < end:
+                    if best is not None:
+                        at += int(np.searchsorted(reach[at:end], best))
+                        if at == end:
+                            break
+                    gained.append(at)
+                    best = batch.column(2)[at].as_py()
+                    at += 1
+            if gained:
+                own = batch.take(pa.array(gained))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(1)], [run, "_step", "_gain"])
+
+    ordered = records.select(run, "_step", "_v", "_best0").repartition(run).sortWithinPartitions(run, "_step")
+    return ordered.mapInArrow(walk, f"`{run}` {kind}, _step long, _gain long")

@@ -265,3 +265,29 @@ def test_every_csv_variant_opens(spark, tmp_path):
         assert {r.stimulus: r[1] for r in ds.labels.collect()} == {"S1": [0.5, 0.0, 1.0], "S2": None}
         assert C.describe_dataset(ds).first().n_entries == 2
         assert {r.cid: r.smiles for r in ds.compounds.collect()} == {7: "CC", -1: None}
+
+
+@pytest.mark.parametrize("run_type", ["long", "string"])
+def test_rising_runs_are_walked_in_bounded_memory(spark, run_type):
+    """Every step is a record; Arrow batches end inside runs; one run comes with an earlier state."""
+    rng = random.Random(31)
+    runs = {}
+    for run in range(5):
+        value, values = 0.0, []
+        for _ in range(4000 if run else 12_000):
+            value += rng.choice([0.001, 0.01, 0.3])
+            values.append(value)
+        runs[run] = values
+    rows = spark.createDataFrame([(r, i, v) for r, vs in runs.items() for i, v in enumerate(vs)], "run long, step long, value double")
+    rows = rows.withColumn("run", F.col("run").cast(run_type)).repartition(5)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        whole = {int(r.run): tuple(r)[1:] for r in early_stop(rows, "run", ["step"], "value", 90, "maximize", 1.0).collect()}
+        head = early_stop(rows.filter("step < 1500"), "run", ["step"], "value", 90, "maximize", 1.0)
+        tail = early_stop(rows.filter("step >= 1500"), "run", ["step"], "value", 90, "maximize", 1.0, head)
+        assert {int(r.run): tuple(r)[1:] for r in tail.collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    for run, values in runs.items():
+        assert whole[run] == plain_early_stop(values, 90, "maximize", 1.0)
