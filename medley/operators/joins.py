@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medley.functions.lists import split_list
@@ -77,9 +77,12 @@ def disagreements(a: DataFrame, b: DataFrame, on: list[str], left: str, right: s
 def side_by_side(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Two long feature blocks (key, dim, v) of the same rows as one block.
 
-    The second block's dims follow the first's; keys must occur in both.
+    The second block's dims follow the first's; keys must occur in both.  The blocks are put
+    together by key in one shuffle.
     """
     width = first.agg(F.max("dim") + 1).scalar()
-    a = first.join(second.select(key).distinct(), key, "left_semi")
-    b = second.join(first.select(key).distinct(), key, "left_semi")
-    return a.unionByName(b.withColumn("_w", width).withColumn("dim", (F.col("dim") + F.col("_w")).cast("int")).drop("_w"))
+    both = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1)))
+    of_row = Window.partitionBy(key)  # the cells of one row
+    met = both.withColumns({"_first": F.min("_side").over(of_row), "_last": F.max("_side").over(of_row), "_w": width})
+    dim = (F.col("dim") + F.when(F.col("_side") == 1, F.col("_w")).otherwise(0)).cast("int")
+    return met.filter("_first < _last").withColumn("dim", dim).drop("_side", "_first", "_last", "_w")

@@ -6,11 +6,17 @@ over distinct values, never pairs of rows.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medley.functions import losses as L
-from medley.functions.mixing import mix
+from medley.functions.mixing import DIGITS, mix
 from medley.functions.numeric import cosine_agg, pearson_agg, safe_divide
 from medley.operators.ordered import Ordered, Running, row_numbers, value_ranks
 from medley.operators.pooling import dot, pack
@@ -181,6 +187,8 @@ def by_part(pred: DataFrame) -> DataFrame:
 # --- bootstrap ---------------------------------------------------------------
 
 _SUMS = ["n", "se", "ae", "sy", "sp", "syy", "spp", "syp"]
+SMALL = 100_000  # rows whose sums may go to every task
+BLOCK = 1_000  # rows whose weights for all replicates are held at once
 
 
 def row_sums(pred: DataFrame) -> DataFrame:
@@ -220,25 +228,21 @@ def bootstrap(
 
     'poisson' gives every row an independent Poisson(1) weight per replicate: no
     join, and the shuffle carries one partial row per task and replicate.
-    'resample' draws n rows with replacement per replicate, an index per row and
-    replicate, equi-joined to the rows' sums; for small n.
+    'resample' draws n rows with replacement per replicate.  Up to ``SMALL`` rows, their
+    sums (8 numbers each) go to every task, which adds up the rows it draws; beyond, each
+    draw is an index per row and replicate, equi-joined to the rows' sums.
+
+    Replicates are never rows: a task keeps one vector of sums per replicate and adds
+    blocks of rows to all of them by a matrix product.
     """
     sums = row_sums(pred)
-    replicates = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     if method == "resample":
-        numbered = row_numbers(sums, [], ["row_id"])
-        total = sums.select(F.count(F.lit(1))).scalar()
-        draws = numbered.select("rn", replicates.alias("b")).select(
-            "b", (mix(F.col("b") + seed, F.col("rn")) % total + 1).alias("rn")
-        )
-        drawn = draws.join(numbered.drop("row_id"), "rn")
-        weight = F.lit(1.0)
+        few = sums.select("row_id", *_SUMS).orderBy("row_id").limit(SMALL + 1).toPandas()
+        totals = _resampled(sums, few, resamples, seed) if len(few) <= SMALL else _joined_draws(sums, resamples, seed)
     elif method == "poisson":
-        drawn = sums.select("row_id", *_SUMS, replicates.alias("b"))
-        weight = poisson_weight(mix(F.col("b") + seed, F.col("row_id")))
+        totals = _weighted(sums, resamples, seed)
     else:
         raise ValueError("method must be 'resample' or 'poisson'")
-    totals = drawn.groupBy("b").agg(*[F.sum(weight * F.col(s)).alias(s) for s in _SUMS])
     values = totals.filter(F.col("n") > 0).select(metric_from_sums(metric).alias("value"))
     # `resamples` values in all, so the built-in exact percentile is bounded
     return values.agg(
@@ -248,6 +252,81 @@ def bootstrap(
     )
 
 
+def _hashes(names: list[str], seeds: range) -> np.ndarray:
+    """``mix(seed, name)`` for all names and seeds, a row per name."""
+    first = [hashlib.md5(f"{s}:".encode()) for s in seeds]
+
+    def digest(start, name: bytes) -> bytes:
+        whole = start.copy()
+        whole.update(name)
+        return whole.digest()[:8]
+
+    made = b"".join([digest(start, name) for name in (n.encode() for n in names) for start in first])
+    return (np.frombuffer(made, ">u8").reshape(len(names), len(first)) >> np.uint64(64 - 4 * DIGITS)).astype(np.int64)
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("b").agg(*[F.sum(s).alias(s) for s in _SUMS])
+
+
+_PARTS = "b int, " + ", ".join(f"{s} double" for s in _SUMS)
+
+
+def _in_tasks(rows: DataFrame, resamples: int, add: Callable) -> DataFrame:
+    """(b, sums) added up over tasks; ``add(totals, batch)`` adds a batch of rows to a task's totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((resamples, len(_SUMS)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                add(totals, batch.slice(start, BLOCK))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(resamples, dtype=np.int32)), *[pa.array(totals[:, i]) for i in range(len(_SUMS))]], ["b", *_SUMS]
+        )
+
+    return _totals(rows.mapInArrow(run, _PARTS))
+
+
+def _weighted(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    cuts = np.array(poisson_cuts())
+    seeds = range(seed, seed + resamples)
+
+    def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+        weights = np.searchsorted(cuts, _hashes(batch.column(0).to_pylist(), seeds), side="right")
+        values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+        totals += weights.T.astype(float) @ values
+
+    named = sums.filter(F.col("row_id").isNotNull()).select(F.col("row_id").cast("string"), *_filled())
+    return _in_tasks(named, resamples, add)
+
+
+def _filled() -> list[Column]:
+    return [F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in _SUMS]
+
+
+def _resampled(sums: DataFrame, few: pd.DataFrame, resamples: int, seed: int) -> DataFrame:
+    """All draws of a few rows: each task takes a part of the row numbers."""
+    values = few[_SUMS].fillna(0.0).to_numpy(dtype=float)
+    seeds = range(seed, seed + resamples)
+
+    def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
+        picks = _hashes(batch.column(0).to_pylist(), seeds) % len(values)
+        for b in range(resamples):
+            totals[b] += values[picks[:, b]].sum(axis=0)
+
+    numbers = sums.sparkSession.range(1, len(values) + 1).select(F.col("id").cast("string").alias("rn"))
+    return _in_tasks(numbers, resamples, add)
+
+
+def _joined_draws(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    numbered = row_numbers(sums, [], ["row_id"])
+    total = sums.select(F.count(F.lit(1))).scalar()
+    draws = numbered.select("rn", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(
+        "b", (mix(F.col("b") + seed, F.col("rn")) % total + 1).alias("rn")
+    )
+    return _totals(draws.join(numbered.drop("row_id"), "rn"))
+
+
 def poisson_cuts() -> list[int]:
     """Integer thresholds of the Poisson(1) distribution on the hash range."""
     from math import exp, factorial
@@ -259,10 +338,3 @@ def poisson_cuts() -> list[int]:
         acc += exp(-1) / factorial(k)
         cuts.append(int(acc * RANGE))
     return cuts
-
-
-def poisson_weight(hashed: Column) -> Column:
-    weight = F.lit(0.0)
-    for cut in poisson_cuts():
-        weight = weight + (hashed >= cut).cast("double")
-    return weight

@@ -32,14 +32,21 @@ def linear(rows: DataFrame, key: str, vec: str, parameters: DataFrame) -> DataFr
 
 
 def film(rows: DataFrame, key: str, vec: str, condition: str, gamma: DataFrame, beta: DataFrame, act: str) -> DataFrame:
-    """(key, out, score): act(gamma(c)) * x + act(beta(c)); ``out`` is the dim of x."""
-    scale = linear(rows, key, condition, gamma).withColumnRenamed("score", "_g")
-    shift = linear(rows, key, condition, beta).withColumnRenamed("score", "_b")
-    x = rows.select(key, F.posexplode(vec).alias("out", "_x"))
-    joined = x.join(scale, [key, "out"]).join(shift, [key, "out"])
-    return joined.select(
-        key, "out", (activation(act, F.col("_g")) * F.col("_x") + activation(act, F.col("_b"))).alias("score")
+    """(key, out, score): act(gamma(c)) * x + act(beta(c)); ``out`` is the dim of x.
+
+    Both layers ride along as one scalar subquery, so a row conditions itself in place.
+    """
+    layers = gamma.select("out", F.col("w").alias("gw"), F.col("bias").alias("gb")).join(
+        beta.select("out", F.col("w").alias("bw"), F.col("bias").alias("bb")), "out"
+    )
+    packed = layers.agg(F.sort_array(F.collect_list(F.struct("out", "gw", "gb", "bw", "bb"))).alias("model"))
+    each = rows.select(key, vec, condition).withColumn("_model", packed.scalar())
+    each = each.select(key, vec, condition, F.explode("_model").alias("_m")).filter(
+        (F.col("_m.out") >= 0) & (F.col("_m.out") < F.size(vec))
     )
+    scale = activation(act, dot(F.col(condition), F.col("_m.gw")) + F.col("_m.gb"))
+    shift = activation(act, dot(F.col(condition), F.col("_m.bw")) + F.col("_m.bb"))
+    return each.select(key, F.col("_m.out").alias("out"), (scale * F.get(F.col(vec), F.col("_m.out")) + shift).alias("score"))
 
 
 def gated(gate: Column, value: Column) -> Column:
@@ -74,14 +81,16 @@ def split_parts(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.filter("dim < 2"), cells.filter("dim >= 2")
 
 
-def directed_edges(bonds: DataFrame, graph: str, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Both directions of every undirected bond, ordered by (graph, src, dst).
+def directed_edges(bonds: DataFrame, graph: str, src: str = "src", dst: str = "dst", ordered: bool = True) -> DataFrame:
+    """Both directions of every undirected bond; ``ordered``: each graph together, by (src, dst).
 
-    One explode instead of a union, so the bonds are read once.
+    One explode instead of a union, so the bonds are read once.  Graphs are placed by
+    hash and sorted where they lie: no order between graphs, and no range sort.
     """
     rest = [c for c in bonds.columns if c not in (src, dst)]
     ends = F.explode(
         F.array(F.struct(F.col(src).alias("s"), F.col(dst).alias("d")), F.struct(F.col(dst).alias("s"), F.col(src).alias("d")))
     )
     both = bonds.select(*rest, ends.alias("_e"))
-    return both.select(*rest, F.col("_e.s").alias(src), F.col("_e.d").alias(dst)).orderBy(graph, src, dst)
+    edges = both.select(*rest, F.col("_e.s").alias(src), F.col("_e.d").alias(dst))
+    return edges.repartition(graph).sortWithinPartitions(graph, src, dst) if ordered else edges

@@ -199,7 +199,7 @@ def directed_edges(spark, sf):
     bonds = V.mixture_component(spark, sf).filter("cid <> component").groupBy(
         F.col("stimulus").alias("graph_id"), F.col("cid").alias("src"), F.col("component").alias("dst")
     ).agg(F.count(F.lit(1)).alias("n"))
-    edges = S.directed_edges(bonds, "graph_id")
+    edges = S.directed_edges(bonds, "graph_id", ordered=False)
     return edges.groupBy("graph_id", "src", "dst").agg(F.sum("n").alias("n"))
 
 
