@@ -18,9 +18,11 @@ from medley.operators import selection as SEL
 from medley.operators import splits as SP
 from medley.operators import tidy as T
 from medley.plans import flows as PL
+from medley.plans import panel as PN
 from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import EARLY_STOP_SQL, definition_text
+from medley.schemas import RATINGS, SUBMISSION
 from medley.session import scratch_path
 from medley.sources import catalog as C
 from medley.sources import tables as S
@@ -725,6 +727,121 @@ def _tidy_inputs(spark, sf):
     return PL.tidy_inputs(singles, definition_text(spark, sf), components, known, compounds, [3, 20000005])
 
 
+# --- the panel study ---------------------------------------------------------
+
+_PANEL_OVERALL, _PANEL_RATINGS = ["error", "signup"], ["click", "purchase", "view"]
+_PANEL_STEPS = ["structure known", "no unwanted element", "no charge", "one molecule", "molecular weight", "has carbon"]
+
+
+def _panel(spark, sf) -> PN.Panel:
+    """Events as panel ratings: users are stimuli at two dilutions, parts their compounds, three subjects."""
+    events = V.table(spark, sf, "events")
+    odd = F.col("event_id") % 2 == 1
+    raw = events.select(
+        F.col("user_id").alias("Stimulus"),
+        F.when(F.col("event_id") % 3 == 0, 0.001).otherwise(0.1).alias("Dilution"),
+        F.col("event_type").alias("Descriptor"),
+        F.col("value").alias("1"),
+        F.when(odd, F.col("value") * 2).alias("2"),
+        F.when(odd & (F.col("event_id") % 5 == 0), F.lit(50.0)).alias("3"),
+        "event_id",
+    )
+    parts = V.table(spark, sf, "part").filter("p_partkey % 7 > 0").select(
+        F.col("p_partkey").alias("CID"),
+        F.concat_ws(" ", "p_name", "p_type").alias("IsomericSMILES"),
+        F.col("p_brand").alias("IUPACName"),
+        (F.col("p_size") * 15).cast("string").alias("name"),
+    )
+    raw = raw.join(parts, raw["Stimulus"] == parts["CID"], "left")
+    rules = PN.cleaning_rules(banned=[*PL.UNWANTED_ELEMENTS, "hot"], weight=F.col("name").cast("double"))
+    return PN.panel_data(raw, ["event_id"], _PANEL_RATINGS, _PANEL_OVERALL, rules)
+
+
+_PANEL_PIVOT = ", ".join(
+    f"arg_min(mean, event_id) FILTER (WHERE event_type = '{d}') AS {d}" for d in _PANEL_OVERALL + _PANEL_RATINGS
+)
+_PANEL_VIEWS = dict(
+    m="""SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 0.001::DOUBLE ELSE 0.1::DOUBLE END AS dilution, event_type, event_id,
+     CASE WHEN event_id % 10 = 5 THEN (value + value * 2 + 50) / 3 WHEN event_id % 2 = 1 THEN (value + value * 2) / 2 ELSE value END / 100 AS mean FROM events""",
+    w=f"SELECT user_id, dilution, {_PANEL_PIVOT} FROM m GROUP BY user_id, dilution",
+    d="""SELECT w.*, p_partkey AS cid, p_name || ' ' || p_type AS structure, p_size * 15 AS weight FROM w
+     LEFT JOIN part ON p_partkey = user_id AND p_partkey % 7 > 0""",
+    f="""SELECT *, CASE WHEN structure IS NULL THEN 1 WHEN regexp_matches(structure, '(^|[^A-Za-z])hot([^A-Za-z]|$)') THEN 2
+     WHEN structure LIKE '%.%' THEN 4 WHEN weight NOT BETWEEN 20 AND 600 THEN 5 WHEN NOT regexp_matches(structure, '[Cc]') THEN 6 ELSE 7 END AS fails FROM d""",
+    k="""SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY dilution) = 1 THEN 'A' ELSE 'B' END || CAST(user_id AS VARCHAR) AS stimulus,
+     dense_rank() OVER (ORDER BY user_id) - 1 AS cmp FROM f WHERE fails = 7""",
+)
+
+
+@query(
+    "E1_panel_labels",
+    V.with_views(
+        "mc",
+        """SELECT stimulus, CAST(1 AS INTEGER) AS panel, round(error, 6) AS error, round(signup, 6) AS signup, round(click, 6) AS click,
+        round(coalesce(error, 0) + 2 * coalesce(signup, 0) + 3 * coalesce(click, 0) + 4 * coalesce(purchase, 0) + 5 * coalesce(view, 0), 6) AS digest FROM k""",
+        **_PANEL_VIEWS,
+    ),
+)
+def panel_labels(spark, sf):
+    labels = _panel(spark, sf).labels
+    whole = F.transform("ratings_intensity_pleasantness", lambda x: F.coalesce(x, F.lit(0.0)))
+    cells = [R6(c).alias(c) for c in ("error", "signup", "click")]
+    return labels.select("stimulus", "panel", *cells, R6(P.vector_digest(whole)).alias("digest"))
+
+
+@query(
+    "E1_panel_inputs",
+    V.with_views(
+        "mc",
+        """SELECT k.stimulus, k.cid, k.dilution, CAST(k.cmp AS BIGINT) AS cmp, CAST(2 AS INTEGER) AS info, k.structure AS smiles FROM k""",
+        **_PANEL_VIEWS,
+    ),
+)
+def panel_inputs(spark, sf):
+    panel = _panel(spark, sf)
+    rows = panel.inputs.select(
+        "stimulus",
+        F.col("CID")[0].alias("cid"),
+        F.col("dilution")[0].alias("dilution"),
+        F.col("cmp_ids")[0].alias("cmp"),
+        F.size("dilution_info").alias("info"),
+    )
+    return rows.join(panel.compounds.withColumnsRenamed({"CID": "cid", "SMILES": "smiles"}), "cid")
+
+
+@query(
+    "E1_panel_report",
+    V.with_views(
+        "mc",
+        f"""SELECT CAST(i AS INTEGER) AS step, rule, (SELECT count(*) FROM f WHERE fails >= i) AS before,
+        (SELECT count(*) FROM f WHERE fails = i) AS removed, (SELECT count(*) FROM f WHERE fails > i) AS after
+        FROM (SELECT unnest(range(1, 7)) AS i, unnest({_PANEL_STEPS}) AS rule)""",
+        **_PANEL_VIEWS,
+    ),
+)
+def panel_report(spark, sf):
+    return _panel(spark, sf).report
+
+
+# --- submissions -------------------------------------------------------------
+
+
+@query(
+    "S8_submission_table",
+    "SELECT 'S' || CAST(vec_id AS VARCHAR) AS stimulus, "
+    + ", ".join(f'round(greatest(CAST(embedding[{i + 1}] AS DOUBLE), 0), 6) AS "{name}"' for i, name in enumerate(RATINGS))
+    + " FROM embeddings",
+)
+def submission_table(spark, sf):
+    key = F.concat(F.lit("S"), F.col("vec_id").cast("string")).alias("stimulus")
+    cells = V.long_vectors(spark, sf).filter(F.col("dim") < len(RATINGS))
+    scored = cells.select(key, "dim", R6(F.greatest("v", F.lit(0.0))).alias("y_hat"))
+    form = V.vectors(spark, sf).select(key)
+    path = scratch_path(spark, "submission")
+    S.write_submission(scored, form, path)
+    return S.read_table(spark, path, SUBMISSION)
+
+
 @query(
     "E2_fold_scores",
     V.with_views(

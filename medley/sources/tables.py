@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
+from medley.schemas import SUBMISSION
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Headered CSV with an explicit schema; quoted headers and a BOM are accepted.
@@ -23,7 +25,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     wanted = {f.name: f for f in schema}
     found = StructType([wanted.get(c, StructField(f"_unused{i}", StringType())) for i, c in enumerate(header)])
     rows = spark.read.schema(found).csv(path, header=True, enforceSchema=True, mode="FAILFAST")
-    return rows.select([f.name for f in schema])
+    return rows.select([f"`{f.name}`" for f in schema])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +51,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     writer.save(path)
 
 
+def write_submission(pred: DataFrame, form: DataFrame, path: str) -> None:
+    """(stimulus, dim, y_hat) as the wide CSV of the submission form: ``stimulus`` and the rating columns in order.
+
+    ``form(stimulus)`` lists the stimuli asked for.  Each of them must have a prediction for every rating;
+    predictions of other stimuli are left out.  The columns are pivoted by an aggregate, one shuffle.
+    """
+    names = SUBMISSION.fieldNames()[1:]
+    columns = [F.max(F.when(F.col("dim") == d, F.col("y_hat"))).alias(name) for d, name in enumerate(names)]
+    asked = form.select("stimulus").distinct()
+    wide = asked.join(pred.groupBy("stimulus").agg(*columns), "stimulus", "left")
+    whole = F.lit(True)
+    for name in names:
+        whole = whole & F.col(f"`{name}`").isNotNull()
+    missing = wide.filter(~whole).select("stimulus").limit(3).collect()
+    if missing:
+        raise ValueError(f"no prediction for every rating of {[r.stimulus for r in missing]}")
+    write_table(wide.select("stimulus", *[f"`{n}`" for n in names]), path, "csv")
+
+
 def open_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored Parquet table, or None when nothing is there."""
     try:
