@@ -12,11 +12,14 @@ from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medley.functions.mixing import mix
+from medley.functions.numeric import cosine_agg, pearson_agg
+from medley.operators.metrics import r2_agg
 from medley.operators.scoring import gated
+from medley.session import cut
 
 MAX_DEPTH = 30  # Spark's limit
 PARALLEL = 4  # models fitted at a time, so that small jobs share the cluster
@@ -33,9 +36,9 @@ def _checked(depth: int) -> int:
     return depth
 
 
-def _for_each(targets: list, fit: Callable) -> dict:
+def _for_each(targets: list, fit: Callable, parallel: int = PARALLEL) -> dict:
     """target -> fit(target), a few at a time; what has no model is left out."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
+    with ThreadPoolExecutor(parallel) as pool:
         return {t: model for t, model in zip(targets, pool.map(fit, targets)) if model is not None}
 
 
@@ -136,6 +139,51 @@ def sweep(
     return train.sparkSession.createDataFrame(rows, "depth int, rate double, rmse double")
 
 
+def grid_scores(
+    rows: DataFrame, key: str, targets: dict[int, str], held: Column, grid: dict[str, list], trees: int = 5, depth: int = 3, parallel: int = PARALLEL
+) -> DataFrame:
+    """One row per combination of ``grid`` with its scores on the held rows: (parameters, n, mae, rmse, r2, cosine,
+    row_pearson, column_pearson).
+
+    ``rows(key, features, one column per target)``; a regressor per target and combination is fitted on the rows
+    that are not ``held``.  ``grid`` maps names among trees, depth, rate and share to the values to try.  Means over
+    rows or targets leave undefined scores out.  All fits are independent and run a few at a time; a combination's
+    scores are one row, and no prediction reaches the driver.
+    """
+    if unknown := set(grid) - {"trees", "depth", "rate", "share"}:
+        raise ValueError(f"unknown parameters {sorted(unknown)}")
+    spark = rows.sparkSession
+    parted = cut(rows.withColumn("_held", F.coalesce(held, F.lit(False))))
+    train, valid = parted.filter("NOT _held"), parted.filter("_held")
+    cell = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).cast("double").alias("y")) for d, c in targets.items()]))
+    truth = valid.select(F.col(key).alias("row_id"), cell.alias("_c")).select("row_id", "_c.dim", "_c.y")
+
+    def score_one(values: tuple) -> tuple:
+        config = {"trees": trees, "depth": depth, "rate": 0.1, "share": 0.8, **dict(zip(grid, values))}
+        model = regressor(config["trees"], config["depth"], config["rate"], config["share"])
+        models = {d: model.fit(train.select("features", F.col(c).cast("double").alias("y")).filter("y IS NOT NULL")) for d, c in targets.items()}
+        pred = truth.join(score(valid, models, key).withColumnRenamed(key, "row_id"), ["row_id", "dim"])
+        by_row = pred.groupBy("row_id").agg(cosine_agg("y", "y_hat").alias("c"), pearson_agg("y", "y_hat").alias("r"))
+        by_dim = pred.groupBy("dim").agg(
+            pearson_agg("y", "y_hat").alias("r"), r2_agg().alias("r2"), F.count("y").alias("n"),
+            F.sum(F.abs(F.col("y") - F.col("y_hat"))).alias("a"), F.sum((F.col("y") - F.col("y_hat")) ** 2).alias("s"),
+        )
+        rows_ = by_row.agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("cosine"), F.avg("r").alias("row_pearson"))
+        dims_ = by_dim.agg(
+            F.try_divide(F.sum("a"), F.sum("n")).alias("mae"), F.sqrt(F.try_divide(F.sum("s"), F.sum("n"))).alias("rmse"),
+            F.avg("r2").alias("r2"), F.avg("r").alias("column_pearson"),
+        )
+        one, other = rows_.first(), dims_.first()
+        return (*values, one.n, other.mae, other.rmse, other.r2, one.cosine, one.row_pearson, other.column_pearson)
+
+    found = _for_each(list(product(*grid.values())), score_one, parallel)
+    kinds = {"trees": "int", "depth": "int", "rate": "double", "share": "double"}
+    schema = ", ".join(f"{name} {kinds[name]}" for name in grid)
+    scores = ", ".join(f"{name} double" for name in ("mae", "rmse", "r2", "cosine", "row_pearson", "column_pearson"))
+    typed = [tuple(float(v) if kinds.get(n) == "double" else v for n, v in zip([*grid, *[""] * 7], row)) for row in found.values()]
+    return spark.createDataFrame(typed, f"{schema}, n long, {scores}")
+
+
 def label_clusters(edges: DataFrame, k: int, iterations: int = 10, start: str = "random") -> DataFrame:
     """(dim, cluster) from a weighted label graph (a, b, n), by power iteration from random values or degrees."""
     graph = edges.filter("a < b AND n > 0").select(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T_
 
 from medley.functions import lists as A
 from medley.functions.featurise import featurise, text_key
-from medley.functions.mixing import mix_sql
+from medley.functions.mixing import mix, mix_sql
 from medley.operators import explore as X
 from medley.operators import metrics as M
 from medley.operators import models as ML
@@ -864,3 +864,92 @@ def mixture_model(spark, sf):
     return PL.mixture_model(
         V.linked_components(spark, sf), V.vectors(spark, sf), V.stimulus_rating(spark, sf), V.DIMS, [2, 3]
     )
+
+
+@query("E3_nested_model")
+def nested_model(spark, sf):
+    targets = [2, 3]
+    rows = PL.mixture_rows(
+        V.linked_components(spark, sf), V.vectors(spark, sf), V.stimulus_rating(spark, sf), V.DIMS, targets
+    )
+    found = PL.nested_model(rows, "stimulus", {d: f"y{d}" for d in targets}, mix(3, "stimulus") % 5 == 0)
+    return found
+
+
+@query(
+    "E3_nested_group_means",
+    V.with_views(
+        "el",
+        """SELECT part, count(DISTINCT row_id) AS n, round(avg(CAST((v > t) = gate AS INTEGER)), 6) AS mask_accuracy, round(avg(abs(v - y_hat)), 6) AS mae,
+        round((SELECT avg(r2) FROM c WHERE c.part = s.part), 6) AS r2, round((SELECT sum(a * b) FROM u WHERE u.part = s.part), 6) AS cosine,
+        round((SELECT avg(r) FROM c WHERE c.part = s.part), 6) AS pearson FROM s GROUP BY part""",
+        g=_GROUPED,
+        h=f"SELECT row_id, flag, dim, v, CASE WHEN {mix_sql('3', 'row_id')} % 5 = 0 THEN 'held' ELSE 'train' END AS part FROM g WHERE dim BETWEEN 2 AND 9",
+        limits="SELECT dim, quantile_cont(v, 0.5) AS t FROM h WHERE part = 'train' GROUP BY dim",
+        counts="""SELECT dim, flag, sum(CAST(v > t AS INTEGER)) AS p, sum(CAST(v <= t AS INTEGER)) AS n, avg(v) FILTER (WHERE v > t) AS high
+         FROM h JOIN limits USING (dim) WHERE part = 'train' GROUP BY dim, flag""",
+        rules="""SELECT dim, flag, p * sum(n) OVER (PARTITION BY dim) > n * sum(p) OVER (PARTITION BY dim) AS gate, high FROM counts""",
+        s="SELECT h.*, t, gate, CASE WHEN gate THEN high ELSE 0 END AS y_hat FROM h JOIN limits USING (dim) JOIN rules USING (dim, flag)",
+        c="""SELECT part, dim, 1 - sum((v - y_hat) * (v - y_hat)) / (var_pop(v) * count(*)) AS r2,
+         CASE WHEN min(y_hat) < max(y_hat) THEN corr(v, y_hat) END AS r FROM s GROUP BY part, dim""",
+        norms="SELECT row_id, sqrt(sum(v * v)) AS nv, sqrt(sum(y_hat * y_hat)) AS ny FROM s GROUP BY row_id",
+        u="SELECT part, dim, avg(v / nv) AS a, avg(CASE WHEN ny > 0 THEN y_hat / ny ELSE 0 END) AS b FROM s JOIN norms USING (row_id) GROUP BY part, dim",
+    ),
+)
+def nested_group_means(spark, sf):
+    dims = range(2, 10)
+    rows = _flagged_rows(spark, sf, dims)
+    found = PL.nested_model(
+        rows, "row_id", {d: f"y{d}" for d in dims}, mix(3, "row_id") % 5 == 0, trees=1, depth=1, share=1.0
+    )
+    return found.select("part", "n", *[R6(c).alias(c) for c in ("mask_accuracy", "mae", "r2", "cosine", "pearson")])
+
+
+_MODELS = {"plain": "y_hat", "positive": "greatest(y_hat, 0)", "squashed": "1 / (1 + exp(-y_hat))"}
+
+
+@query(
+    "E2_models_over_folds",
+    V.with_views(
+        "nv el pr",
+        """SELECT model, part, count(*) AS folds, """
+        + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in ("mae", "pearson", "cosine"))
+        + """ FROM (SELECT model, fold, part, sum(e) / sum(n) AS mae, avg(r) AS pearson, avg(c) AS cosine FROM byrow GROUP BY ALL) GROUP BY ALL""",
+        tagged=f"""SELECT p.*, label AS fold, CASE WHEN {mix_sql('5', 'row_id')} % 5 = 0 THEN 'held' ELSE 'train' END AS part
+         FROM pr p JOIN embeddings ON vec_id = row_id""",
+        models=" UNION ALL ".join(f"SELECT '{name}' AS model, fold, part, row_id, dim, y, {x} AS y_hat FROM tagged" for name, x in _MODELS.items()),
+        byrow="""SELECT model, fold, part, row_id, sum(abs(y - y_hat)) AS e, count(y) AS n,
+         CASE WHEN min(y) < max(y) AND min(y_hat) < max(y_hat) THEN corr(y, y_hat) END AS r,
+         CASE WHEN sum(y * y) > 0 AND sum(y_hat * y_hat) > 0 THEN sum(y * y_hat) / (sqrt(sum(y * y)) * sqrt(sum(y_hat * y_hat))) END AS c
+         FROM models GROUP BY ALL""",
+    ),
+)
+def models_over_folds(spark, sf):
+    folds = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), F.col("label").alias("fold"))
+    part = F.when(mix(5, "row_id") % 5 == 0, "held").otherwise("train")
+    cells = V.prediction(spark, sf).join(folds, "row_id").withColumn("part", part)
+    kinds = F.array(*[F.struct(F.lit(name).alias("model"), F.expr(x.replace(", 0)", ", 0D)")).alias("p")) for name, x in _MODELS.items()])
+    pred = cells.withColumn("_m", F.explode(kinds)).select("_m.model", "fold", "part", "row_id", "dim", "y", F.col("_m.p").alias("y_hat"))
+    found = PL.compare_over_folds(pred)
+    return found.select(*[R6(c).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in found.columns])
+
+
+@query(
+    "M12_grid_of_group_means",
+    V.with_views(
+        "el",
+        """SELECT CAST(depth AS INTEGER) AS depth, CAST(1 AS INTEGER) AS trees, o.* FROM (SELECT count(DISTINCT row_id) AS n, round(avg(abs(v - m)), 6) AS mae, round(sqrt(avg((v - m) * (v - m))), 6) AS rmse,
+          round((SELECT avg(r2) FROM c), 6) AS r2, round((SELECT avg(cs) FROM w), 6) AS cosine, round((SELECT avg(r) FROM w), 6) AS row_pearson,
+          round((SELECT avg(r) FROM c), 6) AS column_pearson FROM s) o, range(1, 3) d(depth)""",
+        g=_GROUPED,
+        h=f"SELECT row_id, flag, dim, v, {mix_sql('1', 'row_id')} % 5 = 0 AS held FROM g WHERE dim BETWEEN 2 AND 5",
+        s="SELECT h.*, m FROM h JOIN (SELECT dim, flag, avg(v) AS m FROM h WHERE NOT held GROUP BY dim, flag) USING (dim, flag) WHERE held",
+        c="""SELECT dim, 1 - sum((v - m) * (v - m)) / (var_pop(v) * count(*)) AS r2, corr(v, m) AS r FROM s GROUP BY dim""",
+        w="SELECT row_id, sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))) AS cs, corr(v, m) AS r FROM s GROUP BY row_id",
+    ),
+)
+def grid_of_group_means(spark, sf):
+    rows = _flagged_rows(spark, sf, range(2, 6))
+    grid = {"depth": [1, 2], "trees": [1], "share": [1.0]}
+    found = ML.grid_scores(rows, "row_id", {d: f"y{d}" for d in range(2, 6)}, mix(1, "row_id") % 5 == 0, grid).drop("share")
+    return found.select("depth", "trees", "n", *[R6(c).alias(c) for c in ("mae", "rmse", "r2", "cosine", "row_pearson", "column_pearson")])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.ml.feature import VectorSlicer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medley.functions import lists as A
@@ -11,6 +14,7 @@ from medley.operators import joins as J
 from medley.operators import metrics as M
 from medley.operators import models as ML
 from medley.operators import pooling as P
+from medley.operators import selection as SEL
 from medley.operators import tidy as T
 from medley.operators.ordered import exact_quantiles
 from medley.session import cut
@@ -115,6 +119,23 @@ def fold_scores(pred: DataFrame, split: DataFrame) -> DataFrame:
     return errors.join(shape, "fold")
 
 
+def compare_over_folds(pred: DataFrame) -> DataFrame:
+    """(model, part, folds, and mean and sample deviation over folds of mae, pearson and cosine) of predictions by
+    several models: ``pred(model, fold, part, row_id, dim, y, y_hat)``.
+
+    Pearson and cosine are means over rows inside a fold, undefined ones left out.  A model with one fold has no deviation.
+    """
+    by_row = pred.groupBy("model", "fold", "part", "row_id").agg(
+        M.pearson_agg("y", "y_hat").alias("r"), M.cosine_agg("y", "y_hat").alias("c"),
+        F.sum(F.abs(F.col("y") - F.col("y_hat"))).alias("e"), F.count("y").alias("n"),
+    )
+    by_fold = by_row.groupBy("model", "fold", "part").agg(
+        F.try_divide(F.sum("e"), F.sum("n")).alias("mae"), F.avg("r").alias("pearson"), F.avg("c").alias("cosine")
+    )
+    spread = [f(m).alias(f"{m}_{name}") for m in ("mae", "pearson", "cosine") for f, name in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    return by_fold.groupBy("model", "part").agg(F.count(F.lit(1)).alias("folds"), *spread)
+
+
 def mixture_model(
     entries: DataFrame,
     features: DataFrame,
@@ -161,3 +182,92 @@ def mixture_model(
         F.avg(((F.col("y") > F.col("t")) == (F.col("y_hat") > 0)).cast("int")).alias("mask_accuracy"),
         F.avg(F.abs(F.col("y") - F.col("y_hat"))).alias("mae"),
     )
+
+
+def mixture_rows(entries: DataFrame, features: DataFrame, ratings: DataFrame, width: int, targets: list[int]) -> DataFrame:
+    """(stimulus, features, y<dim>...) of rated mixtures: pooled component vectors and the expected rating."""
+    rated = J.present_in(entries, ratings, ["stimulus"])
+    pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
+    expected = X.expected_vectors(entries, ratings, width).select("stimulus", "expected")
+    joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
+    wide = joined.select(
+        "stimulus", F.concat("pooled", "expected").alias("x"), *[F.col("rating")[d].alias(f"y{d}") for d in targets]
+    )
+    return ML.assemble(wide, "x").drop("x")
+
+
+def nested_model(
+    rows: DataFrame,
+    key: str,
+    targets: dict[int, str],
+    held: Column,
+    trees: int = 3,
+    depth: int = 3,
+    share: float = 0.8,
+    quantile: float = 0.5,
+    keep: int | None = None,
+    step: int = 10,
+    folds: int = 3,
+) -> DataFrame:
+    """(part, n, mask_accuracy, mae, r2, cosine, pearson) of the two-stage model on the rows it was fitted on and on held ones.
+
+    ``rows(key, features, one column per target)``; ``held`` is true for rows that nothing is fitted on.  On the
+    others: a threshold per target (their quantile), a gate for values above it, and a regressor of those values;
+    a target with fewer than five values above, or none below, is predicted as 0.  With ``keep``, dims are first
+    eliminated down to at least that many for every target with ten values above, and the union of what is kept
+    is used.  ``mask_accuracy`` and ``mae`` are over all cells, ``r2`` and ``pearson`` are means over targets
+    (without undefined ones), ``cosine`` is the mean over all pairs of a true and a predicted row.
+    """
+    parted = cut(rows.withColumn("_held", F.coalesce(held, F.lit(False))))
+    train = parted.filter("NOT _held")
+    cell = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).cast("double").alias("y")) for d, c in targets.items()]))
+    cells = parted.select(F.col(key).alias("row_id"), "_held", cell.alias("_c")).select("row_id", "_held", "_c.dim", "_c.y")
+    # a threshold and a count per target reach the driver
+    limits = {r.dim: r.y for r in exact_quantiles(cells.filter("NOT _held"), ["dim"], "y", [quantile]).collect()}
+    columns = {d: c for d, c in targets.items() if d in limits}
+    above = {d: train.filter(F.col(c) > limits[d]).select(key, "features", F.col(c).alias("y")) for d, c in columns.items()}
+    if keep is not None and columns:
+        width = len(train.first()["features"])
+        counts = train.agg(*[F.count(F.when(F.col(c) > limits[d], 1)).alias(f"n{d}") for d, c in columns.items()]).first()
+        chosen: set[int] = set()
+        for d in columns:
+            if counts[f"n{d}"] >= 10:
+                renamed = above[d].withColumnRenamed(key, "row_id")
+                chosen |= set(SEL.eliminate(renamed, width, folds, step, min(keep, width), trees, depth)[0])
+        if chosen:
+            slicer = VectorSlicer(inputCol="features", outputCol="_kept", indices=sorted(chosen))
+            narrow = lambda df: slicer.transform(df).drop("features").withColumnRenamed("_kept", "features")
+            parted, train, above = narrow(parted), narrow(train), {d: narrow(a) for d, a in above.items()}
+    gates = ML.fit_gates(train, columns, limits, trees, depth)
+    values = {d: ML.regressor(trees, depth, share=share).fit(above[d]) for d in gates}
+    guess = ML.hybrid(ML.score(parted, gates, key, "gate"), ML.score(parted, values, key), key)
+    gate = ML.score(parted, gates, key, "gate").select(F.col(key).alias("row_id"), "dim", "gate")
+    scored = cells.join(guess.select(F.col(key).alias("row_id"), "dim", "y_hat"), ["row_id", "dim"], "left").join(
+        gate, ["row_id", "dim"], "left"
+    )
+    at = F.create_map(*[F.lit(x) for d, limit in limits.items() for x in (d, limit)]) if limits else F.lit(None)
+    pred = cut(
+        scored.select(
+            "row_id", "dim", "_held", "y", F.coalesce("y_hat", F.lit(0.0)).alias("y_hat"),
+            F.coalesce(F.col("gate") > 0.5, F.lit(False)).alias("_on"), (F.col("y") > at[F.col("dim")]).alias("_above"),
+        )
+    )
+    return reduce(DataFrame.unionByName, [_part_scores(pred, part, flag) for part, flag in (("train", False), ("held", True))])
+
+
+def _part_scores(pred: DataFrame, part: str, held: bool) -> DataFrame:
+    own = pred.filter(F.col("_held") == held)
+    flat = own.agg(
+        F.countDistinct("row_id").alias("n"),
+        F.avg((F.col("_above") == F.col("_on")).cast("int")).alias("mask_accuracy"),
+        F.avg(F.abs(F.col("y") - F.col("y_hat"))).alias("mae"),
+    )
+    mean = lambda scores, name: scores.agg(F.avg(name)).scalar()
+    return flat.withColumns(
+        {
+            "part": F.lit(part),
+            "r2": mean(M.column_r2(own), "r2"),
+            "cosine": M.all_pairs_mean_cosine(own).scalar(),
+            "pearson": mean(M.column_pearson(own), "pearson"),
+        }
+    ).select("part", "n", "mask_accuracy", "mae", "r2", "cosine", "pearson")
