@@ -14,6 +14,8 @@ from medley.operators.ordered import exact_quantiles
 from medley.operators.pooling import cells_of, dot, pool_blocks, unpack
 from medley.session import cut
 
+TILE = 1024  # dims: a square of them takes 8 MB
+
 # --- distances to all other rows ---------------------------------------------
 
 
@@ -190,12 +192,15 @@ def additivity_test(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFr
 # --- matrices over dimensions ------------------------------------------------
 
 
-def gram(rows: DataFrame, vec: str, dims: int) -> DataFrame:
+def gram(rows: DataFrame, vec: str, dims: int, tile: int | None = None) -> DataFrame:
     """(a, b, s): sum over rows of v[a] * v[b].
 
     Each partition multiplies its batches with numpy and emits one dims x dims
-    block; Spark adds the blocks.  No pair of cells is ever a row.
+    block; Spark adds the blocks.  No pair of cells is ever a row.  From more than
+    ``TILE`` dims on, or with a ``tile`` given, no task holds a whole square: see ``_tiled_gram``.
     """
+    if tile is not None or dims > TILE:
+        return _tiled_gram(rows, vec, dims, tile or TILE)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = np.zeros((dims, dims)), False
@@ -212,7 +217,43 @@ def gram(rows: DataFrame, vec: str, dims: int) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("s").alias("s"))
 
 
-def co_occurrence(rows: DataFrame, key: str, vec: str, dims: int, quantile: float) -> DataFrame:
+def _tiled_gram(rows: DataFrame, vec: str, dims: int, tile: int) -> DataFrame:
+    """The same in tiles of ``tile`` x ``tile``: a row sends a pair of slices to each pair of tiles (one of the
+    two triangles), spread over several tasks by the partition it comes from, and a task adds up a tile at a time."""
+    starts = range(0, dims, tile)
+    pairs = [(i, j) for i in starts for j in starts if i <= j]
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(pairs))
+    piece = lambda at: F.slice(vec, at + 1, tile)
+    sent = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), piece(i).alias("x"), piece(j).alias("y")) for i, j in pairs])
+    )
+    pieces = rows.select(sent.alias("_p"), (F.spark_partition_id() % spread).alias("_task")).select("_p.*", "_task")
+    placed = pieces.repartition("i", "j", "_task").sortWithinPartitions("i", "j")
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+
+        def cells() -> pd.DataFrame:
+            a, b = np.indices(total.shape)
+            out = pd.DataFrame({"a": a.ravel() + at[0], "b": b.ravel() + at[1], "s": total.ravel()})
+            return out if at[0] == at[1] else pd.concat([out, out.rename(columns={"a": "b", "b": "a"})])
+
+        for batch in batches:
+            for pair, own in batch.groupby(["i", "j"], sort=True):
+                x, y = (np.stack(own[c].to_numpy()).astype(float) for c in "xy")
+                if pair != at:
+                    if at is not None:
+                        yield cells()[["a", "b", "s"]]
+                    at, total = pair, np.zeros((x.shape[1], y.shape[1]))
+                total += x.T @ y
+        if at is not None:
+            yield cells()[["a", "b", "s"]]
+
+    parts = placed.select("i", "j", "x", "y").mapInPandas(blocks, "a int, b int, s double")
+    return parts.groupBy("a", "b").agg(F.sum("s").alias("s"))
+
+
+def co_occurrence(rows: DataFrame, key: str, vec: str, dims: int, quantile: float, tile: int | None = None) -> DataFrame:
     """(a, b, n): rows where both dims reach their own quantile."""
     cells = rows.select(key, F.posexplode(vec).alias("dim", "v"))
     cuts = exact_quantiles(cells, ["dim"], "v", [quantile])
@@ -221,10 +262,10 @@ def co_occurrence(rows: DataFrame, key: str, vec: str, dims: int, quantile: floa
     marked = rows.withColumn("_t", packed.scalar()).select(
         F.zip_with(vec, "_t", lambda x, t: (x >= t).cast("double")).alias("_hit")
     )
-    return gram(marked, "_hit", dims).select("a", "b", F.round("s").cast("long").alias("n"))
+    return gram(marked, "_hit", dims, tile).select("a", "b", F.round("s").cast("long").alias("n"))
 
 
-def correlation_matrix(rows: DataFrame, vec: str, dims: int) -> DataFrame:
+def correlation_matrix(rows: DataFrame, vec: str, dims: int, tile: int | None = None) -> DataFrame:
     """(a, b, r): Pearson between dims; NULL for constant dims.
 
     The columns are centred on their means first, then one gram pass.
@@ -235,7 +276,7 @@ def correlation_matrix(rows: DataFrame, vec: str, dims: int) -> DataFrame:
     centred = rows.withColumn("_m", packed.scalar()).select(
         F.zip_with(vec, "_m", lambda x, m: x - m).alias("_c")
     )
-    products = gram(centred, "_c", dims)
+    products = gram(centred, "_c", dims, tile)
     variance = products.filter("a = b")
     left = variance.select("a", F.col("s").alias("va"))
     right = variance.select("b", F.col("s").alias("vb"))

@@ -3,7 +3,8 @@
 A plain window sends a whole key to one task.  Here the rows are range
 partitioned on (keys, order), so a hot key is cut into many slices; each slice
 is aggregated, the slice totals are accumulated (at most one row per key and
-slice) and added to the running value inside the slice.
+slice) and added to the running value inside the slice.  The number of slices
+follows the written bytes.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medley.session import cut
+from medley.session import cut, scratch_path, written_bytes
 
+SLICE_BYTES = 64 * 1024 * 1024  # of a slice as written, packed; about 256 MB in memory
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 _SLICE = "_slice"
 _TIE = "_tie"
@@ -45,9 +47,16 @@ class Ordered:
         if ties:
             df = df.withColumn(_TIE, F.rand(7))
             self.order.append(F.col(_TIE))
-        ranged = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *self.order)
         # the slice number depends on sampled bounds: fix it before it is used twice
-        self.df = cut(ranged.withColumn(_SLICE, F.spark_partition_id()))
+        self.df, path = self._sliced(df, n)
+        if slices is None and (enough := -(-written_bytes(spark, path) // SLICE_BYTES)) > n:
+            # more rows than the usual number of slices should take: cut the written rows into as many as they need
+            self.df, _ = self._sliced(self.df.drop(_SLICE), enough)
+
+    def _sliced(self, df: DataFrame, n: int) -> tuple[DataFrame, str]:
+        ranged = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *self.order)
+        path = scratch_path(df.sparkSession, "slices")
+        return cut(ranged.withColumn(_SLICE, F.spark_partition_id()), path), path
 
     def with_running(self, *specs: Running) -> "Ordered":
         group = [*self.keys, _SLICE]
@@ -103,6 +112,21 @@ class Ordered:
         return other
 
 
+def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Dense ids from 0 in no particular order, without a sort or a shuffle of the rows.
+
+    The rows are written once with their place in their partition; the partitions' row counts,
+    a row per partition, are accumulated to offsets and broadcast.
+    """
+    placed = cut(df.withColumn("_place", F.monotonically_increasing_id()))  # the partition's number, then the row's in 33 bits
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    joined = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return joined.withColumn(name, F.col("_offset") + at).drop("_place", "_part", "_offset")
+
+
 def row_numbers(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)``, cut into slices."""
     return Ordered(df, keys, order, ties=True).with_row_number(name).rows()

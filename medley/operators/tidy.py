@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medley.operators.ordered import row_numbers
+from medley.operators.ordered import row_ids, row_numbers
 
 # --- projections -------------------------------------------------------------
 
@@ -198,8 +198,10 @@ def ids_by_frequency(df: DataFrame, key: str, out: str = "id") -> DataFrame:
     return numbered.select(key, "n", (F.col(out) - 1).alias(out))
 
 
-def surrogate_ids(df: DataFrame, order: list, out: str = "row_id") -> DataFrame:
-    """Dense row numbers from 0 under a total order, cut into slices."""
+def surrogate_ids(df: DataFrame, order: list | None = None, out: str = "row_id") -> DataFrame:
+    """Dense row numbers from 0 under a total order, cut into slices; without an order no row is moved."""
+    if not order:
+        return row_ids(df, out)
     numbered = row_numbers(df, [], order, out)
     return numbered.withColumn(out, F.col(out) - 1)
 

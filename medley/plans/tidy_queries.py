@@ -619,6 +619,15 @@ def surrogate_ids(spark, sf):
     return T.surrogate_ids(orders, ["o_totalprice", "o_orderkey"]).select("o_orderkey", "row_id")
 
 
+@query(
+    "W6_ids_without_order",
+    "SELECT unnest(range(count(*))) AS row_id, 1::BIGINT AS n FROM orders",
+)
+def ids_without_order(spark, sf):
+    ids = T.surrogate_ids(V.table(spark, sf, "orders").select("o_orderkey"))
+    return ids.groupBy("row_id").agg(F.countDistinct("o_orderkey").alias("n"))
+
+
 @query(
     "W7_running_mean",
     """SELECT user_id, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS mean FROM events

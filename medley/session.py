@@ -76,13 +76,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there.
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the rows to the shared folder, under a name of their own or ``path``, and go on from there.
 
     This fixes the rows, so a lost executor cannot re-draw them, and unlike a
     checkpoint it is columnar: later steps read only the columns they use and
     the planner knows the size.
     """
-    path = scratch_path(df.sparkSession, "cut")
+    path = path or scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a written table, from its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from medley.operators.ordered import Ordered, Running, exact_quantiles, row_numbers, value_ranks
+from medley.operators import explore, ordered
+from medley.operators.ordered import Ordered, Running, exact_quantiles, row_ids, row_numbers, value_ranks
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,41 @@ def test_quantiles_match_numpy(skewed):
             assert got[(k, q)] == pytest.approx(np.percentile(group["v"], q * 100))
     whole = exact_quantiles(skewed, [], "v", [0.5]).collect()[0]["v"]
     assert whole == pytest.approx(np.median(data["v"]))
+
+
+def test_slices_follow_the_written_bytes(spark, monkeypatch):
+    """More bytes than the usual slices should take give more slices, and the same numbers."""
+    rows = spark.range(20_000).select((F.col("id") % 3).alias("k"), "id", F.rand(5).alias("v")).cache()
+    want = {r.id: r.rn for r in row_numbers(rows, ["k"], ["v"]).collect()}
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(ordered, "SLICE_BYTES", 10_000)
+    sliced = Ordered(rows, ["k"], ["v"])
+    assert sliced.df.select("_slice").distinct().count() > 2 * usual
+    assert {r.id: r.rn for r in sliced.with_row_number("rn").rows().collect()} == want
+    assert Ordered(rows, ["k"], ["v"], slices=3).df.select("_slice").distinct().count() == 3
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_ids_without_an_order(spark, parts):
+    rows = spark.range(123).repartition(parts).filter("id % 5 > 0")
+    ids = row_ids(rows, "n")
+    assert sorted(r.n for r in ids.collect()) == list(range(rows.count())) and ids.columns == ["id", "n"]
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    assert row_ids(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1, 5, 16, 64])
+def test_tiles_add_up_to_the_square(spark, tile):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 20))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>").repartition(4)
+    square = np.zeros((20, 20))
+    cells = explore.gram(rows, "vec", 20, tile).collect()
+    assert len(cells) == 400
+    for r in cells:
+        square[r.a, r.b] = r.s
+    np.testing.assert_allclose(square, x.T @ x, atol=1e-9)
+    plain = {(r.a, r.b): r.n for r in explore.co_occurrence(rows, "row_id", "vec", 20, 0.75).collect()}
+    assert {(r.a, r.b): r.n for r in explore.co_occurrence(rows, "row_id", "vec", 20, 0.75, tile).collect()} == plain
+    assert explore.gram(rows.limit(0), "vec", 20, tile).count() == 0
