@@ -823,6 +823,18 @@ def panel_report(spark, sf):
     return _panel(spark, sf).report
 
 
+# --- published tables ---
+
+
+@query("S8_published_versions", "SELECT o_orderkey, o_orderstatus FROM orders")
+def published_versions(spark, sf):
+    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    path = scratch_path(spark, "published")
+    S.publish(orders.filter("o_orderstatus = 'F'"), path)
+    S.publish(orders, path)
+    return S.open_published(spark, path)
+
+
 # --- submissions -------------------------------------------------------------
 
 

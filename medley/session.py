@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,9 +74,43 @@ def ship_package(spark: SparkSession) -> None:
     context._medley_shipped = True
 
 
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("medley_scratch_owners", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch tables that are made inside, and deletes them at the end, also after an error.
+
+    Results that are still to be read belong inside, or must be written elsewhere first.  Threads
+    started inside make tables of their own unless they are given this context.
+    """
+    made: list[str] = []
+    token = _owners.set((*_owners.get(), made))
+    try:
+        yield
+    finally:
+        _owners.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table's folder, if it is there."""
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for a written table inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Fresh path for a written table inside the shared folder; the innermost ``scratch`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if owners := _owners.get():
+        owners[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -90,6 +127,5 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def written_bytes(spark: SparkSession, path: str) -> int:
     """Size of a written table, from its file system."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, place = _files(spark, path)
     return files.getContentSummary(place).getLength()

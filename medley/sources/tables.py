@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 from medley.schemas import SUBMISSION
+from medley.session import delete
+
+MANIFEST = "current"  # names the version of a published table; a name that Spark's readers do not skip
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -70,6 +75,52 @@ def write_submission(pred: DataFrame, form: DataFrame, path: str) -> None:
     write_table(wide.select("stimulus", *[f"`{n}`" for n in names]), path, "csv")
 
 
+def publish(df: DataFrame, path: str, keep: int = 1) -> str:
+    """Writes the rows as a new version of the table at ``path`` and makes it the current one; its name.
+
+    A version is a folder of its own, written whole before the manifest names it, and the manifest is replaced
+    by a rename: readers see one version or the other, a failed write changes nothing, and of two writers the
+    later one wins without mixing files.  The ``keep`` versions before the new one stay for readers that have
+    them open; older ones are deleted.
+    """
+    spark = df.sparkSession
+    root = path.rstrip("/")
+    version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    write_table(df, f"{root}/{version}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    draft, manifest = hadoop.Path(f"{root}/_draft-{version}"), hadoop.Path(f"{root}/{MANIFEST}")
+    files = draft.getFileSystem(conf)
+    out = files.create(draft, True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(draft.toUri(), conf).rename(draft, manifest, options)
+    done = sorted(v for v in _versions(spark, root) if v < version and is_complete(spark, f"{root}/{v}"))
+    for old in done[: max(0, len(done) - keep)]:
+        delete(spark, f"{root}/{old}")
+    return version
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return [s.getPath().getName() for s in found if s.getPath().getName().startswith("version-")]
+
+
+def open_published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of a published table, or None when none was published."""
+    root = path.rstrip("/")
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}")
+    if not manifest.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(manifest):
+        return None
+    version = spark.read.text(f"{root}/{MANIFEST}").first().value
+    return spark.read.parquet(f"{root}/{version}")
+
+
 def open_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored Parquet table, or None when nothing is there."""
     try:
