@@ -23,7 +23,7 @@ from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import EARLY_STOP_SQL, definition_text
 from medley.schemas import RATINGS, SUBMISSION
-from medley.session import scratch_path
+from medley.session import cut, scratch_path
 from medley.sources import catalog as C
 from medley.sources import tables as S
 from medley.streaming import accumulate as ST
@@ -308,7 +308,7 @@ def _learning_rows(spark, sf, targets):
     """Vectors as features; target d mixes three entries so trees have something to find."""
     mixed = lambda d: F.greatest(F.col("vec")[d] + 0.5 * F.col("vec")[d + 1] * F.signum(F.col("vec")[d + 2]), F.lit(0.0))
     rows = V.vectors(spark, sf).select(F.col("vec_id").alias("row_id"), "vec", *[mixed(d).alias(f"y{d}") for d in targets])
-    return ML.assemble(rows, "vec").drop("vec").persist()
+    return cut(ML.assemble(rows, "vec").drop("vec"))
 
 
 @query("M6_boosted_regressors")
@@ -426,9 +426,8 @@ def _flagged_rows(spark, sf, dims, numeric=False):
     V.with_views("el", "SELECT row_id, dim, round(avg(v) OVER (PARTITION BY dim, flag), 6) AS y_hat FROM g", g=_GROUPED),
 )
 def group_means(spark, sf):
-    rows = _flagged_rows(spark, sf, range(V.DIMS)).persist()
+    rows = cut(_flagged_rows(spark, sf, range(V.DIMS)))
     models = ML.fit_regressors(rows, {d: f"y{d}" for d in range(V.DIMS)}, trees=1, depth=1, share=1.0)
-    rows.unpersist()
     return ML.score(rows, models, "row_id").withColumn("y_hat", R6("y_hat"))
 
 
@@ -444,9 +443,8 @@ def group_means(spark, sf):
     ),
 )
 def group_gates(spark, sf):
-    rows = _flagged_rows(spark, sf, range(8)).persist()
+    rows = cut(_flagged_rows(spark, sf, range(8)))
     gates = ML.fit_gates(rows, {d: f"y{d}" for d in range(8)}, {d: 0.02 for d in range(8)}, trees=1, depth=1)
-    rows.unpersist()
     return ML.score(rows, gates, "row_id", "gate")
 
 
@@ -519,9 +517,8 @@ def scores_by_setting(spark, sf):
     ),
 )
 def regression_lines(spark, sf):
-    rows = _flagged_rows(spark, sf, range(V.DIMS), numeric=True).persist()
+    rows = cut(_flagged_rows(spark, sf, range(V.DIMS), numeric=True))
     models = ML.fit_linear(rows, {d: f"y{d}" for d in range(V.DIMS)})
-    rows.unpersist()
     return ML.score(rows, models, "row_id").withColumn("y_hat", R6("y_hat"))
 
 

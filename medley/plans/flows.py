@@ -147,19 +147,8 @@ def mixture_model(
 ) -> DataFrame:
     """Pool component vectors of rated mixtures, append the expected rating, fit a gate and a
     regressor per target dim, and score the hybrid: (dim, n, mask_accuracy, mae)."""
-    rated = J.present_in(entries, ratings, ["stimulus"])
-    pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
-    expected = X.expected_vectors(entries, ratings, width).select("stimulus", "expected")
-    joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
     columns = {d: f"y{d}" for d in targets}
-    rows = ML.assemble(
-        joined.select(
-            "stimulus",
-            F.concat("pooled", "expected").alias("x"),
-            *[F.col("rating")[d].alias(c) for d, c in columns.items()],
-        ),
-        "x",
-    ).drop("x").persist()
+    rows = cut(mixture_rows(entries, features, ratings, width, targets))
     cells = rows.select(
         "stimulus",
         F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("y")) for d, c in columns.items()])).alias("_c"),
