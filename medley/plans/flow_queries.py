@@ -19,10 +19,11 @@ from medley.operators import splits as SP
 from medley.operators import tidy as T
 from medley.plans import flows as PL
 from medley.plans import panel as PN
+from medley.plans import raw as RAW
 from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import EARLY_STOP_SQL, definition_text
-from medley.schemas import RATINGS, SUBMISSION
+from medley.schemas import OVERALL, RATINGS, SUBMISSION
 from medley.session import cut, scratch_path
 from medley.sources import catalog as C
 from medley.sources import tables as S
@@ -706,6 +707,77 @@ def regrouped_inputs(spark, sf):
     )
 
 
+def _raw_files(spark, sf) -> RAW.RawFiles:
+    """The stand-ins of the raw tables, written as the CSV files that the tasks ship."""
+    folder = scratch_path(spark, "raw")
+
+    def put(name, df):
+        S.write_table(df, f"{folder}/{name}", "csv")
+        return f"{folder}/{name}"
+
+    entries = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate([*OVERALL, *RATINGS])]
+    vectors = V.table(spark, sf, "embeddings")
+    rated = lambda k: vectors.filter(F.col("vec_id") % k == 0).select(
+        F.lit("x").alias("unused"), *entries[::-1], F.concat(F.lit("V"), "vec_id").alias("stimulus")
+    )
+    supplier = V.table(spark, sf, "supplier")
+    name = lambda c: F.concat(F.lit("V"), c).alias("stimulus")
+    singles = supplier.select(
+        name(F.col("s_suppkey") + 100000).alias("stimulus"), F.col("s_suppkey").alias("molecule"),
+        (F.col("s_nationkey") / 100).alias("dilution"), F.lit(" NT").alias("solvent"), F.lit("L").alias("Intensity_label"),
+    )
+    mixtures = definition_text(spark, sf).select(name("stimulus").alias("id"), "components")
+    components = V.mixture_component(spark, sf).groupBy(F.col("cid").alias("id")).agg(F.min(F.struct("dilution", "solvent")).alias("_d"))
+    parts = V.table(spark, sf, "part").filter("p_size > 10")
+    return RAW.RawFiles(
+        {"Task1": put("one", rated(2)), "Task2_single": put("single", rated(3)), "Task2_mix": put("mix", rated(5))},
+        put("singles", singles),
+        put("mixtures", mixtures),
+        put("components", components.select("id", F.col("id").alias("molecule"), "_d.dilution", "_d.solvent")),
+        put("compounds", parts.select(F.col("p_size").alias("compound_id"), F.col("p_partkey").alias("CID"), F.lit("C").alias("SMILES"), F.lit("").alias("is_solvent"))),
+        [put("form", singles.select("stimulus"))],
+    )
+
+
+_RAW_RATED = ", ".join(str(i + 2) for i in range(len(RATINGS)))
+
+
+@query(
+    "E1_labels_from_csv",
+    f"""SELECT 'V' || CAST(vec_id AS VARCHAR) AS stimulus, CAST(vec_id % 2 = 0 AS INTEGER) AS Task1, CAST(vec_id % 3 = 0 AS INTEGER) AS Task2_single,
+    CAST(vec_id % 5 = 0 AS INTEGER) AS Task2_mix, round(list_sum(list_transform([{_RAW_RATED}], lambda i: (i - 1) * CAST(embedding[i + 1] AS DOUBLE))) / 5, 6) AS rata,
+    round((CAST(embedding[1] AS DOUBLE) + 2 * CAST(embedding[2] AS DOUBLE)) / 10, 6) AS overall
+    FROM embeddings WHERE (vec_id % 2 = 0 OR vec_id % 3 = 0 OR vec_id % 5 = 0) AND vec_id NOT IN (6, 10)""",
+)
+def labels_from_csv(spark, sf):
+    labels, _ = RAW.tidy_from_csv(spark, _raw_files(spark, sf), ["V6", "V10"])
+    digests = [R6(P.vector_digest(c)).alias(c) for c in ("rata", "overall")]
+    return labels.select("stimulus", "Task1", "Task2_single", "Task2_mix", *digests)
+
+
+@query(
+    "E1_inputs_from_csv",
+    V.with_views(
+        "mc",
+        """SELECT stimulus, pos, component, cid, dilution, solvent, dense_rank() OVER (ORDER BY uses DESC, solvent) - 1 AS solvent_id, c.compound_id,
+        round(CASE WHEN hi = lo THEN 1 ELSE (dilution - lo) / (hi - lo) END, 6) AS weakness FROM
+        (SELECT *, max(dilution) OVER (PARTITION BY cid) AS hi, min(dilution) OVER (PARTITION BY cid) AS lo FROM
+          (SELECT *, count(*) OVER (PARTITION BY solvent) AS uses FROM wanted) WHERE stimulus NOT IN ('V6', 'V10', 'V100003'))
+        LEFT JOIN (SELECT p_partkey AS cid, p_size AS compound_id FROM part WHERE p_size > 10) c USING (cid)""",
+        known="""SELECT vec_id AS id FROM embeddings WHERE (vec_id % 2 = 0 OR vec_id % 3 = 0 OR vec_id % 5 = 0) AND vec_id NOT IN (6, 10)
+         UNION SELECT s_suppkey + 100000 FROM supplier""",
+        defined="SELECT cid, min(ROW(dilution, solvent)) AS d FROM mc GROUP BY cid",
+        placed="""SELECT stimulus AS id, CAST(row_number() OVER (PARTITION BY stimulus ORDER BY cid) - 1 AS INTEGER) AS pos, cid FROM mc""",
+        wanted="""SELECT 'V' || CAST(id AS VARCHAR) AS stimulus, pos, cid AS component, cid, d[1] AS dilution, d[2] AS solvent FROM placed JOIN defined USING (cid)
+         WHERE id IN (SELECT id FROM known) UNION ALL
+         SELECT 'V' || CAST(s_suppkey + 100000 AS VARCHAR), 0, NULL, s_suppkey, s_nationkey / 100, 'nt' FROM supplier""",
+    ),
+)
+def inputs_from_csv(spark, sf):
+    _, inputs = RAW.tidy_from_csv(spark, _raw_files(spark, sf), ["V6", "V10", "V100003"])
+    return inputs.select("stimulus", "pos", "component", "cid", "dilution", "solvent", "solvent_id", "compound_id", R6("weakness").alias("weakness"))
+
+
 def _tidy_inputs(spark, sf):
     supplier = V.table(spark, sf, "supplier")
     single_id = F.col("s_suppkey") + 20000000
