@@ -10,7 +10,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +188,8 @@ def by_part(pred: DataFrame) -> DataFrame:
 _SUMS = ["n", "se", "ae", "sy", "sp", "syy", "spp", "syp"]
 SMALL = 100_000  # rows whose sums may go to every task
 BLOCK = 1_000  # rows whose weights for all replicates are held at once
+CELLS = 1 << 20  # (replicate, row) counts of a slice of rows; 8 MB
+DRAWS = 20_000  # rows a task draws for
 
 
 def row_sums(pred: DataFrame) -> DataFrame:
@@ -229,16 +230,17 @@ def bootstrap(
     'poisson' gives every row an independent Poisson(1) weight per replicate: no
     join, and the shuffle carries one partial row per task and replicate.
     'resample' draws n rows with replacement per replicate.  Up to ``SMALL`` rows, their
-    sums (8 numbers each) go to every task, which adds up the rows it draws; beyond, each
-    draw is an index per row and replicate, equi-joined to the rows' sums.
+    sums (8 numbers each) go to every task, which adds up the rows it draws; beyond, the
+    draws of a block of rows go to the slices of the rows they pick, four bytes a draw.
 
     Replicates are never rows: a task keeps one vector of sums per replicate and adds
     blocks of rows to all of them by a matrix product.
     """
     sums = row_sums(pred)
     if method == "resample":
-        few = sums.select("row_id", *_SUMS).orderBy("row_id").limit(SMALL + 1).toPandas()
-        totals = _resampled(sums, few, resamples, seed) if len(few) <= SMALL else _joined_draws(sums, resamples, seed)
+        sums = cut(sums)  # counted and read
+        small = sums.count() <= SMALL
+        totals = (_resampled if small else _sent_draws)(sums, resamples, seed)
     elif method == "poisson":
         totals = _weighted(sums, resamples, seed)
     else:
@@ -304,9 +306,9 @@ def _filled() -> list[Column]:
     return [F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in _SUMS]
 
 
-def _resampled(sums: DataFrame, few: pd.DataFrame, resamples: int, seed: int) -> DataFrame:
+def _resampled(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
     """All draws of a few rows: each task takes a part of the row numbers."""
-    values = few[_SUMS].fillna(0.0).to_numpy(dtype=float)
+    values = sums.orderBy("row_id").select(*_SUMS).toPandas().fillna(0.0).to_numpy(dtype=float)
     seeds = range(seed, seed + resamples)
 
     def add(totals: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -318,13 +320,50 @@ def _resampled(sums: DataFrame, few: pd.DataFrame, resamples: int, seed: int) ->
     return _in_tasks(numbers, resamples, add)
 
 
-def _joined_draws(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
-    numbered = row_numbers(sums, [], ["row_id"])
-    total = sums.select(F.count(F.lit(1))).scalar()
-    draws = numbered.select("rn", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(
-        "b", (mix(F.col("b") + seed, F.col("rn")) % total + 1).alias("rn")
-    )
-    return _totals(draws.join(numbered.drop("row_id"), "rn"))
+def _sent_draws(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """All draws of many rows, without a row per draw.
+
+    The rows' sums lie in slices of row numbers.  A task draws for a block of row numbers and sends each slice its
+    draws as one array of integers (replicate, place in the slice).  A slice counts them and adds its rows by a
+    matrix product: it holds about ``CELLS`` integers, whatever the number of rows.
+    """
+    numbered = cut(row_numbers(sums, [], ["row_id"]))  # counted and read
+    total = numbered.count()
+    seeds = range(seed, seed + resamples)
+    size = max(1, CELLS // resamples)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                names = batch.column(0).slice(start, BLOCK).to_pylist()
+                picks = (_hashes(names, seeds) % total).ravel()
+                slices = picks // size
+                code = np.tile(np.arange(resamples) * size, len(names)) + picks % size
+                order = np.argsort(slices, kind="stable")
+                found, starts = np.unique(slices[order], return_index=True)
+                ends = pa.array(np.append(starts, len(code)), pa.int32())
+                draws = pa.ListArray.from_arrays(ends, pa.array(code[order], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found), draws], ["slice", "draws"])
+
+    def add(drawn: pa.Table, rows: pa.Table) -> pa.Table:
+        values = np.zeros((size, len(_SUMS)))
+        values[rows.column("at").to_numpy()] = np.stack([rows.column(s).to_numpy() for s in _SUMS], axis=1)
+        draws = [one.flatten().to_numpy() for one in drawn.column("draws").chunks]
+        times = np.bincount(np.concatenate([np.zeros(0, np.int32), *draws]), minlength=resamples * size)
+        times = times.reshape(resamples, size).astype(float)
+        finite = np.isfinite(values)
+        totals = times @ np.where(finite, values, 0.0)
+        for i in np.flatnonzero(~finite.all(axis=1)):  # no draw of an infinite value adds nothing
+            totals[times[:, i] > 0] += np.where(finite[i], 0.0, values[i])
+        return pa.table([pa.array(np.arange(resamples, dtype=np.int32)), *[pa.array(c) for c in totals.T]], ["b", *_SUMS])
+
+    spark = sums.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DRAWS))
+    numbers = spark.range(1, total + 1, 1, tasks).select(F.col("id").cast("string").alias("rn"))
+    drawn = numbers.mapInArrow(draw, "slice long, draws array<int>")
+    place = F.col("rn") - 1
+    rows = numbered.select(F.floor(place / size).alias("slice"), (place % size).cast("int").alias("at"), *_filled())
+    return _totals(drawn.groupBy("slice").cogroup(rows.groupBy("slice")).applyInArrow(add, _PARTS))
 
 
 def poisson_cuts() -> list[int]:

@@ -163,3 +163,27 @@ def test_composite(pred, matrices):
     pooled = 1 - (dy * dp).mean() / (np.sqrt((dy**2).mean() * (dp**2).mean()) + 1e-6)
     got = S.composite_uncertain(pred).collect()[0]["score"]
     assert got == pytest.approx(bce + rmse + pooled + 1 - cos.mean())
+
+
+@pytest.mark.parametrize("metric", ["rmse", "pearson"])
+def test_bootstrap_of_many_rows_sends_draws_without_a_row_per_draw(spark, monkeypatch, metric):
+    rng = np.random.default_rng(3)
+    cells = [(None if i == 7 else i % 60, d, float(rng.normal()), float(rng.normal())) for i in range(90) for d in range(3)]
+    pred = spark.createDataFrame(cells, "row_id int, dim int, y double, y_hat double")
+    few = M.bootstrap(pred, metric, 50, method="resample").collect()[0]
+    monkeypatch.setattr(M, "SMALL", 0)
+    monkeypatch.setattr(M, "CELLS", 500)  # slices of ten rows
+    monkeypatch.setattr(M, "BLOCK", 16)
+    many = M.bootstrap(pred, metric, 50, method="resample")
+    assert "Generate" not in many._jdf.queryExecution().executedPlan().toString()
+    got = many.collect()[0]
+    assert (got["lower"], got["upper"]) == pytest.approx((few["lower"], few["upper"]))
+
+
+def test_infinite_rows_reach_only_the_replicates_that_draw_them(spark, monkeypatch):
+    rows = [(i, float("inf") if i == 0 else 1.0, 0.5) for i in range(40)]
+    pred = spark.createDataFrame(rows, "row_id int, y double, y_hat double")
+    monkeypatch.setattr(M, "SMALL", 0)
+    monkeypatch.setattr(M, "CELLS", 300)
+    bounds = M.bootstrap(pred, "rmse", 30, alpha=0.2, method="resample").collect()[0]
+    assert bounds["lower"] == pytest.approx(0.5)
