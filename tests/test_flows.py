@@ -266,3 +266,15 @@ def test_a_new_epoch_drops_the_old_state(spark):
     assert scores == {(r.epoch, r.dim): (r.n, pytest.approx(r.r)) for r in want}
     with pytest.raises(ValueError):
         ST.metric_sums(ST.file_stream(spark, source, cells.schema), ["dim"], work, epoch="epoch")
+
+
+def test_a_split_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_path, monkeypatch):
+    from medley.sources import tables
+
+    monkeypatch.setattr(tables, "SPLIT_ROWS", 100)
+    split = spark.range(300).select((F.col("id") % 2).alias("fold"), F.col("id").alias("row_id"), F.lit("train").alias("part"))
+    tables.save_split(split, str(tmp_path / "split"))
+    assert len(list((tmp_path / "split").glob("fold=1/*.parquet"))) == 3
+    assert {r.row_id for r in tables.load_split(spark, str(tmp_path / "split"), 1).collect()} == set(range(1, 300, 2))
+    tables.save_split(split.limit(0), str(tmp_path / "none"))
+    assert tables.load_split(spark, str(tmp_path / "none"), 1) is None
