@@ -10,6 +10,15 @@ SHARE = 5_000  # a key with more than 1 / SHARE of all rows is outsized; there c
 SKETCH = 4 * SHARE  # keys tracked: the sketch is sure to hold every key above 4 / (3 * SKETCH) of the rows
 
 
+def tasks_of(df: DataFrame, row_bytes: int) -> int:
+    """Tasks that the rows of ``df`` need when a row takes ``row_bytes`` where it is sorted or grouped.
+
+    Adaptive coalescing fills a task with packed bytes, of which narrow rows take a tenth of that.
+    """
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-df.count() * row_bytes // TASK_BYTES))
+
+
 def profile(df: DataFrame, key: str, row_bytes: int, threshold: int | None = None) -> tuple[int, list]:
     """(tasks, outsized keys) for rows that take ``row_bytes`` each once they are wide.
 

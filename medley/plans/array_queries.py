@@ -12,6 +12,7 @@ from medley.operators import ordered as O
 from medley.operators import pooling as P
 from medley.operators import scoring as S
 from medley.operators import tidy as T
+from medley.operators.hot import tasks_of
 from medley.plans import views as V
 from medley.plans.registry import query
 from medley.plans.tidy_queries import definition_text
@@ -190,17 +191,23 @@ def node_vector(spark, sf):
     return coded.select("p_partkey", digest.alias("digest"), F.size("v").alias("width"))
 
 
+_EDGE_BYTES = 128  # of an edge where edges are grouped
+
+
 @query(
     "A14_directed_edges",
     """SELECT l_orderkey AS graph_id, src, dst, count(*) AS n FROM (SELECT l_orderkey, l_partkey AS src, l_suppkey AS dst FROM lineitem
     WHERE l_partkey <> l_suppkey UNION ALL SELECT l_orderkey, l_suppkey, l_partkey FROM lineitem WHERE l_partkey <> l_suppkey) GROUP BY ALL""",
 )
 def directed_edges(spark, sf):
-    bonds = V.mixture_component(spark, sf).filter("cid <> component").groupBy(
+    keys = ["graph_id", "src", "dst"]
+    pairs = V.mixture_component(spark, sf).filter("cid <> component").select(
         F.col("stimulus").alias("graph_id"), F.col("cid").alias("src"), F.col("component").alias("dst")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    )
+    tasks = tasks_of(pairs, _EDGE_BYTES)
+    bonds = pairs.repartition(tasks, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     edges = S.directed_edges(bonds, "graph_id", ordered=False)
-    return edges.groupBy("graph_id", "src", "dst").agg(F.sum("n").alias("n"))
+    return edges.repartition(2 * tasks, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 @query(

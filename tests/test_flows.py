@@ -278,3 +278,25 @@ def test_a_split_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_path, m
     assert {r.row_id for r in tables.load_split(spark, str(tmp_path / "split"), 1).collect()} == set(range(1, 300, 2))
     tables.save_split(split.limit(0), str(tmp_path / "none"))
     assert tables.load_split(spark, str(tmp_path / "none"), 1) is None
+
+
+def test_edges_are_grouped_in_as_many_tasks_as_their_number_needs(spark, tmp_path, monkeypatch):
+    from medley.operators import hot
+    from medley.plans import array_queries
+
+    monkeypatch.setattr(hot, "TASK_BYTES", 100 * array_queries._EDGE_BYTES)
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 100 * (floor + 3)
+    rows = spark.range(2 * n).selectExpr(
+        "id % 7 AS l_orderkey", "id % 50 AS l_partkey", "id % 50 + id % 2 AS l_suppkey", "0D AS l_discount", "'A' AS l_returnflag"
+    )
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = array_queries.directed_edges(spark, str(tmp_path))
+    assert edges.rdd.getNumPartitions() == 2 * (floor + 3)
+    found = {(r.graph_id, r.src, r.dst): r.n for r in edges.collect()}
+    expected = {}
+    for i in range(1, 2 * n, 2):
+        a, b = i % 50, i % 50 + 1
+        for s, d in ((a, b), (b, a)):
+            expected[i % 7, s, d] = expected.get((i % 7, s, d), 0) + 1
+    assert found == expected
