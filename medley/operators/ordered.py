@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from medley.session import cut, scratch_path, written_bytes
 
-SLICE_BYTES = 64 * 1024 * 1024  # of a slice as written, packed; about 256 MB in memory
+SLICE_BYTES = 16 * 1024 * 1024  # of a slice as written, packed; narrow rows take 16 times that where they are sorted
+TASK_BYTES = 2 * 1024 * 1024  # of slices as written that a task sorts
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 _SLICE = "_slice"
 _TIE = "_tie"
@@ -49,9 +50,13 @@ class Ordered:
             self.order.append(F.col(_TIE))
         # the slice number depends on sampled bounds: fix it before it is used twice
         self.df, path = self._sliced(df, n)
-        if slices is None and (enough := -(-written_bytes(spark, path) // SLICE_BYTES)) > n:
+        size = written_bytes(spark, path)
+        if slices is None and (enough := -(-size // SLICE_BYTES)) > n:
             # more rows than the usual number of slices should take: cut the written rows into as many as they need
-            self.df, _ = self._sliced(self.df.drop(_SLICE), enough)
+            n = enough
+            self.df, _ = self._sliced(self.df.drop(_SLICE), n)
+        self.tasks = max(1, min(n, -(-size // TASK_BYTES)))
+        self.placed = False
 
     def _sliced(self, df: DataFrame, n: int) -> tuple[DataFrame, str]:
         ranged = df.repartitionByRange(n, *[F.col(k) for k in self.keys], *self.order)
@@ -77,7 +82,9 @@ class Ordered:
             match = same if match is None else match & same
         # the slices are ranges, so at most one key continues into each of them:
         # the carry has no more rows than there are slices and may be broadcast
-        joined = self.df.join(F.broadcast(carry), match, "left").drop(*[f"_k{i}" for i in range(len(group))])
+        # slices are placed here: adaptive coalescing would fill a task with the packed bytes of many
+        placed = self.df if self.placed else self.df.repartition(self.tasks, *group)
+        joined = placed.join(F.broadcast(carry), match, "left").drop(*[f"_k{i}" for i in range(len(group))])
         base = Window.partitionBy(*group).orderBy(*self.order)
         columns = {}
         for i, s in enumerate(specs):
@@ -90,8 +97,9 @@ class Ordered:
             else:
                 value = F.least(local, carried)
             columns[s.name] = value
-        out = joined.withColumns(columns).drop(*[f"_c{i}" for i in range(len(specs))])
-        return self._with(out)
+        out = self._with(joined.withColumns(columns).drop(*[f"_c{i}" for i in range(len(specs))]))
+        out.placed = True
+        return out
 
     def with_row_number(self, name: str) -> "Ordered":
         return self.with_running(Running(name, "sum", F.lit(1).cast("long")))
@@ -109,6 +117,7 @@ class Ordered:
     def _with(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
         other.keys, other.order, other.df = self.keys, self.order, df
+        other.tasks, other.placed = self.tasks, self.placed
         return other
 
 

@@ -102,3 +102,13 @@ def test_tiles_add_up_to_the_square(spark, tile):
     plain = {(r.a, r.b): r.n for r in explore.co_occurrence(rows, "row_id", "vec", 20, 0.75).collect()}
     assert {(r.a, r.b): r.n for r in explore.co_occurrence(rows, "row_id", "vec", 20, 0.75, tile).collect()} == plain
     assert explore.gram(rows.limit(0), "vec", 20, tile).count() == 0
+
+
+def test_slices_are_sorted_in_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    rows = spark.range(2_000).select((F.col("id") * 7919 % 2_000).alias("v"))
+    monkeypatch.setattr(ordered, "TASK_BYTES", 1_000)
+    walked = ordered.Ordered(rows, [], ["v"], slices=7).with_row_number("rn")
+    assert walked.tasks == 7
+    again = walked.with_running(ordered.Running("s", "sum", F.col("v")))
+    assert walked.rows().rdd.getNumPartitions() == again.rows().rdd.getNumPartitions() == 7
+    assert again.rows().filter("rn <> v + 1 OR s <> v * (v + 1) / 2").count() == 0
