@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml.feature import VectorSlicer
@@ -47,7 +47,8 @@ def eliminate(
     ``rows(row_id, features vector, y)``.  Each round fits boosted trees per fold
     on the current dims, scores the held-out fold, then drops the ``step`` dims
     of lowest importance.  Returns the dims of the best round and all scores.
-    Only importances and scores reach the driver.
+    Only importances and scores reach the driver.  A fit is kept until a dim that
+    its trees use is dropped (see ``_used``).
     """
     data = rows.select("features", "y", (mix(0, "row_id") % folds).alias("_fold")).persist()
     try:
@@ -61,32 +62,67 @@ def _eliminate(
 ) -> tuple[list[int], list[tuple[int, float]]]:
     history: list[tuple[int, float]] = []
     best: tuple[float, list[int]] | None = None
+    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, seed=1)
+    found: dict[int | None, tuple[dict[int, float], float | None]] = {}  # fold, or None for all rows: (importances, error)
     while True:
-        sliced = VectorSlicer(inputCol="features", outputCol="x", indices=current).transform(data)
-        model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, seed=1)
-        scores = []
+        sliced = _sliced(data, current)
         for fold in range(folds):
-            fitted = model.fit(sliced.filter(F.col("_fold") != fold))
-            held = fitted.transform(sliced.filter(F.col("_fold") == fold))
-            scores.append(held.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0])
-        mae = sum(scores) / folds
+            if fold not in found or not _used(found[fold][0]) <= set(current):
+                fitted = model.fit(sliced.filter(F.col("_fold") != fold))
+                held = fitted.transform(sliced.filter(F.col("_fold") == fold))
+                error = held.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+                found[fold] = (_importances(fitted, current), error)
+        mae = sum(found[fold][1] for fold in range(folds)) / folds
         history.append((len(current), mae))
         if best is None or mae <= best[0]:
             best = (mae, list(current))
         if len(current) <= keep:
             break
-        importances = model.fit(sliced).featureImportances.toArray()
-        drop = min(step, len(current) - keep)
-        weakest = set(sorted(range(len(current)), key=lambda i: (importances[i], i))[:drop])
-        current = [d for i, d in enumerate(current) if i not in weakest]
+        if None not in found or not _used(found[None][0]) <= set(current):
+            found[None] = (_importances(model.fit(sliced), current), None)
+        current = _stronger(current, found[None][0], min(step, len(current) - keep))
     return best[1], history
 
 
+def _sliced(data: DataFrame, dims: list[int]) -> DataFrame:
+    return VectorSlicer(inputCol="features", outputCol="x", indices=dims).transform(data)
+
+
+def _importances(model, dims: list[int]) -> dict[int, float]:
+    return dict(zip(dims, model.featureImportances.toArray().tolist()))
+
+
+def _used(importances: dict[int, float]) -> set[int]:
+    """Dims that the trees split on.
+
+    A tree takes the best split of all dims at each node, so without a dim that none takes the same fit
+    comes out, tree for tree: bins are found per dim, and rows are drawn by their place alone.
+    """
+    return {d for d, weight in importances.items() if weight != 0}
+
+
+def _stronger(dims: list[int], importances: dict[int, float], drop: int) -> list[int]:
+    """Without the ``drop`` dims of least importance, equal ones from the lowest on."""
+    weakest = set(sorted(dims, key=lambda d: (importances[d], dims.index(d)))[:drop])
+    return [d for d in dims if d not in weakest]
+
+
 def union_masks(masks: list[DataFrame]) -> DataFrame:
     """Dims selected for any target."""
     return reduce(DataFrame.unionByName, [m.select("dim") for m in masks]).distinct()
 
 
+@dataclass(frozen=True)
+class Level:
+    """One level of a path: dims left, error on the fold, and the model with the dims that it was fitted on."""
+
+    dims: list[int]
+    error: float | None
+    model: object
+    fitted: list[int]
+    importances: dict[int, float]
+
+
 @dataclass(frozen=True)
 class Selection:
     """What ``select_features`` found, as tables.
@@ -130,7 +166,8 @@ def select_features(
     Rows whose target is NULL take no part in it.
 
     All paths are independent, so they are run side by side, ``parallel`` at a time, whatever target and setting
-    they belong to.  Importances and scores reach the driver: a number per dim or level of a path.
+    they belong to.  Importances and scores reach the driver: a number per dim or level of a path.  A path fits
+    anew only when a dim that its trees use is dropped (see ``_used``); until then model and error stay the same.
     """
     if min(cvs) < 2 or step < 1 or not 1 <= keep <= width:
         raise ValueError("at least two folds, a step of one or more, and between one and all dims to keep")
@@ -145,7 +182,7 @@ def select_features(
 
     def sliced(target: int, dims: list[int]) -> DataFrame:
         known = data.withColumn("y", F.col(targets[target]).cast("double")).filter("y IS NOT NULL")
-        return VectorSlicer(inputCol="features", outputCol="x", indices=dims).transform(known)
+        return known.withColumnRenamed("features", "x") if len(dims) == width else _sliced(known, dims)
 
     if trees == 1 and share == 1.0:  # the first boosted tree is a plain one, which takes half the jobs
         estimator = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=depth, seed=1)
@@ -155,27 +192,25 @@ def select_features(
         )
     fit = estimator.fit
 
-    def walk(target: int, cv: int, fold: int | None) -> list[tuple[list[int], float | None]]:
-        """(dims left, error on the fold) of each level of one path."""
-        dims, levels = list(range(width)), []
+    def walk(target: int, cv: int, fold: int | None) -> list[Level]:
+        """The levels of one path, from all dims on."""
+        dims, levels, made = list(range(width)), [], None
         while True:
-            train = sliced(target, dims).filter("NOT _held")
-            inside = train if fold is None else train.filter(F.col(fold_of[cv]) != fold)
-            model = fit(inside)
-            error = None
-            if fold is not None:
-                outside = model.transform(train.filter(F.col(fold_of[cv]) == fold))
-                error = outside.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
-            levels.append((dims, error))
+            if made is None or not _used(made.importances) <= set(dims):
+                train = sliced(target, dims).filter("NOT _held")
+                model = fit(train if fold is None else train.filter(F.col(fold_of[cv]) != fold))
+                error = None
+                if fold is not None:
+                    outside = model.transform(train.filter(F.col(fold_of[cv]) == fold))
+                    error = outside.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+                made = Level(dims, error, model, dims, _importances(model, dims))
+            levels.append(replace(made, dims=dims))
             if len(dims) <= keep:
                 return levels
-            importances = model.featureImportances.toArray()
-            weakest = sorted(range(len(dims)), key=lambda i: (importances[i], i))[: min(step, len(dims) - keep)]
-            dims = [d for i, d in enumerate(dims) if i not in set(weakest)]
+            dims = _stronger(dims, made.importances, min(step, len(dims) - keep))
 
-    def held_pearson(target: int, dims: list[int]) -> float | None:
-        known = sliced(target, dims)
-        scored = fit(known.filter("NOT _held")).transform(known.filter("_held"))
+    def held_pearson(target: int, level: Level) -> float | None:
+        scored = level.model.transform(sliced(target, level.fitted).filter("_held"))
         return scored.agg(pearson_agg("y", "prediction")).first()[0]
 
     try:
@@ -186,8 +221,8 @@ def select_features(
             errors: dict[tuple[int, int], dict[int, list[float]]] = defaultdict(lambda: defaultdict(list))
             for (target, cv, fold), levels in paths.items():
                 if fold is not None:
-                    for dims, error in levels:
-                        errors[target, cv][len(dims)] += [] if error is None else [error]
+                    for level in levels:
+                        errors[target, cv][len(level.dims)] += [] if level.error is None else [level.error]
             history = [
                 (target, cv, left, sum(e) / len(e) if e else None) for (target, cv), at in errors.items() for left, e in at.items()
             ]
@@ -195,11 +230,12 @@ def select_features(
             for target, cv in errors:
                 scored = [(mae, left) for t, c, left, mae in history if (t, c) == (target, cv) and mae is not None]
                 best[target, cv] = min(scored, default=(None, keep))
-            masks = {
-                (target, cv): next(dims for dims, _ in paths[target, 0, None] if len(dims) == left) for (target, cv), (_, left) in best.items()
+            picked = {
+                (target, cv): next(level for level in paths[target, 0, None] if len(level.dims) == left) for (target, cv), (_, left) in best.items()
             }
-            models = sorted({(target, tuple(dims)) for (target, _), dims in masks.items()})
-            found = dict(zip(models, pool.map(lambda m: held_pearson(m[0], list(m[1])), models)))
+            masks = {at: level.dims for at, level in picked.items()}
+            models = {(target, tuple(level.dims)): level for (target, _), level in picked.items()}
+            found = dict(zip(models, pool.map(lambda m: held_pearson(m[0][0], m[1]), models.items())))
     finally:
         data.unpersist()
     pearson = {(target, cv): found[target, tuple(dims)] for (target, cv), dims in masks.items()}

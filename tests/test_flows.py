@@ -213,6 +213,29 @@ def test_selection_over_targets_and_settings(learning):
         SEL.select_features(rows, targets, 6, cvs=(1,))
 
 
+def test_a_fit_is_kept_until_a_dim_of_its_trees_goes(learning, monkeypatch):
+    """Fits of every level, and only those that change: the same tables come out."""
+    fits = []
+    plain = SEL.GBTRegressor._fit
+    monkeypatch.setattr(SEL.GBTRegressor, "_fit", lambda self, rows: fits.append(1) or plain(self, rows))
+    flag = (F.col("vec")[2] > 0).cast("double")
+    noisy = (F.col("vec")[1] > 0).cast("double") * 3 + F.col("vec")[3] * F.col("vec")[5]
+    rows = learning.select("row_id", "features", flag.alias("a"), noisy.alias("b"))
+
+    def run(names, **settings):
+        fits.clear()
+        found = SEL.select_features(rows, dict(enumerate(names)), 6, cvs=(2,), step=2, keep=2, trees=2, depth=2, **settings)
+        return len(fits), [sorted(map(tuple, t.collect())) for t in (found.history, found.choices, found.masks)]
+
+    one, both = run("a"), run("ab", share=0.7)
+    kept, history = SEL.eliminate(rows.select("row_id", "features", F.col("b").alias("y")), 6, folds=2, step=2, keep=2, trees=2, depth=2)
+    monkeypatch.setattr(SEL, "_used", lambda importances: {-1})  # so that every level fits
+    assert one[0] < 9 and run("a") == (9, one[1])  # two folds and all rows, three levels
+    again = run("ab", share=0.7)
+    assert both[0] < again[0] == 18 and both[1] == again[1]
+    assert (kept, history) == SEL.eliminate(rows.select("row_id", "features", F.col("b").alias("y")), 6, folds=2, step=2, keep=2, trees=2, depth=2)
+
+
 def test_state_does_not_grow_with_batches(spark):
     """What is kept for a stream is a row per key after any number of batches, across restarts."""
     source, work = scratch_path(spark, "grow"), scratch_path(spark, "work")
