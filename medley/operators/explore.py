@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medley.functions.numeric import cosine_of, pearson_of, safe_divide
+from medley.operators.hot import placed
 from medley.operators.ordered import exact_quantiles
 from medley.operators.pooling import cells_of, dot, pool_blocks, unpack
 from medley.session import cut
 
 TILE = 1024  # dims: a square of them takes 8 MB
+ENTRY_BYTES = 128  # of an entry where entries are sorted or grouped
 
 # --- distances to all other rows ---------------------------------------------
 
@@ -63,20 +65,34 @@ def mean_distance_to_others(rows: DataFrame, key: str, vec: str, kind: str) -> D
 # --- singles and mixtures ----------------------------------------------------
 
 
-def with_size(entries: DataFrame) -> DataFrame:
-    """Entries with ``size``, the number of entries of their stimulus."""
-    sizes = entries.groupBy("stimulus").agg(F.count(F.lit(1)).alias("size"))
-    return entries.join(sizes, "stimulus")
+def with_size(entries: DataFrame, threshold: int | None = None) -> DataFrame:
+    """Entries with ``size``, the number of entries of their stimulus; those without a stimulus are left out.
+
+    Stimuli are counted where their entries lie, in tasks by the number of entries; the entries of an outsized
+    stimulus (see ``hot``) stay where they are and get its count by broadcast.
+    """
+    ordinary, outsized = placed(entries.filter("stimulus IS NOT NULL"), "stimulus", ENTRY_BYTES, threshold)
+    sized = ordinary.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("stimulus")))
+    if outsized is None:
+        return sized
+    sizes = outsized.groupBy("stimulus").agg(F.count(F.lit(1)).alias("size"))
+    return sized.unionByName(outsized.join(F.broadcast(sizes), "stimulus").select(*sized.columns))
 
 
-def singles(entries: DataFrame) -> DataFrame:
+def singles(entries: DataFrame, threshold: int | None = None) -> DataFrame:
     """Entries of one-component stimuli; one aggregation, no join back.
 
-    ``max`` of the columns of a one-row group is that row.
+    ``max`` of the columns of a one-row group is that row.  Tasks are as many as the entries need.
     """
     rest = [c for c in entries.columns if c != "stimulus"]
-    only = entries.groupBy("stimulus").agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in rest])
-    return only.filter("_n = 1").drop("_n").select(*entries.columns)
+    ordinary, outsized = placed(entries, "stimulus", ENTRY_BYTES, threshold)
+
+    def only(part: DataFrame) -> DataFrame:
+        counted = part.groupBy("stimulus").agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in rest])
+        return counted.filter("_n = 1").drop("_n").select(*entries.columns)
+
+    # a key is outsized by an estimate, so it may have one row after all
+    return only(ordinary) if outsized is None else only(ordinary).unionByName(only(outsized))
 
 
 def single_mean_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataFrame:
@@ -103,7 +119,7 @@ def expected_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataF
     """(stimulus, n, size, expected): the same with an array per mixture."""
     known = cut(single_mean_vectors(entries, ratings, dims))
     mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1").select("stimulus", "cid")
-    pooled = pool_blocks(mixed, known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus"))
+    pooled = pool_blocks(mixed, known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus", "cid"))
     return pooled.withColumnRenamed("mean", "expected")
 
 
@@ -174,7 +190,7 @@ def measured_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataF
     )
     complete = mixed.join(hits.filter("_known = _size").select("stimulus"), "stimulus", "left_semi")
     pooled = pool_blocks(
-        complete.select("stimulus", "cid"), known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus")
+        complete.select("stimulus", "cid"), known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus", "cid")
     )
     truth = ratings.select("stimulus", F.col("rating").alias("y"))
     return pooled.join(truth, "stimulus").select("stimulus", "y", F.col("mean").alias("y_hat"))

@@ -36,6 +36,13 @@ def profile(df: DataFrame, key: str, row_bytes: int, threshold: int | None = Non
     return max(floor, -(-found["rows"] // per_task)), hot
 
 
+def placed(df: DataFrame, key: str, row_bytes: int, threshold: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with their key in one of as many tasks as their number needs, rows of outsized keys where they lie or None)."""
+    tasks, hot = profile(df, key, row_bytes, threshold)
+    ordinary, outsized = split_hot(df, key, hot)
+    return ordinary.repartition(tasks, key), outsized
+
+
 def split_hot(df: DataFrame, key: str, hot: list) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys or None)."""
     if not hot:

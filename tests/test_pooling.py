@@ -1,8 +1,11 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from medley.operators import blocks as B
+from medley.operators import explore as X
 from medley.operators import pooling as P
 
 
@@ -180,3 +183,16 @@ def test_no_members_and_unknown_statistics(small, spark):
         P.pool_members(*small, "s", "c", ["median"])
     with pytest.raises(ValueError):
         P.pool_blocks(small[0].withColumn("w", F.lit(1.0)), small[1], "s", "c", ["var"], weight="w")
+
+
+def test_entries_are_counted_in_tasks_by_their_number(spark, monkeypatch):
+    rows = [(k, c) for k in range(40) for c in range(k % 4)] + [(99, c) for c in range(50)] + [(None, 1), (None, 2), (98, None)]
+    entries = spark.createDataFrame(rows, "stimulus int, cid int")
+    size = Counter(k for k, _ in rows)
+    monkeypatch.setattr(X, "ENTRY_BYTES", 8 * 2**20)  # eight entries a task
+    for threshold in (None, 5):  # no outsized stimulus, and one
+        found = [tuple(r) for r in X.with_size(entries, threshold).collect()]
+        assert sorted(found, key=str) == sorted([(k, c, size[k]) for k, c in rows if k is not None], key=str)
+        alone = [tuple(r) for r in X.singles(entries, threshold).collect()]
+        assert sorted(alone, key=str) == sorted([(k, c) for k, c in rows if size[k] == 1], key=str)
+    assert X.with_size(entries, 100).rdd.getNumPartitions() == 14
