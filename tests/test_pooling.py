@@ -196,3 +196,20 @@ def test_entries_are_counted_in_tasks_by_their_number(spark, monkeypatch):
         alone = [tuple(r) for r in X.singles(entries, threshold).collect()]
         assert sorted(alone, key=str) == sorted([(k, c) for k, c in rows if size[k] == 1], key=str)
     assert X.with_size(entries, 100).rdd.getNumPartitions() == 14
+
+
+@pytest.mark.parametrize("scale", [0.5, 0.1])  # floats, and values that no float has
+def test_vectors_that_are_not_broadcast(spark, monkeypatch, scale):
+    entries = spark.createDataFrame([(s, c) for s in range(30) for c in (0, s % 6, 9)], "s int, c int")
+    features = spark.createDataFrame([(c, [c * scale, -c * scale, None if c == 3 else scale]) for c in range(6)], "c int, vec array<double>")
+    assert P.vector_bytes(features, "vec")[::2] == ((72, True) if scale == 0.5 else (144, False))
+
+    def pooled():
+        rows = P.pool_blocks(entries, features, "s", "c", ["mean", "min", "max"]).collect()
+        return {r.s: (r.n, r.size, r["min"], r["max"], [round(x, 9) for x in r["mean"]]) for r in rows}
+
+    plain = pooled()
+    monkeypatch.setattr(P, "BROADCAST_BYTES", -1)
+    assert pooled() == plain
+    monkeypatch.setattr(P, "LINK_BYTES", 2**24)  # four entries a task: link 0 is shared by more
+    assert pooled() == plain and plain[4][2:4] == ([0.0, -4 * scale, scale], [4 * scale, 0.0, scale])
