@@ -97,6 +97,16 @@ def fit_gates(
     return _for_each(list(targets), fit)
 
 
+def fit_above(train: DataFrame, targets: dict[int, str], limits: dict[int, float], trees: int, depth: int, share: float = 0.8) -> dict:
+    """dim -> boosted trees fitted on the rows whose target is above its limit."""
+
+    def fit(dim: int):
+        y = F.col(targets[dim])
+        return regressor(trees, depth, share=share).fit(train.filter(y > limits[dim]).select("features", y.alias("y")))
+
+    return _for_each(list(targets), fit)
+
+
 def score(rows: DataFrame, models: dict, key: str, out: str = "y_hat") -> DataFrame:
     """(key, dim, out) with every model's prediction: one pass over the rows, a column per model."""
     scored = reduce(_score_beside, models.items(), rows.select(key, "features"))

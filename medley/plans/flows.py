@@ -156,13 +156,7 @@ def mixture_model(
     # one threshold per target dim reaches the driver
     cuts = {r["dim"]: r["y"] for r in exact_quantiles(cells, ["dim"], "y", [0.5]).collect()}
     gates = ML.fit_gates(rows, columns, cuts, trees, depth)
-    values = {
-        d: ML.regressor(trees, depth).fit(
-            rows.filter(F.col(c) > cuts[d]).select("features", F.col(c).alias("y"))
-        )
-        for d, c in columns.items()
-        if d in gates
-    }
+    values = ML.fit_above(rows, {d: c for d, c in columns.items() if d in gates}, cuts, trees, depth)
     guess = ML.hybrid(ML.score(rows, gates, "stimulus", "gate"), ML.score(rows, values, "stimulus"), "stimulus")
     limits = F.create_map(*[F.lit(x) for d in cuts for x in (d, cuts[d])])
     both = cells.join(guess, ["stimulus", "dim"]).withColumn("t", limits[F.col("dim")])
@@ -178,10 +172,10 @@ def mixture_rows(entries: DataFrame, features: DataFrame, ratings: DataFrame, wi
     rated = J.present_in(entries, ratings, ["stimulus"])
     pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
     expected = X.expected_vectors(entries, ratings, width).select("stimulus", "expected")
-    joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
-    wide = joined.select(
-        "stimulus", F.concat("pooled", "expected").alias("x"), *[F.col("rating")[d].alias(f"y{d}") for d in targets]
-    )
+    # only the ratings that are targets are shuffled
+    wanted = ratings.select("stimulus", *[F.col("rating")[d].alias(f"y{d}") for d in targets])
+    joined = pooled.join(expected, "stimulus").join(wanted, "stimulus")
+    wide = joined.select("stimulus", F.concat("pooled", "expected").alias("x"), *[f"y{d}" for d in targets])
     return ML.assemble(wide, "x").drop("x")
 
 
@@ -226,9 +220,9 @@ def nested_model(
         if chosen:
             slicer = VectorSlicer(inputCol="features", outputCol="_kept", indices=sorted(chosen))
             narrow = lambda df: slicer.transform(df).drop("features").withColumnRenamed("_kept", "features")
-            parted, train, above = narrow(parted), narrow(train), {d: narrow(a) for d, a in above.items()}
+            parted, train = narrow(parted), narrow(train)
     gates = ML.fit_gates(train, columns, limits, trees, depth)
-    values = {d: ML.regressor(trees, depth, share=share).fit(above[d]) for d in gates}
+    values = ML.fit_above(train, {d: columns[d] for d in gates}, limits, trees, depth, share)
     guess = ML.hybrid(ML.score(parted, gates, key, "gate"), ML.score(parted, values, key), key)
     gate = ML.score(parted, gates, key, "gate").select(F.col(key).alias("row_id"), "dim", "gate")
     scored = cells.join(guess.select(F.col(key).alias("row_id"), "dim", "y_hat"), ["row_id", "dim"], "left").join(
