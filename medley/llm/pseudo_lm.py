@@ -41,6 +41,9 @@ BATCH = 512
 RATE = 0.1
 COUNTS_HELD = 200_000
 WORDS_AT_ONCE = 65_536
+KNOWN = 100_000  # words whose corpus counts every task holds; the other counts are joined
+SAFE = 80.0  # single precision holds the exponential of every number up to this size
+SHIFTS = np.array([s for s in range(-REACH, REACH + 1) if s])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -139,35 +142,55 @@ class Network:
             at += like.size
         return cls(*parts)
 
+    def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The window's vectors, the hidden layer with a last column of ones, and the scores of all ids.
+
+        The scores may be exponentiated as they are: a hidden value is at most 1, so they are bounded by the
+        weights, and only weights that are too large for it cost the search for each row's greatest."""
+        seen = self.vectors.take(window, axis=0).reshape(len(window), 2 * REACH * WIDTH)
+        within = seen @ self.inner
+        within += self.inner_bias
+        hidden = np.ones((len(window), HIDDEN + 1), within.dtype)
+        np.tanh(within, out=hidden[:, :HIDDEN])
+        weights = np.vstack([self.outer, self.outer_bias])
+        logits = hidden @ weights
+        if not np.abs(weights).sum(axis=0).max() < SAFE:
+            logits -= logits.max(axis=1, keepdims=True)
+        return seen, hidden, logits
+
     def log_probabilities(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = np.tanh(self.vectors[window].reshape(len(window), -1) @ self.inner + self.inner_bias)
-        logits = hidden @ self.outer
-        logits += self.outer_bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = self.forward(window)[2]
         own = logits[np.arange(len(target)), target]
         np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1))
+        return own - np.log(logits @ np.ones(SIZE, logits.dtype))
 
     def step(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of stochastic gradient descent on the mean negative log-probability."""
+        """One step of stochastic gradient descent on the mean negative log-probability.
+
+        The large array (windows by ids) is passed over by the exponential and the products alone: what
+        divides its rows goes to the hidden layer's side, and the biases ride on the column of ones."""
         n = len(target)
-        seen = self.vectors[window].reshape(n, -1)
-        hidden = np.tanh(seen @ self.inner + self.inner_bias)
-        logits = hidden @ self.outer + self.outer_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(n), target] -= 1
-        logits /= n
-        back = (logits @ self.outer.T) * (1 - hidden * hidden)
+        seen, hidden, odds = self.forward(window)
+        np.exp(odds, out=odds)
+        total = odds @ np.ones(SIZE, odds.dtype)
+        odds[np.arange(n), target] -= total
+        part = (1 / (n * total))[:, None]
+        own = hidden[:, :HIDDEN]
+        back = odds @ self.outer.T
+        back *= (1 - own * own) * part
+        hidden *= 8 * rate * part
+        moved = (odds.T @ hidden).T
         into = (back @ self.inner.T).reshape(n * 2 * REACH, WIDTH)
-        self.outer -= 8 * rate * (hidden.T @ logits)
-        self.outer_bias -= 8 * rate * logits.sum(axis=0)
+        self.outer -= moved[:HIDDEN]
+        self.outer_bias -= moved[HIDDEN]
         self.inner -= 8 * rate * (seen.T @ back)
         self.inner_bias -= 8 * rate * back.sum(axis=0)
-        order = np.argsort(window.ravel(), kind="stable")
-        used, first = np.unique(window.ravel()[order], return_index=True)
-        self.vectors[used] -= 8 * rate * np.add.reduceat(into[order], first, axis=0)
+        ids = window.ravel()
+        count = np.bincount(ids, minlength=SIZE)
+        used = np.flatnonzero(count)
+        first = (np.cumsum(count) - count)[used]
+        order = np.argsort(ids, kind="stable")  # few comparisons where ids are bytes
+        self.vectors[used] -= 8 * rate * np.add.reduceat(into.take(order, axis=0), first, axis=0)
 
 
 def code_counts(rows: DataFrame) -> np.ndarray:
@@ -187,12 +210,17 @@ def code_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def padded(texts: list[bytes]) -> np.ndarray:
+    """The ids of the texts in one line, EDGE on both sides of each."""
+    edge = bytes([EDGE]) * REACH
+    return np.frombuffer(edge + edge.join(texts) + edge, np.uint8)
+
+
 def windows(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     """The REACH words on both sides of each place, EDGE beyond the text."""
-    padded = np.zeros(len(words) + 2 * REACH, np.int64)
-    padded[REACH : REACH + len(words)] = words
-    shifts = [s for s in range(2 * REACH + 1) if s != REACH]
-    return padded[places[:, None] + np.array(shifts)]
+    line = np.zeros(len(words) + 2 * REACH, words.dtype)
+    line[REACH : REACH + len(words)] = words
+    return line[places[:, None] + REACH + SHIFTS]
 
 
 def train_round(rows: DataFrame, start: np.ndarray, stride: int = STRIDE) -> np.ndarray | None:
@@ -201,25 +229,30 @@ def train_round(rows: DataFrame, start: np.ndarray, stride: int = STRIDE) -> np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, seen = Network.from_flat(begin.value.copy()), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        held: list[bytes] = []
+        targets: list[np.ndarray] = []  # their places in the line of the held texts
+        waiting, end = 0, REACH
 
         def learn():
-            nonlocal held, waiting, seen
-            window, target = (np.concatenate(x) for x in zip(*held))
-            mixed = np.random.default_rng(seen).permutation(len(target))
-            for at in range(0, len(mixed), BATCH):
-                pick = mixed[at : at + BATCH]
-                network.step(window[pick], target[pick], RATE)
-            seen += len(target)
-            held, waiting = [], 0
+            nonlocal waiting, end, seen
+            line, places = padded(held), np.concatenate(targets)
+            places = places[np.random.default_rng(seen).permutation(len(places))]
+            for at in range(0, len(places), BATCH):
+                pick = places[at : at + BATCH]
+                network.step(line[pick[:, None] + SHIFTS], line[pick], RATE)
+            seen += len(places)
+            held.clear()
+            targets.clear()
+            waiting, end = 0, REACH
 
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                words = np.frombuffer(data or b"", np.uint8).astype(np.int64)
-                places = np.arange(len(words) % stride // 2, len(words), stride)
+                size = len(data or b"")
+                places = np.arange(size % stride // 2, size, stride)
                 if len(places):
-                    held.append((windows(words, places), words[places]))
+                    held.append(data)
+                    targets.append(end + places)
+                    end += size + REACH
                     waiting += len(places)
                 if waiting >= 32 * BATCH:
                     learn()
@@ -247,41 +280,34 @@ def train_round(rows: DataFrame, start: np.ndarray, stride: int = STRIDE) -> np.
 
 
 def score(rows: DataFrame, weights: np.ndarray, added: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n_words, log_likelihood) from (doc_id, words): every word of every text.
+    """(doc_id, n_words, log_likelihood) from (doc_id, words): every word of every text; other columns stay.
     ``added``: what each id adds to the log-probability of its words."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
+    kept = [name for name in rows.columns if name != "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network.from_flat(shared.value)
-
-        def settle(sizes: list[int], parts: list[tuple[np.ndarray, np.ndarray]], sums: np.ndarray):
-            if parts:
-                window, target = (np.concatenate(x) for x in zip(*parts))
-                owner = np.repeat([n for n, _ in sizes], [s for _, s in sizes])
-                for at in range(0, len(target), 4096):
-                    s = slice(at, at + 4096)
-                    own = network.log_probabilities(window[s], target[s]).astype(np.float64)
-                    np.add.at(sums, owner[s], own if added is None else own + added[target[s]])
-
         for batch in batches:
-            data = batch.column(1).to_pylist()
-            sums = np.zeros(len(data))
-            sizes, parts, waiting = [], [], 0
-            for n, one in enumerate(data):
-                words = np.frombuffer(one or b"", np.uint8).astype(np.int64)
-                for at in range(0, len(words), WORDS_AT_ONCE):
-                    places = np.arange(at, min(len(words), at + WORDS_AT_ONCE))
-                    parts.append((windows(words, places), words[places]))
-                    sizes.append((n, len(places)))
-                    waiting += len(places)
-                    if waiting >= WORDS_AT_ONCE:
-                        settle(sizes, parts, sums)
-                        sizes, parts, waiting = [], [], 0
-            settle(sizes, parts, sums)
-            count = pa.array([len(one or b"") for one in data], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), count, pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
+            texts = [data or b"" for data in batch.column("words").to_pylist()]
+            count = np.array([len(text) for text in texts], np.int64)
+            starts = REACH + np.cumsum(count + REACH) - (count + REACH)
+            line, sums = padded(texts), np.zeros(len(texts))
+            for begin in range(0, len(line), WORDS_AT_ONCE):
+                places = begin + np.flatnonzero(line[begin : begin + WORDS_AT_ONCE] != EDGE)
+                for at in range(0, len(places), BATCH):
+                    pick = places[at : at + BATCH]
+                    target = line[pick]
+                    own = network.log_probabilities(line[pick[:, None] + SHIFTS], target).astype(np.float64)
+                    owner = np.searchsorted(starts, pick, side="right") - 1
+                    first = owner[0]
+                    found = np.bincount(owner - first, own if added is None else own + added[target])
+                    sums[first : first + len(found)] += found
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in kept), pa.array(count), pa.array(sums)], [*kept, "n_words", "log_likelihood"]
+            )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.mapInArrow(run, ", ".join([*(f"{name} {types[name]}" for name in kept), "n_words long", "log_likelihood double"]))
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
@@ -311,36 +337,59 @@ def _per_word(scored: DataFrame) -> DataFrame:
     )
 
 
-def coded_with_rare(docs: DataFrame, frequent: list[str]) -> DataFrame:
-    """(doc_id, words, rare): as ``coded``, and the words that have no id of their own."""
+def known_words(counted: DataFrame, count: int = KNOWN) -> dict[str, int]:
+    """The most frequent words and their counts.  Only words that make up more than a millionth of the
+    corpus, a million words at most, are compared for it."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    some = counted.filter(F.col("n") > total // 1_000_000).orderBy(F.col("n").desc(), "word").limit(count)
+    return {r["word"]: r["n"] for r in some.collect()}
+
+
+def coded_with_rare(docs: DataFrame, frequent: list[str], known: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, words, own, rare): as ``coded``; of the words that have no id of their own, the sum of log(count)
+    over those whose count is ``known``, and the others themselves."""
+    held = docs.sparkSession.sparkContext.broadcast(known or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequent)
+        counts = {w: n for w, n in held.value.items() if w not in coder.frequent}
+        # each known word has a number beyond the ids, which tells its id and the log of its count
+        ids = np.concatenate([np.arange(SIZE), [coder[w] for w in counts]]).astype(np.uint8)
+        logs = np.concatenate([np.zeros(SIZE), np.log(list(counts.values()))])
+        coder.clear()
+        numbers = Coder(frequent)
+        numbers.frequent |= {w: SIZE + i for i, w in enumerate(counts)}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rare = [[w for w in (text or "").lower().split() if w not in coder.frequent] for text in texts]
-            columns = [batch.column(0), pa.array(map(coder.code, texts), pa.binary()), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "rare"])
+            codes, own, rare = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").lower().split()
+                found = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                codes.append(ids[found].tobytes())
+                own.append(logs[found].sum())
+                rare.append([words[i] for i in np.flatnonzero((found > FREQUENT) & (found < SIZE)).tolist()])
+            columns = [batch.column(0), pa.array(codes, pa.binary()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "own", "rare"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, words binary, rare array<string>"
+        run, "doc_id long, words binary, own double, rare array<string>"
     )
 
 
-def score_words(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+def score_words(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> DataFrame:
     """As ``score_documents``, but for the words themselves: a word without an id of its own adds
-    log(count of the word / count of its class) to the log-probability of its class."""
+    log(count of the word / count of its class) to the log-probability of its class.  The counts of the
+    ``known`` most frequent words go to every task; those of the others are joined."""
     counted = cut(word_counts(docs))
     frequent = [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()]
-    rows = cut(coded_with_rare(docs, frequent).withColumn("row", F.monotonically_increasing_id()))
+    coded = coded_with_rare(docs, frequent, known_words(counted, known))
+    rows = cut(coded.withColumn("row", F.monotonically_increasing_id()))
     counts = code_counts(rows)
     weights = trained_weights(rows, counts, rounds, stride)
     shares = np.zeros(SIZE)
     shares[1 + FREQUENT :] = -np.log(np.maximum(counts[1 + FREQUENT :], 1))
-    scored = score(rows.select(F.col("row").alias("doc_id"), "words"), weights, shares).withColumnRenamed("doc_id", "row")
+    scored = score(rows.select("row", "doc_id", "words", "own"), weights, shares)
     # words that occur once add log(1) = 0
-    own = rows.select("row", F.explode("rare").alias("word")).join(counted.filter("n > 1"), "word")
-    own = own.groupBy("row").agg(F.sum(F.log("n")).alias("own"))
-    whole = rows.select("row", "doc_id").join(scored, "row").join(own, "row", "left")
-    value = F.col("log_likelihood") + F.coalesce("own", F.lit(0.0))
-    return _per_word(whole.select("doc_id", "n_words", value.alias("log_likelihood")))
+    joined = rows.select("row", F.explode("rare").alias("word")).join(counted.filter("n > 1"), "word")
+    joined = joined.groupBy("row").agg(F.sum(F.log("n")).alias("joined"))
+    value = F.col("log_likelihood") + F.col("own") + F.coalesce("joined", F.lit(0.0))
+    return _per_word(scored.join(joined, "row", "left").select("doc_id", "n_words", value.alias("log_likelihood")))

@@ -316,6 +316,65 @@ def test_every_word_is_a_training_target(small):
     assert np.array_equal(pseudo_lm.train_round(coded.coalesce(1), start), pseudo_lm.train_round(coded.coalesce(1), start, 1))
 
 
+def test_known_counts_need_no_join(spark):
+    """Counts that go to the tasks and counts that are joined add the same, and known words do not travel."""
+    frequent = " ".join(f"f{i:03d}" for i in range(pseudo_lm.FREQUENT))
+    rows = [(i, f"{frequent} aaxyz bbxyz ccxyz" + " aaxyz" * i) for i in range(4)] + [(9, "once aaxyz ccxyz"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = [f"f{i:03d}" for i in range(pseudo_lm.FREQUENT)]
+    coded = {r.doc_id: r for r in pseudo_lm.coded_with_rare(docs, words, {"f000": 5, "aaxyz": 11, "ccxyz": 5}).collect()}
+    plain = {r.doc_id: bytes(r.words) for r in pseudo_lm.coded(docs, words).collect()}
+    assert {k: bytes(r.words) for k, r in coded.items()} == plain
+    assert coded[9].rare == ["once"] and math.isclose(coded[9].own, math.log(11) + math.log(5))
+    assert coded[0].rare == ["bbxyz"] and coded[None].rare == [] and coded[None].own == 0
+    found = [{r.doc_id: r for r in pseudo_lm.score_words(docs, known=k).collect()} for k in (0, pseudo_lm.FREQUENT + 1, pseudo_lm.KNOWN)]
+    for doc_id, want in found[0].items():
+        for other in found[1:]:
+            assert other[doc_id].n_words == want.n_words
+            assert math.isclose(other[doc_id].log_likelihood, want.log_likelihood, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("scale", [0.1, 30.0])  # the second one's odds are beyond single precision
+def test_step_equals_plain_formulas(scale):
+    rng = np.random.default_rng(8)
+    start = pseudo_lm.Network.fresh()
+    start.outer[:] = rng.normal(0, scale, start.outer.shape)
+    words = rng.integers(1, pseudo_lm.SIZE, 100).astype(np.uint8)
+    window = pseudo_lm.windows(words, np.arange(100))
+    vectors, inner, inner_bias, outer, outer_bias = (p.astype(np.float64) for p in start.parts())
+    seen = vectors[window].reshape(100, -1)
+    hidden = np.tanh(seen @ inner + inner_bias)
+    logits = hidden @ outer + outer_bias
+    logits -= logits.max(axis=1, keepdims=True)
+    odds = np.exp(logits)
+    total = odds.sum(axis=1, keepdims=True)
+    plain = (logits - np.log(total))[np.arange(100), words]
+    assert np.allclose(start.log_probabilities(window, words), plain, rtol=1e-4, atol=1e-3)
+    error = odds / total
+    error[np.arange(100), words] -= 1
+    error /= 100
+    back = (error @ outer.T) * (1 - hidden * hidden)
+    np.subtract.at(vectors, window.ravel(), 0.8 * (back @ inner.T).reshape(-1, pseudo_lm.WIDTH))
+    want = [vectors, inner - 0.8 * seen.T @ back, inner_bias - 0.8 * back.sum(axis=0), outer - 0.8 * hidden.T @ error, outer_bias - 0.8 * error.sum(axis=0)]
+    start.step(window, words, 0.1)
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-4) for a, b in zip(start.parts(), want))
+
+
+def test_long_texts_and_edges_score_alike(spark):
+    """Texts beyond one slice of words, empty texts between, and columns that ride along."""
+    ids = bytes(1 + i * 7 % 255 for i in range(pseudo_lm.WORDS_AT_ONCE + 9))
+    rows = [(1, ids, "a"), (2, b"", "b"), (3, None, None), (4, ids[:1], "d"), (5, ids[:700], "e")]
+    coded = spark.createDataFrame(rows, "doc_id long, words binary, tag string").coalesce(1)
+    network = pseudo_lm.Network.fresh(4)
+    network.outer[:] = np.random.default_rng(2).normal(0, 0.2, network.outer.shape)
+    found = {r.doc_id: r for r in pseudo_lm.score(coded, network.flat()).collect()}
+    for doc_id, data, tag in rows:
+        own = np.frombuffer(data or b"", np.uint8)
+        want = network.log_probabilities(pseudo_lm.windows(own, np.arange(len(own))), own).sum(dtype=np.float64)
+        assert found[doc_id].tag == tag and found[doc_id].n_words == len(own)
+        assert math.isclose(found[doc_id].log_likelihood, want, rel_tol=1e-5, abs_tol=1e-6)
+
+
 def test_account_numbers_end_before_capitals():
     for number, rest in (("GB29 NWBK 6016 1331 9268 19", " VAT 5"), ("DE89370400440532013000", " BIC COBADEFF")):
         text = f"iban {number}{rest}"
