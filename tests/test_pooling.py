@@ -213,3 +213,42 @@ def test_vectors_that_are_not_broadcast(spark, monkeypatch, scale):
     assert pooled() == plain
     monkeypatch.setattr(P, "LINK_BYTES", 2**24)  # four entries a task: link 0 is shared by more
     assert pooled() == plain and plain[4][2:4] == ([0.0, -4 * scale, scale], [4 * scale, 0.0, scale])
+
+
+@pytest.mark.parametrize("threshold", [None, 8])  # no outsized set, and one
+@pytest.mark.parametrize("weighted", [False, True])
+def test_many_entries_move_without_their_vectors(spark, monkeypatch, ragged, threshold, weighted):
+    """Entries of vectors too many to broadcast: the vectors are copied to each task, no entry is shuffled with its vector."""
+    entries = ragged[0].unionByName(spark.createDataFrame([(s, c, 0.5) for s in range(7, 90) for c in (0, s % 9, 9, None)], ragged[0].schema))
+    entries = entries.unionByName(spark.createDataFrame([(7, s % 3, 1.0) for s in range(9)], entries.schema))
+    features = ragged[1].unionByName(ragged[1].filter("c IN (1, 3)").withColumn("vec", F.transform("vec", lambda x: x + 1)))  # links that come twice
+    features = features.unionByName(spark.createDataFrame([(None, [1.0])], features.schema))
+    stats = ["sum", "min", "max"] if weighted else ["sum", "mean", "var", "std", "min", "max"]
+
+    def pooled():
+        kept = P.pool_blocks(entries, features, "s", "c", stats, weight="w" if weighted else None, sums=["w"], threshold=threshold)
+        told = lambda x: [told(y) for y in x] if isinstance(x, list) else round(x, 9) if isinstance(x, float) else x
+        return kept, sorted(repr([told(x) for x in r]) for r in kept.collect())
+
+    _, plain = pooled()
+    monkeypatch.setattr(P, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(P, "copies_worth", lambda *_: 0)
+    for link_bytes in (P.LINK_BYTES, 2**24):  # no shared link, and some
+        monkeypatch.setattr(P, "LINK_BYTES", link_bytes)
+        joined, rows = pooled()
+        assert rows == plain and "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(P, "copies_worth", lambda *_: 3)
+    monkeypatch.setattr(B, "MEMBERS", 5)
+    copied, rows = pooled()
+    assert rows == plain and len(rows) > 80
+    assert threshold or "Join" not in copied._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_pay_for_many_entries_alone(spark):
+    entries, vectors = spark.createDataFrame([(1, 2)], "s long, c long"), spark.createDataFrame([(2, [1.0])], "c long, vec array<double>")
+    cores = spark.sparkContext.defaultParallelism
+    total = 200 * 2**20
+    assert P.copies_worth(entries, vectors, "c", total, 10**6, 256) == 0  # a copy for each core is more than all members
+    assert P.copies_worth(entries, vectors, "c", total, 4 * 10**7, 256) == max(cores, -(-4 * 10**7 * P.HELD_BYTES // P.COPY_BYTES))
+    assert P.copies_worth(entries, vectors, "c", P.COPY_BYTES + 1, 10**9, 256) == 0  # more than a task may hold
+    assert P.copies_worth(entries, vectors.withColumn("c", F.col("c").cast("int")), "c", total, 4 * 10**7, 256) == 0
