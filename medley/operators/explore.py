@@ -119,7 +119,12 @@ def expected_vectors(entries: DataFrame, ratings: DataFrame, dims: int) -> DataF
     """(stimulus, n, size, expected): the same with an array per mixture."""
     known = cut(single_mean_vectors(entries, ratings, dims))
     mixed = with_size(entries.select("stimulus", "cid")).filter("size > 1").select("stimulus", "cid")
-    pooled = pool_blocks(mixed, known, "stimulus", "cid", ["mean"], "mean", sketch=entries.select("stimulus", "cid"))
+    return expected_of(mixed, known, entries.select("stimulus", "cid"))
+
+
+def expected_of(mixed: DataFrame, known: DataFrame, sketch: DataFrame | None = None, measured: tuple[int, int, bool] | None = None) -> DataFrame:
+    """(stimulus, n, size, expected) of the mixtures ``mixed(stimulus, cid)`` from ``known(cid, mean)``; see ``pool_blocks``."""
+    pooled = pool_blocks(mixed, known, "stimulus", "cid", ["mean"], "mean", sketch=sketch, measured=measured)
     return pooled.withColumnRenamed("mean", "expected")
 
 

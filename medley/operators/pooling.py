@@ -47,18 +47,20 @@ def pool_blocks(
     sums: list[str] | None = None,
     threshold: int | None = None,
     sketch: DataFrame | None = None,
+    measured: tuple[int, int, bool] | None = None,
 ) -> DataFrame:
     """(key, n, size, one array per statistic, sum_<column> per column of ``sums``) for each set with members.
 
     ``n`` counts members; ``size`` counts them per dimension where some vectors are shorter and is NULL
     otherwise.  NULL entries are skipped as in SQL, a dimension without any has NULL.  ``weight`` names a
     column of ``entries`` that the values are multiplied with in ``sum``; where it is NULL the member has
-    no value.  No member becomes a row per dimension: see ``blocks``.
+    no value.  No member becomes a row per dimension: see ``blocks``.  ``measured``: the ``vector_bytes`` of
+    ``features`` where the caller has them.
     """
     spec = Spec(tuple(stats), tuple(sums or ()), weight is not None)
     needed = dict.fromkeys([key, link, *([weight] if weight else []), *spec.sums])
     vectors = features.select(link, vec)
-    total, widest, narrow = vector_bytes(vectors, vec)
+    total, widest, narrow = measured or vector_bytes(vectors, vec)
     if narrow:
         vectors = vectors.withColumn(vec, F.col(vec).cast("array<float>"))
     rows, tasks, hot = counted_profile(entries if sketch is None else sketch, key, widest, threshold)
@@ -174,13 +176,19 @@ def unpack(df: DataFrame, keys: list[str], arrays: list[str], dim: str = "dim")
 
 
 def neighbourhood(
-    entries: DataFrame, features: DataFrame, key: str, link: str, centre: str = "mean", vec: str = "vec"
+    entries: DataFrame,
+    features: DataFrame,
+    key: str,
+    link: str,
+    centre: str = "mean",
+    vec: str = "vec",
+    measured: tuple[int, int, bool] | None = None,
 ) -> DataFrame:
     """(key, n, pooled): concat(centre, var, min, max); centre is mean or sum."""
     if centre not in ("mean", "sum"):
         raise ValueError("centre must be 'mean' or 'sum'")
     stats = [centre, "var", "min", "max"]
-    pooled = pool_blocks(entries, features, key, link, stats, vec)
+    pooled = pool_blocks(entries, features, key, link, stats, vec, measured=measured)
     return pooled.select(key, "n", F.concat(*stats).alias("pooled"))
 
 

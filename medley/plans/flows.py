@@ -17,7 +17,9 @@ from medley.operators import pooling as P
 from medley.operators import selection as SEL
 from medley.operators import tidy as T
 from medley.operators.ordered import exact_quantiles
-from medley.session import cut
+from medley.session import cut, scratch_path
+
+PART_BYTES = 4 * 1024**3  # of mixture rows that are made at a time
 
 # Elements whose symbols disqualify a compound text.
 UNWANTED_ELEMENTS = [
@@ -148,7 +150,7 @@ def mixture_model(
     """Pool component vectors of rated mixtures, append the expected rating, fit a gate and a
     regressor per target dim, and score the hybrid: (dim, n, mask_accuracy, mae)."""
     columns = {d: f"y{d}" for d in targets}
-    rows = cut(mixture_rows(entries, features, ratings, width, targets))
+    rows = mixture_rows(entries, features, ratings, width, targets)
     cells = rows.select(
         "stimulus",
         F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("y")) for d, c in columns.items()])).alias("_c"),
@@ -167,23 +169,48 @@ def mixture_model(
     )
 
 
-def mixture_rows(entries: DataFrame, features: DataFrame, ratings: DataFrame, width: int, targets: list[int]) -> DataFrame:
-    """(stimulus, features, y<dim>...) of rated mixtures: pooled component vectors and the expected rating."""
-    rated = J.present_in(entries, ratings, ["stimulus"])
-    pooled = P.neighbourhood(rated, features, "stimulus", "vec_id").select("stimulus", "pooled")
-    expected = X.expected_vectors(entries, ratings, width).select("stimulus", "expected")
-    joined = pooled.join(expected, "stimulus").join(ratings.select("stimulus", "rating"), "stimulus")
-    wide = joined.select(
+def mixture_rows(
+    entries: DataFrame, features: DataFrame, ratings: DataFrame, width: int, targets: list[int], held: Column | None = None
+) -> DataFrame:
+    """(stimulus, y<dim>..., features) of rated mixtures: pooled component vectors and the expected rating.
+
+    The rows are a written table, with a column ``_held`` if that is given.  Where they are many, they are made a
+    part of the stimuli after the other, so that no more than a part is ever shuffled, and mixtures alone are pooled.
+    """
+    measured = P.vector_bytes(features, "vec")
+    parts = max(1, -(-ratings.count() * (4 * measured[1] + 8 * width) // PART_BYTES))
+    if parts == 1:
+        rated = J.present_in(entries, ratings, ["stimulus"])
+        pooled = P.neighbourhood(rated, features, "stimulus", "vec_id", measured=measured)
+        return cut(_rows_of(pooled, X.expected_vectors(entries, ratings, width), ratings, targets, held))
+    rated = cut(J.present_in(entries.select("stimulus", "cid", "vec_id"), ratings, ["stimulus"]))
+    mixed = cut(X.with_size(rated).filter("size > 1").select("stimulus", "cid", "vec_id"))
+    known = cut(X.single_mean_vectors(entries, ratings, width))
+    measured_known = P.vector_bytes(known, "mean")
+    path = scratch_path(entries.sparkSession, "cut")
+    for i in range(parts):
+        mine = F.pmod(F.xxhash64("stimulus"), F.lit(parts)) == i  # not the hash that places rows in tasks
+        own = mixed.filter(mine)
+        pooled = P.neighbourhood(own, features, "stimulus", "vec_id", measured=measured)
+        expected = X.expected_of(own.select("stimulus", "cid"), known, measured=measured_known)
+        rows = cut(_rows_of(pooled, expected, ratings.filter(mine), targets, held), path, mode="append", compression="zstd")
+    return rows
+
+
+def _rows_of(pooled: DataFrame, expected: DataFrame, ratings: DataFrame, targets: list[int], held: Column | None) -> DataFrame:
+    vectors = pooled.select("stimulus", "pooled").join(expected.select("stimulus", "expected"), "stimulus")
+    wide = vectors.join(ratings.select("stimulus", "rating"), "stimulus").select(
         "stimulus", F.concat("pooled", "expected").alias("x"), *[F.col("rating")[d].alias(f"y{d}") for d in targets]
     )
-    return ML.assemble(wide, "x").drop("x")
+    rows = ML.assemble(wide, "x").drop("x")
+    return rows if held is None else rows.withColumn("_held", F.coalesce(held, F.lit(False)))
 
 
 def nested_model(
     rows: DataFrame,
     key: str,
     targets: dict[int, str],
-    held: Column,
+    held: Column | None,
     trees: int = 3,
     depth: int = 3,
     share: float = 0.8,
@@ -194,14 +221,15 @@ def nested_model(
 ) -> DataFrame:
     """(part, n, mask_accuracy, mae, r2, cosine, pearson) of the two-stage model on the rows it was fitted on and on held ones.
 
-    ``rows(key, features, one column per target)``; ``held`` is true for rows that nothing is fitted on.  On the
+    ``rows(key, features, one column per target)``; ``held`` is true for rows that nothing is fitted on (None: ``rows``
+    are a written table that says so in ``_held``).  On the
     others: a threshold per target (their quantile), a gate for values above it, and a regressor of those values;
     a target with fewer than five values above, or none below, is predicted as 0.  With ``keep``, dims are first
     eliminated down to at least that many for every target with ten values above, and the union of what is kept
     is used.  ``mask_accuracy`` and ``mae`` are over all cells, ``r2`` and ``pearson`` are means over targets
     (without undefined ones), ``cosine`` is the mean over all pairs of a true and a predicted row.
     """
-    parted = cut(rows.withColumn("_held", F.coalesce(held, F.lit(False))))
+    parted = rows if held is None else cut(rows.withColumn("_held", F.coalesce(held, F.lit(False))))
     train = parted.filter("NOT _held")
     cell = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).cast("double").alias("y")) for d, c in targets.items()]))
     cells = parted.select(F.col(key).alias("row_id"), "_held", cell.alias("_c")).select("row_id", "_held", "_c.dim", "_c.y")

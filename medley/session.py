@@ -113,15 +113,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, path: str | None = None, **how: str) -> DataFrame:
     """Write the rows to the shared folder, under a name of their own or ``path``, and go on from there.
 
     This fixes the rows, so a lost executor cannot re-draw them, and unlike a
     checkpoint it is columnar: later steps read only the columns they use and
-    the planner knows the size.
+    the planner knows the size.  What was shuffled for it goes when it is written.
+    ``how``: options of the writer, such as its mode.
     """
     path = path or scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path, **how)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from medley.operators import models as ML
 from medley.plans import flows as PL
+from medley.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,39 @@ def test_comparison_over_folds(spark):
     np.testing.assert_allclose([one.mae_mean, one.pearson_mean, one.cosine_mean], np.mean(folds, axis=0))
     np.testing.assert_allclose([one.mae_std, one.pearson_std, one.cosine_std], np.std(folds, axis=0, ddof=1))
     assert got["two", "train"].folds == 1 and got["two", "train"].mae_std is None
+
+
+def test_mixture_rows_are_made_in_parts(spark, monkeypatch):
+    """Stimuli of one entry, without a known component, unrated and rated twice; NULL keys and links; a vector that comes twice."""
+    pairs = [(s, (s * 7 + j) % 23) for s in range(60) for j in range(s % 4)] + [(3, 1), (3, 1), (None, 2), (61, None), (61, 5)]
+    entries = spark.createDataFrame([(s, c, None if c is None else c % 11) for s, c in pairs], "stimulus int, cid int, vec_id int")
+    features = spark.createDataFrame([(i % 10, [i / 4, None if i == 4 else -i / 8]) for i in range(11)], "vec_id int, vec array<double>")
+    rated = [(s, [s / 2, 1.0]) for s in range(70) if s % 3] + [(10, [9.0, 0.0]), (None, [1.0, 1.0])]
+    ratings = spark.createDataFrame(rated, "stimulus int, rating array<double>")
+
+    def told():
+        found = PL.mixture_rows(entries, features, ratings, 2, [0, 1], F.col("stimulus") % 5 == 0)
+        rows = [(r.stimulus, r.y0, r.y1, r._held, [round(float(x), 9) for x in r.features]) for r in found.collect()]
+        return found, sorted(rows, key=str)
+
+    monkeypatch.setattr(ML, "assemble", lambda df, vec: df.withColumn("features", F.transform(vec, lambda x: F.coalesce(x, F.lit(-99.0)))))
+    whole, rows = told()
+    assert len(rows) > 10 and len({r[0] for r in rows}) < len(rows)  # the one that is rated twice
+    monkeypatch.setattr(PL, "PART_BYTES", 700)
+    parted, again = told()
+    assert again == rows and parted.columns == whole.columns
+    assert len(parted.inputFiles()) > len(whole.inputFiles())
+
+
+def test_a_cut_leaves_no_shuffle_files(spark, tmp_path):
+    counted = spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count().join(spark.range(97).withColumnRenamed("id", "k").hint("merge"), "k")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    store = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in _scala(store.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(name, None)
+    kept = cut(counted, f"{tmp_path}/kept")
+    assert not shuffled() - before and kept.count() == 97 and spark.conf.get(name, None) == setting
+
+
+def _scala(items):
+    return [items.apply(i) for i in range(items.size())]
