@@ -23,6 +23,7 @@ from medley.session import cut
 
 MAX_DEPTH = 30  # Spark's limit
 PARALLEL = 4  # models fitted at a time, so that small jobs share the cluster
+BINNED_BYTES = 8 * 1024**3  # of rows that boosted trees keep in memory or on the executors' disks while models are fitted
 
 
 def assemble(rows: DataFrame, vec: str) -> DataFrame:
@@ -42,6 +43,13 @@ def _for_each(targets: list, fit: Callable, parallel: int = PARALLEL) -> dict:
         return {t: model for t, model in zip(targets, pool.map(fit, targets)) if model is not None}
 
 
+def at_a_time(train: DataFrame) -> int:
+    """Models to fit side by side: each keeps its rows while it is fitted, 4 bytes a feature."""
+    first = train.select("features").filter("features IS NOT NULL").first()
+    kept = 0 if first is None else train.count() * (4 * first["features"].size + 48)
+    return max(1, min(PARALLEL, BINNED_BYTES // max(1, kept)))
+
+
 def regressor(trees: int, depth: int, rate: float = 0.1, share: float = 0.8) -> GBTRegressor:
     """Boosted trees, each on a ``share`` of the rows."""
     return GBTRegressor(
@@ -94,7 +102,7 @@ def fit_gates(
         )
         return GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, seed=1).fit(rows)
 
-    return _for_each(list(targets), fit)
+    return _for_each(list(targets), fit, at_a_time(train))
 
 
 def fit_above(train: DataFrame, targets: dict[int, str], limits: dict[int, float], trees: int, depth: int, share: float = 0.8) -> dict:
@@ -104,7 +112,7 @@ def fit_above(train: DataFrame, targets: dict[int, str], limits: dict[int, float
         y = F.col(targets[dim])
         return regressor(trees, depth, share=share).fit(train.filter(y > limits[dim]).select("features", y.alias("y")))
 
-    return _for_each(list(targets), fit)
+    return _for_each(list(targets), fit, at_a_time(train))
 
 
 def score(rows: DataFrame, models: dict, key: str, out: str = "y_hat") -> DataFrame:

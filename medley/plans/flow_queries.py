@@ -951,9 +951,9 @@ def mixture_model(spark, sf):
 def nested_model(spark, sf):
     targets = [2, 3]
     rows = PL.mixture_rows(
-        V.linked_components(spark, sf), V.vectors(spark, sf), V.stimulus_rating(spark, sf), V.DIMS, targets
+        V.linked_components(spark, sf), V.vectors(spark, sf), V.stimulus_rating(spark, sf), V.DIMS, targets, mix(3, "stimulus") % 5 == 0
     )
-    found = PL.nested_model(rows, "stimulus", {d: f"y{d}" for d in targets}, mix(3, "stimulus") % 5 == 0)
+    found = PL.nested_model(rows, "stimulus", {d: f"y{d}" for d in targets}, None)
     return found
 
 

@@ -106,6 +106,14 @@ def test_mixture_rows_are_made_in_parts(spark, monkeypatch):
     assert len(parted.inputFiles()) > len(whole.inputFiles())
 
 
+def test_models_that_keep_many_rows_are_fitted_one_by_one(rows, monkeypatch):
+    assert ML.at_a_time(rows) == ML.PARALLEL and ML.at_a_time(rows.limit(0)) == ML.PARALLEL
+    monkeypatch.setattr(ML, "BINNED_BYTES", 2 * rows.count() * (4 * 12 + 48))
+    assert ML.at_a_time(rows) == 2
+    monkeypatch.setattr(ML, "BINNED_BYTES", 1)
+    assert ML.at_a_time(rows) == 1
+
+
 def test_a_cut_leaves_no_shuffle_files(spark, tmp_path):
     counted = spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).count().join(spark.range(97).withColumnRenamed("id", "k").hint("merge"), "k")
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
